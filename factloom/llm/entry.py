@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, jaccard, media, quality, sharding, token_counts, token_files
+from factloom.llm import bpe, jaccard, media, quality, repeats, sharding, token_counts, token_files
 from factloom.llm.common import tokenizer_path
 
 
@@ -27,6 +27,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_token_counts, op5_ngram_jaccard, op6_media_columns, op7_bpe, op9_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_token_counts, op4_repeats, op5_ngram_jaccard, op6_media_columns, op7_bpe, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
