@@ -20,7 +20,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, width = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
-    return token_files.read_token_files(files, width).drop("ids")
+    return token_files.read_token_files(files, width, with_ids=False)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

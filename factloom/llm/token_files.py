@@ -27,9 +27,9 @@ from factloom.llm.common import chunks, release, scratch, texts_of
 #: Ids in a block.
 BLOCK = 1 << 14
 #: Bytes of text for each file, about.
-FILE_BYTES = 24 << 20
+FILE_BYTES = 8 << 20
 #: Words whose ids a Python worker keeps; later ones are encoded anew in each batch.
-MEMO = 800_000
+MEMO = 600_000
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -162,7 +162,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, cut = coder(path), np.array(bounds)
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=3 << 20):
             ids = [np.append(x, np.uint32(end_id)) for x in words.encode(texts_of(batch))]
             file = [0 if i is None else int(np.searchsorted(cut, i, side="right")) for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -202,8 +202,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, id_col: str =
     return spark.read.schema(schema).parquet(to), width
 
 
-def read_token_files(files: DataFrame, width: int) -> DataFrame:
-    """Per document, from the files: ``doc_id, start, n_tokens, ids_crc32`` and the ids (little-endian unsigned 32-bit)."""
+def read_token_files(files: DataFrame, width: int, with_ids: bool = True) -> DataFrame:
+    """Per document, from the files: ``doc_id, start, n_tokens, ids_crc32`` and, if wanted, the ids (little-endian unsigned 32-bit)."""
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(np.frombuffer(x, "<i8").sum()) for x in b.column(1).to_pylist()], pa.int64())], names=["file", "total"])
@@ -217,14 +217,15 @@ def read_token_files(files: DataFrame, width: int) -> DataFrame:
             for base, doc_ids, counts, offsets, body in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 n, off = np.frombuffer(counts, "<i8"), np.frombuffer(offsets, "<i8")
                 at = np.cumsum(n) - n
-                for a in range(0, len(n), 2000):
-                    b = min(a + 2000, len(n))
+                for a in range(0, len(n), 1000):
+                    b = min(a + 1000, len(n))
                     ids = read_ids(body, off, int(at[a]), int(n[a:b].sum()), width).astype("<u4")
-                    raw = [x.tobytes() for x in np.split(ids, (at[a + 1 : b] - at[a]))]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc_ids[a:b], pa.int64()), pa.array(base + at[a:b], pa.int64()), pa.array(n[a:b], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary())],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                    )
-
-    given = files.join(F.broadcast(starts), "file").select("base", "doc_ids", "n_tokens", "offsets", "body")  # a row for each file of some 24 MB of text
-    return given.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+                    raw, cut = memoryview(ids.tobytes()), ((np.append(at[a:b], at[b - 1] + n[b - 1]) - at[a]) * 4).tolist()
+                    own = [raw[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+                    out = [pa.array(doc_ids[a:b], pa.int64()), pa.array(base + at[a:b], pa.int64()), pa.array(n[a:b], pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                    if with_ids:
+                        out.append(pa.array([bytes(x) for x in own], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
+
+    given = files.join(F.broadcast(starts), "file").select("base", "doc_ids", "n_tokens", "offsets", "body")  # a row for each file of some 8 MB of text
+    return given.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
