@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, jaccard, media, quality, repeats, sharding, token_counts, token_files
+from factloom.llm import bpe, decontaminate, jaccard, media, quality, repeats, sharding, token_counts, token_files
 from factloom.llm.common import tokenizer_path
 
 
@@ -48,8 +48,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_token_counts, op4_repeats, op5_ngram_jaccard, op6_media_columns, op7_bpe, op9_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_token_counts, op4_repeats, op5_ngram_jaccard, op6_media_columns, op7_bpe, op9_quality, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
