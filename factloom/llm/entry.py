@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, decontaminate, jaccard, media, quality, repeats, sharding, token_counts, token_files
+from factloom.llm import bpe, decontaminate, jaccard, media, quality, repeats, sharding, token_counts, token_files, url_filters
 from factloom.llm.common import tokenizer_path
 
 
@@ -43,6 +43,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
@@ -53,7 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_token_counts, op4_repeats, op5_ngram_jaccard, op6_media_columns, op7_bpe, op9_quality, op10_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_token_counts, op4_repeats, op5_ngram_jaccard, op6_media_columns, op7_bpe, op8_url_filters, op9_quality, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -176,13 +176,13 @@ def marked(block: Block, of: Callable, buckets: int, answers: list[dict]) -> np.
     return hit
 
 
-RESULT = "key binary, n_removed long, spans array<struct<start: long, length: long>>, kept binary, kept_sha256 string"
+RESULT = "key binary, n_removed long, spans array<struct<start: long, length: long>>, kept binary, kept_sha256 string, kept_text string"
 
 
 def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Two tables: ``key, copies`` of the texts with copies, and for each single text with repeats what to remove and what stays.
 
-    ``key`` is the SHA-256 of the text.
+    ``key`` is the SHA-256 of the text; ``kept_text`` is what stays without the bytes of characters that a cut went through.
     """
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -229,10 +229,10 @@ def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                         edge = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
                         x, y = np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
                         kept = block.raw[a : a + n][~own].tobytes()
-                        out.append((key, int(own.sum()), [{"start": i, "length": j - i} for i, j in zip(x, y, strict=True)], kept, hashlib.sha256(kept).hexdigest()))
+                        out.append((key, int(own.sum()), [{"start": i, "length": j - i} for i, j in zip(x, y, strict=True)], kept, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", errors="ignore")))
                 if out:
-                    kinds = [pa.binary(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.binary(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["key", "n_removed", "spans", "kept", "kept_sha256"])
+                    kinds = [pa.binary(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.binary(), pa.string(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["key", "n_removed", "spans", "kept", "kept_sha256", "kept_text"])
 
     answers = repeated_names(some, prefix_names, 8, buckets)
     found = materialize(some.join(answers, "block").mapInArrow(remove, RESULT), "repeats")
