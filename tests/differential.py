@@ -65,5 +65,5 @@ if __name__ == "__main__":
         try:
             said = differences(spark, n, queries[n], oracles[n], DATA) if n in oracles else f"{n}: no SQL, {queries[n](spark, DATA).count()} rows"
         except Exception as err:
-            said = f"{n}: {type(err).__name__} {str(err)[:250]}"
+            said = f"{n}: {type(err).__name__} {str(err)[-700:]}"
         print("@@", said or f"{n}: ok", flush=True)
