@@ -33,7 +33,12 @@ SMALL = 6
 #: Bytes of text for each bucket of postings, about.
 BUCKET_BYTES = 12 << 20
 
-POSTING = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("sig", "<u8")])
+POSTING = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("sig", "<u8", 4)])
+
+#: Offsets at which members of a larger group, in the order of sizes, are compared in the first round.
+OFFSETS = (1, 2, 4, 8, 16)
+#: Bits of the map of documents that take part in a comparison (1 MB).
+ID_BITS = 1 << 23
 
 
 def overlap_needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -45,22 +50,22 @@ def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def signature(grams: np.ndarray) -> int:
-    """How many grams fall into each of eight parts, a byte each; differences bound the symmetric difference from below."""
-    return int.from_bytes(np.minimum(np.bincount((grams >> np.uint64(50)).astype(np.int64) & 7, minlength=8), 255).astype(np.uint8).tobytes(), "little")
+def signature(grams: np.ndarray) -> np.ndarray:
+    """Parities of the counts of grams in 256 parts; where two sets differ in parity, they differ in a gram at least."""
+    return np.packbits(np.bincount((grams >> np.uint64(40)).astype(np.int64) & 255, minlength=256).astype(np.uint8) & 1).view("<u8")
 
 
 def passes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length, positional and suffix filters for pairs of postings of one gram."""
+    """Length, positional and suffix filters for pairs of postings of one gram.
+
+    Positions count as if the gram were the first that both have: a similar pair passes at its first common gram.
+    """
     n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
-    i, j = a["pos"].astype(np.int64), b["pos"].astype(np.int64)
     need = overlap_needed(n, m)
-    ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (np.minimum(i, j) + 1 + np.minimum(n - i - 1, m - j - 1) >= need)
+    ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (np.minimum(n - a["pos"], m - b["pos"]) >= need)
     at = np.flatnonzero(ok)
     if len(at):
-        x = np.ascontiguousarray(a["sig"][at]).view(np.uint8).reshape(-1, 8).astype(np.int64)
-        y = np.ascontiguousarray(b["sig"][at]).view(np.uint8).reshape(-1, 8).astype(np.int64)
-        ok[at] = np.abs(x - y).sum(axis=1) <= (n + m - 2 * need)[at]
+        ok[at] = np.bitwise_count(a["sig"][at] ^ b["sig"][at]).sum(axis=1, dtype=np.int64) <= (n + m - 2 * need)[at]
     return ok
 
 
@@ -96,7 +101,8 @@ def first_round(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             hubs[hub:end] = hub + (end - hub) // 2
             hub = end
         k = np.arange(g)
-        found += [_pairs(group, k, hubs), _pairs(group, k[:-1], k[1:])]
+        found.append(_pairs(group, k, hubs))
+        found += [_pairs(group, k[:-d], k[d:]) for d in OFFSETS if d < g]
         big.append(group)
     return np.unique(np.concatenate(found), axis=0), np.concatenate(big) if big else np.zeros(0, POSTING)
 
@@ -143,6 +149,16 @@ def sketch_of(counted: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def taking_part(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents of the pairs, and a few others: by a bit map of fixed size, before any shuffle."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BITS)) + 1
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("i")).select(place("i").alias("h"))
+    bits = ids.groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_bits"))
+    at = docs.withColumn("_h", place("doc_id")).withColumn("_p", F.bitmap_bit_position("_h"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_p div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return at.join(F.broadcast(bits), F.bitmap_bucket_number("_h") == F.col("_bucket")).where(F.lit(1) == F.getbit(byte, (F.col("_p") % 8).cast("int"))).select(*docs.columns)
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose whole texts are similar, each looked at once."""
 
@@ -160,6 +176,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 good.append(shared > 0 and 100 * shared >= 80 * (len(s) + len(t) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    docs = taking_part(docs, pairs)
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
@@ -218,15 +235,15 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         del got
         for a in range(0, len(pairs), 50_000):
             x = pairs[a : a + 50_000]
-            none = [pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64())]
+            none = [*(pa.nulls(len(x), pa.int64()) for _ in range(3)), pa.nulls(len(x), pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), *none], names=["a", "b", "gram", "n", "pos", "sig"])
         for a in range(0, len(big), 50_000):
             x = big[a : a + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x["doc"].copy()), pa.nulls(len(x), pa.int64()), pa.array(x["gram"].astype("<i8")), pa.array(x["n"].astype(np.int64)), pa.array(x["pos"].astype(np.int64)), pa.array(x["sig"].astype("<i8"))], names=["a", "b", "gram", "n", "pos", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(x["doc"].copy()), pa.nulls(len(x), pa.int64()), pa.array(x["gram"].astype("<i8")), pa.array(x["n"].astype(np.int64)), pa.array(x["pos"].astype(np.int64)), pa.array([r.tobytes() for r in x["sig"]], pa.binary())], names=["a", "b", "gram", "n", "pos", "sig"])
 
     posted = mine.mapInArrow(post, "bucket int, postings binary").repartition(buckets, "bucket")
-    found = materialize(posted.mapInArrow(candidates, "a long, b long, gram long, n long, pos long, sig long"), "candidates")
-    pairs = found.where("b is not null").select("a", "b").distinct()
+    found = materialize(posted.mapInArrow(candidates, "a long, b long, gram long, n long, pos long, sig binary"), "candidates")
+    pairs = materialize(found.where("b is not null").select("a", "b").distinct(), "pairs")
     links = materialize(verify(pairs, docs), "similar")
     labels = components(links)
     open_groups = found.where("b is null").drop("b")
@@ -236,45 +253,57 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         mixed = labelled.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gram")
 
         def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kind = np.dtype([*POSTING.descr, ("component", "<i8")])
+            kind = np.dtype([(k, POSTING.fields[k][0]) for k in POSTING.names] + [("component", "<i8")])
 
-            def cross(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            def cross(held: list[np.ndarray]) -> Iterator[np.ndarray]:
                 p = np.concatenate(held)
                 p = p[np.lexsort((p["doc"], p["n"]))]
-                found, weight = [], 0
                 ends = np.searchsorted(p["n"], p["n"].astype(np.int64) * 5 // 4, side="right")
                 for i, end in enumerate(ends.tolist()):
                     j = np.flatnonzero(p["component"][i + 1 : end] != p["component"][i]) + i + 1
                     if len(j):
-                        found.append(_pairs(p, np.full(len(j), i), j))
-                        weight += len(found[-1])
-                    if found and (weight > 50_000 or i == len(p) - 1):
-                        x = np.unique(np.concatenate(found), axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["a", "b"])
-                        found, weight = [], 0
+                        yield _pairs(p, np.full(len(j), i), j)
+
+            found, weight = [], 0
+
+            def flush(more: Iterator[np.ndarray], most: int) -> Iterator[pa.RecordBatch]:
+                nonlocal found, weight
+                for x in more:
+                    found.append(x)
+                    weight += len(x) + 1
+                    if weight > most:  # distinct pairs of many groups
+                        found = [np.unique(np.concatenate(found), axis=0)]
+                        weight = len(found[0])
+                        if weight > most // 2:
+                            yield from out()
+
+            def out() -> Iterator[pa.RecordBatch]:
+                nonlocal found, weight
                 if found:
                     x = np.unique(np.concatenate(found), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], names=["a", "b"])
+                found, weight = [], 0
 
             held, now = [], None
             for batch in batches:
                 p = np.zeros(batch.num_rows, kind)
                 for k, name in enumerate(["gram", "doc", "n", "pos", "sig", "component"]):
-                    p[name] = np.asarray(batch.column(k)).astype(p.dtype[name])
+                    p[name] = np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(-1, 4) if name == "sig" else np.asarray(batch.column(k)).astype(p.dtype[name])
                 cut = np.flatnonzero(p["gram"][1:] != p["gram"][:-1]) + 1
                 for part in np.split(p, cut):
                     if not len(part):
                         continue
                     if held and part["gram"][0] != now:
-                        yield from cross(held)
+                        yield from flush(cross(held), 400_000)
                         held = []
                     now = part["gram"][0]
                     held.append(part)
             if held:
-                yield from cross(held)
+                yield from flush(cross(held), 400_000)
+            yield from out()
 
         more = labelled.join(mixed, "gram", "left_semi").select("gram", F.col("a").alias("doc"), "n", "pos", "sig", "component").repartition("gram").sortWithinPartitions("gram")
-        more = materialize(more.mapInArrow(rest, "a long, b long"), "candidates").distinct().join(pairs, ["a", "b"], "left_anti")
+        more = materialize(more.mapInArrow(rest, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         labels = components(links.unionByName(materialize(verify(more, docs), "similar")))
     named = firsts.join(labels.withColumnRenamed("node", "first"), "first", "left").select("key", F.coalesce("component", "first").alias("component_id"))
     return meta.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
