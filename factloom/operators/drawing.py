@@ -16,17 +16,19 @@ def greedy_match(found: DataFrame, truth: DataFrame, reach: float) -> DataFrame:
     def match(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame(columns=["sheet", "label", "found", "truth", "distance"])
-        pairs = a.merge(b, how="cross", suffixes=("_f", "_t"))
-        pairs["d"] = ((pairs["x_f"] - pairs["x_t"]) ** 2 + (pairs["y_f"] - pairs["y_t"]) ** 2) ** 0.5
+        pairs = a.merge(b, how="cross")
+        pairs["d"] = ((pairs["x"] - pairs["tx"]) ** 2 + (pairs["y"] - pairs["ty"]) ** 2) ** 0.5
         out, used_a, used_b = [], set(), set()
-        for r in pairs[pairs["d"] <= reach].sort_values(["d", "id_f", "id_t"]).itertuples():
-            if r.id_f not in used_a and r.id_t not in used_b:
-                used_a.add(r.id_f)
-                used_b.add(r.id_t)
-                out.append((key[0], key[1], r.id_f, r.id_t, round(r.d, 6)))
+        for r in pairs[pairs["d"] <= reach].sort_values(["d", "id", "tid"]).itertuples():
+            if r.id not in used_a and r.tid not in used_b:
+                used_a.add(r.id)
+                used_b.add(r.tid)
+                out.append((key[0], key[1], r.id, r.tid, round(r.d, 6)))
         return pd.DataFrame(out, columns=["sheet", "label", "found", "truth", "distance"])
 
-    return found.groupBy("sheet", "label").cogroup(truth.groupBy("sheet", "label")).applyInPandas(match, "sheet long, label string, found long, truth long, distance double")
+    # names of their own, so that both sides can come from one table
+    truth = truth.select(F.col("sheet").alias("tsheet"), F.col("label").alias("tlabel"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("id").alias("tid"))
+    return found.groupBy("sheet", "label").cogroup(truth.groupBy("tsheet", "tlabel")).applyInPandas(match, "sheet long, label string, found long, truth long, distance double")
 
 
 def nearest_pair(symbols: DataFrame, a: str, b: str) -> DataFrame:
