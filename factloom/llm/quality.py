@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import chunks, texts_of
 
+#: Bytes of text that are turned into inputs at once; each takes some hundred bytes meanwhile.
+CHUNK = 1 << 20
+
 #: Buckets of hashed words and shapes; rank of the interactions.
 BUCKETS, RANK = 1 << 12, 8
 #: Most labelled rows that the machine is fitted on: those whose hashed ids are the smallest.
@@ -25,7 +28,7 @@ SAMPLE = 6000
 #: Score from which a document is kept.
 THRESHOLD = 0.7
 
-_CLASS = np.full(256, 5, np.int64)  # 0 lower case, 1 upper case, 2 digit, 3 white space, 4 beyond ASCII, 5 sentence marks, 6 other marks
+_CLASS = np.full(256, 5, np.int8)  # 0 lower case, 1 upper case, 2 digit, 3 white space, 4 beyond ASCII, 5 sentence marks, 6 other marks
 _CLASS[ord("a") : ord("z") + 1] = 0
 _CLASS[ord("A") : ord("Z") + 1] = 1
 _CLASS[ord("0") : ord("9") + 1] = 2
@@ -171,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     given = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(own), "doc_id")  # at most `sample` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=CHUNK):
             doc, bucket, value, stats = featurize(texts_of(batch))
             cut = np.searchsorted(doc, np.arange(len(stats) + 1))
             yield pa.RecordBatch.from_arrays(
@@ -192,7 +195,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     names = docs.columns
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_col if keep else "text"):
+        for batch in chunks(batches, text_col if keep else "text", CHUNK):
             s = machine.score(texts_of(batch, text_col if keep else "text"))
             if keep:
                 yield batch.filter(pa.array(s >= threshold))
