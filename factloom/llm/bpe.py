@@ -23,7 +23,7 @@ from factloom.llm.common import chunks, texts_of
 from factloom.llm.token_counts import Both, runs
 
 #: Pre-tokens, and runs of them, whose ids a Python worker keeps; later ones are encoded anew in each batch.
-MEMO = 500_000
+MEMO = 150_000
 
 
 def byte_symbols() -> dict[str, int]:
