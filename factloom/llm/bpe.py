@@ -185,7 +185,7 @@ class PairIndexBPE:
 
 @cache
 def coder(path: str) -> PairIndexBPE:
-    """One for each Python worker, with its memo."""
+    """One for each Python worker; its memo lasts a task."""
     return PairIndexBPE(path)
 
 
@@ -212,6 +212,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             if with_ids:
                 out += [pa.array(raw, pa.binary()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(out)])
+        bpe.known, bpe.word_ids = {}, {}  # the worker goes on to other stages
 
     given = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return given.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids)

@@ -35,6 +35,8 @@ COVER = [0, 1, 3, 13, 32, 36, 43, 52]
 TUPLE = LENGTH - PERIOD + 1
 #: Bytes of text for each bucket of names, about.
 BUCKET_BYTES = 6 << 20
+#: Bytes of text in a block; a task works with some twenty bytes for each.
+BLOCK_BYTES = 2 << 20
 SEGMENT = 1 << 19
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
@@ -67,8 +69,9 @@ class Block:
         self.sizes = np.frombuffer(row["sizes"], "<i8")
         self.raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.place = np.arange(len(self.raw)) - np.repeat(self.starts, self.sizes)
-        self.left = np.repeat(self.sizes, self.sizes) - self.place
+        kind = np.int32 if len(self.raw) < 1 << 31 else np.int64
+        self.place = np.arange(len(self.raw), dtype=kind) - np.repeat(self.starts.astype(kind), self.sizes)
+        self.left = np.repeat(self.sizes.astype(kind), self.sizes) - self.place
 
     def samples(self) -> np.ndarray:
         return np.flatnonzero(_IN_COVER[self.place % PERIOD] & (self.left >= TUPLE))
@@ -193,7 +196,7 @@ def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)), 1 << 16)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=BLOCK_BYTES):
             yield block_row(batch.column(0).to_pylist(), [x.encode() for x in batch.column(1).to_pylist()])
 
     # one row for each text: the copy with the smallest id (rows that repeat as a whole are copies of each other)
