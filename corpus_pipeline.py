@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import bpe, decontaminate, jaccard, quality, repeats
-from factloom.llm.common import materialize, tokenizer_path
+from factloom.llm.common import compact, materialize, tokenizer_path
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def _counted(docs: DataFrame, text) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
+def _compact(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """What a stage made of ``docs`` by a shuffle, in files of some MB where the shuffle has more partitions than that."""
+    return compact(out, size=docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine scores 0.7 or more; it is fitted on labelled rows among those given."""
     return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")), keep=True)
@@ -33,7 +38,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = docs.select("doc_id").where("doc_id is not null")
     if ids.groupBy("doc_id").count().where("count > 1").take(1):
         docs = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return _compact(docs.join(others, "doc_id", "left_anti").select(*docs.columns), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +47,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     both = copied.select("key", F.lit("").alias("kept")).unionByName(found.select("key", F.col("kept_text").alias("kept")))
     new = F.when(F.octet_length("text") >= repeats.LENGTH, F.coalesce("kept", "text")).otherwise(F.col("text"))
     keyed = docs.withColumn("key", F.unhex(F.sha2(F.col("text").cast("binary"), 256))).join(both, "key", "left")
-    return _counted(keyed, new).select(*docs.columns)
+    return _compact(_counted(keyed, new).select(*docs.columns), docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python task holds at once (a longer text comes alone).
 CHUNK_BYTES = 6 << 20
+#: Rows of a few numbers, and bytes of text, that one file of a scratch table takes at least.
+FILE_ROWS, FILE_BYTES = 1_000_000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +37,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors."""
+def compact(df: DataFrame, rows: int = 0, size: int = 0) -> DataFrame:
+    """As many partitions as about ``rows`` short rows or ``size`` bytes of text deserve, where the shuffle made more; Python still runs partition by partition."""
+    return df.coalesce(max(1, -(-rows // FILE_ROWS), -(-size // FILE_BYTES)))
+
+
+def materialize(df: DataFrame, name: str, rows: int = 0, size: int = 0) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Where ``rows`` or ``size`` is known, small tables get few files instead of one for each shuffle partition.
+    """
     spark = df.sparkSession
+    if rows or size:
+        df = compact(df, rows, size)
     path, schema = scratch(spark, name), df.schema
     df.write.parquet(path)
     release(spark)

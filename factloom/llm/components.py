@@ -16,7 +16,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """
     both = lambda e: e.select(F.col("v").alias("u"), F.col("u").alias("v"))
     edges = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v").distinct()
-    edges, before = materialize(edges, "links"), None
+    n = links.count()
+    edges, before = materialize(edges, "links", rows=n), None
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     for _ in range(rounds):
         now = mark(edges)
@@ -31,6 +32,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u > v").distinct(), "links")
+        edges = materialize(small.where("u > v").distinct(), "links", rows=now[0])
     tops = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops).groupBy("node").agg(F.min("component").alias("component"))

@@ -242,13 +242,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([pa.array(x["doc"].copy()), pa.nulls(len(x), pa.int64()), pa.array(x["gram"].astype("<i8")), pa.array(x["n"].astype(np.int64)), pa.array(x["pos"].astype(np.int64)), pa.array([r.tobytes() for r in x["sig"]], pa.binary())], names=["a", "b", "gram", "n", "pos", "sig"])
 
     posted = mine.mapInArrow(post, "bucket int, postings binary").repartition(buckets, "bucket")
-    found = materialize(posted.mapInArrow(candidates, "a long, b long, gram long, n long, pos long, sig binary"), "candidates")
-    pairs = materialize(found.where("b is not null").select("a", "b").distinct(), "pairs")
-    links = materialize(verify(pairs, docs), "similar")
+    found = materialize(posted.mapInArrow(candidates, "a long, b long, gram long, n long, pos long, sig binary"), "candidates", size=size)
+    given = found.where("b is not null").select("a", "b")
+    pairs = materialize(given.distinct(), "pairs", rows=given.count())
+    links = materialize(verify(pairs, docs), "similar", size=size)
     labels = components(links)
     open_groups = found.where("b is null").drop("b")
     if open_groups.take(1):
-        labels = materialize(labels, "labels")
+        labels = materialize(labels, "labels", rows=2 * links.count())
         labelled = open_groups.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
         mixed = labelled.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gram")
 
@@ -303,7 +304,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield from out()
 
         more = labelled.join(mixed, "gram", "left_semi").select("gram", F.col("a").alias("doc"), "n", "pos", "sig", "component").repartition("gram").sortWithinPartitions("gram")
-        more = materialize(more.mapInArrow(rest, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        labels = components(links.unionByName(materialize(verify(more, docs), "similar")))
+        more = materialize(more.mapInArrow(rest, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "pairs", size=size)
+        labels = components(links.unionByName(materialize(verify(more, docs), "similar", size=size)))
     named = firsts.join(labels.withColumnRenamed("node", "first"), "first", "left").select("key", F.coalesce("component", "first").alias("component_id"))
     return meta.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -122,7 +122,7 @@ def dealt(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, own[first], np.append(first, len(own))
 
 
-def repeated_names(blocks: DataFrame, of: Callable, width: int, buckets: int) -> DataFrame:
+def repeated_names(blocks: DataFrame, of: Callable, width: int, buckets: int, size: int) -> DataFrame:
     """``block, marks``: for each bucket the bits that tell which names of the block occur more than once anywhere."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def repeated_names(blocks: DataFrame, of: Callable, width: int, buckets: int) ->
             yield got
 
     sent = blocks.mapInArrow(send, "bucket int, block string, names binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    got = materialize(sent.mapInArrow(receive, "block string, bucket int, bits binary"), "marks")
+    got = materialize(sent.mapInArrow(receive, "block string, bucket int, bits binary"), "marks", size=size)
     return got.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))  # at most one for each bucket
 
 
@@ -191,8 +191,8 @@ def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"))
     rows = rows.where(F.octet_length("text") >= LENGTH)
-    keys = materialize(rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("id")), "keys")
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    keys = materialize(rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("id")), "keys", size=size)
     buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)), 1 << 16)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +201,7 @@ def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
     # one row for each text: the copy with the smallest id (rows that repeat as a whole are copies of each other)
     first = rows.join(keys.select("key", "id"), [rows["id"].eqNullSafe(keys["id"]), rows["key"] == keys["key"]]).select(rows["key"], "text")
-    blocks = materialize(first.mapInArrow(pack, BLOCK), "blocks")
+    blocks = materialize(first.mapInArrow(pack, BLOCK), "blocks", size=size)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,8 +213,8 @@ def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                 texts = [block.raw[a : a + n].tobytes() for a, n in zip(block.starts[some].tolist(), block.sizes[some].tolist(), strict=True)]
                 yield block_row([k for k, x in zip(row["keys"], some.tolist(), strict=True) if x], texts, np.packbits(hit[some[owner]]).tobytes())
 
-    answers = repeated_names(blocks, tuple_names, 6, buckets)
-    some = materialize(blocks.join(answers, "block").mapInArrow(narrow, BLOCK), "blocks")
+    answers = repeated_names(blocks, tuple_names, 6, buckets, size)
+    some = materialize(blocks.join(answers, "block").mapInArrow(narrow, BLOCK), "blocks", size=size)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,8 +237,8 @@ def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                     kinds = [pa.binary(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.binary(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["key", "n_removed", "spans", "kept", "kept_sha256", "kept_text"])
 
-    answers = repeated_names(some, prefix_names, 8, buckets)
-    found = materialize(some.join(answers, "block").mapInArrow(remove, RESULT), "repeats")
+    answers = repeated_names(some, prefix_names, 8, buckets, size)
+    found = materialize(some.join(answers, "block").mapInArrow(remove, RESULT), "repeats", size=size)
     copied = keys.where("copies > 1").select("key", "copies")
     return copied, found.join(copied, "key", "left_anti")
 
