@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that a Python task holds at once (a longer text comes alone).
 CHUNK_BYTES = 6 << 20
 #: Rows of a few numbers, and bytes of text, that one file of a scratch table takes at least.
-FILE_ROWS, FILE_BYTES = 1_000_000, 8 << 20
+FILE_ROWS, FILE_BYTES = 1_000_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
