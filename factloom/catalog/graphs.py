@@ -32,7 +32,8 @@ edges AS (SELECT src, dst, ['CONTAINS', 'REFERENCES', 'DEFINES', 'USES_TERM', 'E
 def tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     for t in ("region", "nation", "customer"):
         read(spark, sf, t).createOrReplaceTempView(f"factloom_{t}")
-    text = _NODES.replace("CAST('' AS STRING)", "''")
+    # all customers; only the oracles' text stops at key 1000
+    text = _NODES.replace("CAST('' AS STRING)", "''").replace(" WHERE c_custkey < 1000", "")
     for t in ("region", "nation", "customer"):
         text = text.replace(f"FROM {t}", f"FROM factloom_{t}").replace(f"JOIN {t} ", f"JOIN factloom_{t} ")
     return spark.sql(f"WITH {text} SELECT * FROM nodes"), spark.sql(f"WITH {text} SELECT * FROM rules")
