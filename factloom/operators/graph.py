@@ -9,6 +9,8 @@ from factloom.functions import text as T
 
 #: Later kinds replace earlier ones between the same two nodes.
 PRECEDENCE = ["CONTAINS", "REFERENCES", "DEFINES", "USES_TERM", "EXCEPTION", "CITES"]
+#: Terms that a section is searched for at once.
+TERMS = 2000
 
 
 def one_edge(edges: DataFrame) -> DataFrame:
@@ -45,22 +47,39 @@ def bodies(lines: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def build_edges(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """All edges of ``id, type, number, title, text`` and ``rule_id, section``, one for each pair."""
+    """All edges of ``id, type, number, title, text`` and ``rule_id, section``, one for each pair.
+
+    Sections whose number begins with 2 are the definitions and use no terms. An exception without a cross-reference
+    to a known section is one to the parent.
+    """
     body = F.left(F.coalesce("text", F.lit("")), F.lit(2000))
-    sections = nodes.where("type = 'Section'").select("id", "number", body.alias("text"))
+    sections = nodes.where("type = 'Section'").select("id", "number", "title", body.alias("text"))
     contains = sections.where(F.col("number").contains(".")).select(F.concat(F.lit("section:"), T.section_parent(F.col("number"))).alias("src"), F.col("id").alias("dst"), F.lit("CONTAINS").alias("type"))
     refs = sections.select(F.col("id").alias("src"), F.explode(T.section_refs(F.col("text"))).alias("r"), "text").select("src", F.concat(F.lit("section:"), F.col("r")).alias("dst"), F.lit("REFERENCES").alias("type"), "text")
     exhibits = sections.select(F.col("id").alias("src"), F.explode(T.exhibit_refs(F.col("text"))).alias("r")).select("src", F.concat(F.lit("exhibit:"), F.col("r")).alias("dst"), F.lit("REFERENCES").alias("type"))
-    excepted = refs.where(F.col("text").rlike("(?i)" + T.EXCEPTION)).select("src", "dst", F.lit("EXCEPTION").alias("type"))
+    exception = F.col("text").rlike("(?i)" + T.EXCEPTION)
+    excepted = refs.where(exception).select("src", "dst", F.lit("EXCEPTION").alias("type"))
+    linked = excepted.where("src <> dst").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src")
+    to_parent = sections.where(exception & F.col("number").contains(".")).select(F.col("id").alias("src"), F.concat(F.lit("section:"), T.section_parent(F.col("number"))).alias("dst"), F.lit("EXCEPTION").alias("type")).join(linked, "src", "left_anti").select("src", "dst", "type")
     defined = sections.select(F.col("id").alias("src"), F.explode(T.definitions(F.col("text"))).alias("term"), "text")
     term_id = F.concat(F.lit("term:"), F.lower(F.regexp_replace("term", r"\s+", "_")))
     defines = defined.select("src", term_id.alias("dst"), F.lit("DEFINES").alias("type"))
+    uses = term_uses(sections.where(~F.startswith("number", F.lit("2"))), defined.select(term_id.alias("dst"), F.lower(F.trim("term")).alias("term")))
     cites = rules.select(F.concat(F.lit("rule:"), F.col("rule_id")).alias("src"), T.citation_node(F.col("section")).alias("dst"), F.lit("CITES").alias("type")).where("dst is not null")
-    every = contains.unionByName(refs.select("src", "dst", "type")).unionByName(exhibits).unionByName(excepted).unionByName(defines).unionByName(cites)
+    every = contains.unionByName(refs.select("src", "dst", "type")).unionByName(exhibits).unionByName(excepted).unionByName(to_parent).unionByName(defines).unionByName(uses).unionByName(cites)
     known = nodes.select(F.col("id").alias("dst")).unionByName(defines.select("dst")).distinct()
     return one_edge(every.where("src <> dst").join(known, "dst", "left_semi").select("src", "dst", "type"))
 
 
+def term_uses(sections: DataFrame, terms: DataFrame) -> DataFrame:
+    """USES_TERM edges: titles and texts that contain a term of ``dst, term``, whatever the case. Each section meets the terms in blocks."""
+    terms = terms.where("length(term) >= 3").distinct()
+    blocks = terms.groupBy(F.pmod(F.xxhash64("term"), F.lit(max(1, -(-terms.count() // TERMS)))).alias("block")).agg(F.collect_list(F.struct("dst", "term")).alias("terms"))
+    full = sections.select(F.col("id").alias("src"), F.lower(F.concat_ws(" ", "title", "text")).alias("full"))
+    found = F.filter("terms", lambda t: F.col("full").contains(t["term"]))
+    return full.crossJoin(blocks).select("src", F.explode(found).alias("t")).select("src", "t.dst", F.lit("USES_TERM").alias("type"))
+
+
 def ancestors(edges: DataFrame, depth: int = 8) -> DataFrame:
     """``node, ancestor, distance`` along CONTAINS edges; the tree is at most ``depth`` deep."""
     up = edges.where("type = 'CONTAINS'").select(F.col("dst").alias("node"), F.col("src").alias("ancestor"))

@@ -1,10 +1,53 @@
 """The section graph against brute force on small tables."""
 
+import re
+
 import pytest
 
 from factloom.catalog import graphs
+from factloom.functions import text as T
+from factloom.operators import graph as G
 from factloom.queries import queries
 
+SECTIONS = [
+    ("1", "General", ""), ("1.1", "Scope of a Lot Line rule", "See Section 1.2 unless waived."), ("1.2", "Setback", "Wells are exempted from it."),
+    ("1.3", "Odd", "A variance under Section 9.9 is possible near a lot  line."), ("1.4", "Self", "Unless Section 1.4 says so, any LOT LINE counts."),
+    ("1.5", "Local", '"drain field" means a field. Exhibit C shows a well.'), ("2", "Definitions", ""),
+    ("2.1", "Terms", '"Lot line" means a line. "Well" means a hole. A lot line is a line.'), ("3", "Notwithstanding the drain field", "Notwithstanding."),
+    ("3.1", "Bare", ""), ("3.2", "See Section 1.1", "Refer to Section 3.1 and see 1.1 about wells. Exhibit C applies."),
+]
+RULES = [("A", "1.1"), ("B", "Exhibit C"), ("C", "TBD"), ("D", "7.7"), ("E", "3.2")]
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    nodes = spark.createDataFrame([(f"section:{n}", "Section", n, t, x) for n, t, x in SECTIONS] + [("exhibit:C", "Exhibit", None, "Exhibit C", "")], "id string, type string, number string, title string, text string")
+    return nodes, spark.createDataFrame(RULES, "rule_id string, section string")
+
+
+def brute_edges():
+    """The edges as the reference adds them one by one: the last kind of a pair stays."""
+    ids, out = {f"section:{n}" for n, _, _ in SECTIONS}, {}
+    term_id = lambda t: "term:" + re.sub(r"\s+", "_", t.strip().lower())
+    terms = [t for _, _, x in SECTIONS for t in re.findall(T.DEFINITION, x)]
+    parent = lambda n: f"section:{n.rpartition('.')[0]}" if "." in n else None
+    refs = lambda n, x: [f"section:{r}" for r in re.findall(T.XREF, x) if f"section:{r}" in ids and r != n]
+    for n, _, _ in SECTIONS:
+        if parent(n) in ids:
+            out[parent(n), f"section:{n}"] = "CONTAINS"
+    for n, _, x in SECTIONS:
+        out |= {(f"section:{n}", d): "REFERENCES" for d in [*refs(n, x), *(["exhibit:C"] if "Exhibit C" in x else [])]}
+    for n, _, x in SECTIONS:
+        out |= {(f"section:{n}", term_id(t)): "DEFINES" for t in re.findall(T.DEFINITION, x)}
+    for n, title, x in SECTIONS:
+        if not n.startswith("2"):
+            out |= {(f"section:{n}", term_id(t)): "USES_TERM" for t in terms if t.lower() in f"{title} {x}".lower()}
+    for n, _, x in SECTIONS:
+        if re.search(T.EXCEPTION, x, re.I):
+            out |= {(f"section:{n}", d): "EXCEPTION" for d in refs(n, x) or [parent(n)] if d in ids}
+    out |= {(f"rule:{r}", d): "CITES" for r, s in RULES if (d := "exhibit:C" if s == "Exhibit C" else f"section:{s}") in ids | {"exhibit:C"}}
+    return out
+
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
@@ -23,3 +66,13 @@ def test_every_customer_is_a_node(spark, tables):
     assert {r.number for r in nodes.where("type = 'Section'").collect()} == want
     up = {(r.src, r.dst) for r in queries()["r3_edges"](spark, tables).where("type = 'CONTAINS'").collect()}
     assert up == {(f"section:{n.rpartition('.')[0]}", f"section:{n}") for n in want if "." in n}
+
+
+@pytest.mark.parametrize("block", [2000, 1])
+def test_edges_of_all_six_kinds(spark, small, monkeypatch, block):
+    monkeypatch.setattr(G, "TERMS", block, raising=False)
+    want = brute_edges()
+    assert set(want.values()) == set(G.PRECEDENCE)
+    assert {("section:1.2", "section:1"), ("section:1.3", "section:1"), ("section:1.4", "section:1")} < {k for k, v in want.items() if v == "EXCEPTION"}
+    got = G.build_edges(*small).collect()
+    assert len(got) == len(want) and {(r.src, r.dst): r.type for r in got} == want
