@@ -72,11 +72,17 @@ def r4b(spark, sf):
 
 @q("r5_unresolved_reach", ", walk(start, node) AS (SELECT 'rule:' || rule_id, 'rule:' || rule_id FROM rules UNION SELECT walk.start, e.dst FROM walk JOIN edges e ON e.src = walk.node AND e.type IN ('CITES', 'REFERENCES')) SELECT start, node FROM walk JOIN nodes ON id = node WHERE trim(text) = '' AND NOT (type = 'Section' AND len(string_split_regex(trim(title), '\\s+')) >= 4)")
 def r5(spark, sf):
+    return r5_discoveries(spark, sf).select("start", "node")
+
+
+@query("r5_discoveries")
+def r5_discoveries(spark, sf):
+    """r5 with the kind of edge that each unread node is reached by, and the number of its discoveries."""
     nodes, edges = graph(spark, sf)
     starts = tables(spark, sf)[1].select(F.concat(F.lit("rule:"), "rule_id").alias("start"))
     got = G.reach(starts, edges, ["CITES", "REFERENCES"])
     unread = nodes.where(~G.readable(C("type"), C("title"), C("text"))).select(C("id").alias("node"))
-    return got.join(unread, "node", "left_semi").select("start", "node")
+    return got.join(unread, "node", "left_semi").select("start", "node", "hops", "reached_via", "discoveries")
 
 
 @q("r6_readable", " SELECT id, trim(text) <> '' OR (type = 'Section' AND len(string_split_regex(trim(title), '\\s+')) >= 4) AS readable FROM nodes")

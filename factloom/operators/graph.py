@@ -90,18 +90,33 @@ def ancestors(edges: DataFrame, depth: int = 8) -> DataFrame:
     return out
 
 
-def reach(starts: DataFrame, edges: DataFrame, kinds: list[str], rounds: int = 20) -> DataFrame:
-    """``start, node, hops``: all nodes that can be reached, each once, by the fewest hops. Cycles end at nodes already seen."""
-    along = edges.where(F.col("type").isin(kinds)).select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"))
-    front = seen
-    for k in range(1, rounds + 1):
-        front = front.join(along, "node").select("start", F.col("next").alias("node")).distinct().join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(k))
-        front = front.checkpoint() if _has_dir(front) else front.cache()
+def reach(starts: DataFrame, edges: DataFrame, kinds: list[str], rounds: int | None = None) -> DataFrame:
+    """``start, node, hops, reached_via, discoveries``: all nodes that can be reached, each once, by the fewest hops.
+
+    With ``rounds``, all nodes within so many hops; without, the walk ends when no node is new. Cycles end at nodes already seen.
+    Nodes are taken by hops, then by id: a node's discoveries are its edges from nodes taken before it,
+    and the first of them gives ``reached_via``.
+    """
+    along = _cut(edges.where(F.col("type").isin(kinds)).select(F.col("src").alias("node"), F.col("dst").alias("next"), "type"))
+    seen = front = _cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct())
+    k = 0
+    while rounds is None or k < rounds:
+        k += 1
+        front = _cut(front.join(along, "node").select("start", F.col("next").alias("node")).distinct().join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(k)))
         if not front.take(1):
             break
         seen = seen.unionByName(front)
-    return seen.where("hops > 0")
+        if k % 16 == 0:  # so that a long walk isn't a union of as many tables
+            seen = _cut(seen.repartition("start", "node"))
+    taken = seen if rounds is None else seen.where(F.col("hops") < rounds)
+    found = taken.withColumnsRenamed({"hops": "k"}).join(along, "node").select("start", F.struct("k", "node").alias("by"), F.col("next").alias("node"), "type").join(seen, ["start", "node"])
+    found = found.where((F.col("hops") > 0) & (F.col("by") < F.struct(F.col("hops").alias("k"), "node")))
+    return found.groupBy("start", "node", "hops").agg(F.min_by("type", "by").alias("reached_via"), F.count("*").alias("discoveries"))
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows, computed once and without the plan behind them, which would double with each round."""
+    return df.checkpoint() if _has_dir(df) else df.localCheckpoint()
 
 
 def _has_dir(df: DataFrame) -> bool:

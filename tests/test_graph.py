@@ -76,3 +76,29 @@ def test_edges_of_all_six_kinds(spark, small, monkeypatch, block):
     assert {("section:1.2", "section:1"), ("section:1.3", "section:1"), ("section:1.4", "section:1")} < {k for k, v in want.items() if v == "EXCEPTION"}
     got = G.build_edges(*small).collect()
     assert len(got) == len(want) and {(r.src, r.dst): r.type for r in got} == want
+
+
+def brute_reach(start, edges, bound=None):
+    """Breadth first, nodes of one depth in order of id, and one discovery for each edge to a node not yet taken."""
+    out, level, visited, k = {}, [start], set(), 0
+    while level and (bound is None or k < bound):
+        for at in level:
+            visited.add(at)
+            for s, d, kind in edges:
+                if s == at and d not in visited:
+                    hops, via, n = out.get(d, (k + 1, kind, 0))
+                    out[d] = hops, via, n + 1
+        level, k = sorted(d for d, (hops, _, _) in out.items() if hops == k + 1 and d not in visited), k + 1
+    return out
+
+
+def test_reach_has_no_cap(spark):
+    chain = [("rule:A", "s00", "CITES")] + [(f"s{k:02}", f"s{k + 1:02}", "REFERENCES") for k in range(34)]
+    edges = chain + [("rule:B", "s30", "CITES"), ("rule:B", "s31", "CITES"), ("s34", "s03", "REFERENCES"), ("s02", "s05", "REFERENCES"), ("s04", "s05", "EXCEPTION")]
+    table = spark.createDataFrame(edges, "src string, dst string, type string")
+    starts = spark.createDataFrame([("rule:A",), ("rule:B",), ("rule:C",)], "start string")
+    walked = [e for e in edges if e[2] != "EXCEPTION"]
+    for bound in (None, 5):
+        got = {(r.start, r.node): (r.hops, r.reached_via, r.discoveries) for r in G.reach(starts, table, ["CITES", "REFERENCES"], *[bound][: bound is not None]).collect()}
+        assert got == {(s, d): v for s in ("rule:A", "rule:B") for d, v in brute_reach(s, walked, bound).items()}
+    assert max(v[0] for v in brute_reach("rule:A", walked).values()) > 20 and brute_reach("rule:B", walked)["s31"] == (1, "CITES", 2)
