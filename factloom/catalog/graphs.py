@@ -65,9 +65,7 @@ def r4(spark, sf):
 
 @q("r4_context", " SELECT n.id, count(*) FILTER (e.type = 'REFERENCES') AS refs, count(*) FILTER (e.type = 'DEFINES') AS defs, count(*) FILTER (e.type = 'EXCEPTION') AS exceptions FROM nodes n LEFT JOIN edges e ON e.src = n.id GROUP BY 1")
 def r4b(spark, sf):
-    nodes, edges = graph(spark, sf)
-    n = lambda t: F.count(F.when(C("e.type") == t, 1))
-    return nodes.alias("n").join(edges.alias("e"), C("n.id") == C("e.src"), "left").groupBy("id").agg(n("REFERENCES").alias("refs"), n("DEFINES").alias("defs"), n("EXCEPTION").alias("exceptions"))
+    return G.context(*graph(spark, sf))
 
 
 @q("r5_unresolved_reach", ", walk(start, node) AS (SELECT 'rule:' || rule_id, 'rule:' || rule_id FROM rules UNION SELECT walk.start, e.dst FROM walk JOIN edges e ON e.src = walk.node AND e.type IN ('CITES', 'REFERENCES')) SELECT start, node FROM walk JOIN nodes ON id = node WHERE trim(text) = '' AND NOT (type = 'Section' AND len(string_split_regex(trim(title), '\\s+')) >= 4)")
@@ -149,11 +147,8 @@ def s18(spark, sf):
 
 @q("c24_rule_checklist", " SELECT r.rule_id, count(DISTINCT c.dst) AS cited, count(DISTINCT b.dst) AS refs FROM rules r LEFT JOIN edges c ON c.src = 'rule:' || r.rule_id AND c.type = 'CITES' LEFT JOIN edges b ON b.src = c.dst AND b.type = 'REFERENCES' GROUP BY 1")
 def c24(spark, sf):
-    edges = graph(spark, sf)[1]
-    rules = tables(spark, sf)[1].select("rule_id", F.concat(F.lit("rule:"), "rule_id").alias("src"))
-    cited = edges.where("type = 'CITES'").select("src", C("dst").alias("node"))
-    refs = edges.where("type = 'REFERENCES'").select(C("src").alias("node"), C("dst").alias("ref"))
-    return rules.join(cited, "src", "left").join(refs, "node", "left").groupBy("rule_id").agg(F.countDistinct("node").alias("cited"), F.countDistinct("ref").alias("refs"))
+    nodes, edges = graph(spark, sf)
+    return G.checklist(tables(spark, sf)[1], nodes, G.context(nodes, edges))
 
 
 @q("c16_coverage_report", f", s AS (SELECT id, regexp_matches(title || ' ' || text, '(?i){T.OBLIGATION}') AS ob, id IN (SELECT dst FROM edges WHERE type = 'CITES') AS cited FROM nodes WHERE type = 'Section') SELECT count(*) AS sections, count(*) FILTER (ob) AS obligations, count(*) FILTER (ob AND cited) AS cited, count(*) FILTER (ob AND NOT cited) AS uncited FROM s")

@@ -123,6 +123,60 @@ def _has_dir(df: DataFrame) -> bool:
     return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
 
 
+def terms_of(nodes: DataFrame) -> DataFrame:
+    """``id, term, defined_in, first`` of each defined term: the last definition in a section that begins with 2, or else the first one anywhere; ``first`` sorts terms by their first definition."""
+    own = nodes.where("type = 'Section'").select("number", F.posexplode(T.definitions(F.left(F.coalesce("text", F.lit("")), F.lit(2000)))).alias("at", "term"))
+    own = own.select(F.concat(F.lit("term:"), F.lower(F.regexp_replace("term", r"\s+", "_"))).alias("id"), F.trim("term").alias("term"), "number", F.struct((~F.startswith("number", F.lit("2"))).alias("other"), T.section_key(F.col("number")).alias("key"), "at").alias("k"))
+    told = F.struct("term", F.col("number").alias("defined_in"))
+    got = own.groupBy("id").agg(F.min("k").alias("first"), F.min_by(told, "k").alias("a"), F.max_by(told, F.when(~F.col("k.other"), F.col("k"))).alias("b"))
+    return got.select("id", F.coalesce("b", "a").alias("t"), "first").select("id", "t.*", "first")
+
+
+def context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per section ``id, number, title, text, ancestors, references, definitions, exceptions``.
+
+    Ancestors go from the root down; references follow the text, sections before exhibits, with 500 characters of text each; definitions
+    are the terms used, in the order of their definitions; exceptions are the sections that modify this one, with 300 characters each.
+    """
+    nodes, edges = _cut(nodes), _cut(edges)  # the parts read both, and the edges' plan is long
+    body = lambda n: F.left(F.coalesce("text", F.lit("")), F.lit(n))
+    sections = nodes.where("type = 'Section'").select("id", "number", "title", body(2000).alias("text"))
+    listed = lambda df, key, item, name: df.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), item.alias("v")))), lambda x: x["v"]).alias(name))
+    title = F.struct("number", "title")
+    up = reach(sections.select(F.col("id").alias("start")), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"), ["CONTAINS"])
+    up = up.select(F.col("start").alias("id"), "node", "hops").join(sections.select(F.col("id").alias("node"), "number", "title"), "node")
+    refs = edges.where("type = 'REFERENCES'").join(sections.select(F.col("id").alias("src"), F.col("text").alias("own")), "src").select(F.col("src").alias("id"), "dst", "own")
+    refs = refs.join(nodes.select(F.col("id").alias("dst"), "type", F.coalesce("number", F.regexp_extract("id", "^exhibit:(.*)", 1)).alias("number"), "title", body(500).alias("text")), "dst")
+    place = F.struct((F.col("type") != "Section").alias("exhibit"), F.when(F.col("type") == "Section", F.array_position(T.section_refs(F.col("own")), F.col("number"))).otherwise(F.array_position(T.exhibit_refs(F.col("own")), F.col("number"))).alias("at"), "dst")
+    used = edges.where("type = 'USES_TERM'").select(F.col("src").alias("id"), "dst").join(terms_of(nodes).withColumnRenamed("id", "dst"), "dst")
+    exceptions = edges.where("type = 'EXCEPTION'").select(F.col("dst").alias("id"), "src").join(nodes.select(F.col("id").alias("src"), "number", "title", body(300).alias("text")), "src")
+    out = sections
+    for part in (
+        listed(up, -F.col("hops"), title, "ancestors"),
+        listed(refs, place, F.struct(F.col("dst").alias("id"), "type", "number", "title", "text"), "references"),
+        listed(used, F.struct("first", "dst"), F.struct("term", "defined_in"), "definitions"),
+        listed(exceptions, F.struct(T.section_key(F.col("number")).alias("key"), "src"), F.struct("number", "title", "text"), "exceptions"),
+    ):
+        name = part.columns[1]
+        out = out.join(part, "id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    return out
+
+
+def checklist(rules: DataFrame, nodes: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Each rule with the context of what it cites, as much of it as a reviewer reads: 900 characters of the section (or 44 lines of the exhibit), 6 references, 8 terms, 4 exceptions."""
+    flat = lambda c, n: F.left(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(n))
+    shown = contexts.select(
+        F.col("id").alias("cited"),
+        F.array_join(F.transform("ancestors", lambda a: F.trim(F.concat_ws(" ", a["number"], F.left(a["title"], F.lit(40))))), " > ").alias("trail"),
+        flat("text", 900).alias("body"),
+        F.transform(F.slice("references", 1, 6), lambda r: F.struct(F.concat_ws(" ", r["type"], r["number"]).alias("label"), F.left(r["title"], F.lit(70)).alias("title"), flat(r["text"], 320).alias("text"))).alias("references"),
+        F.slice("definitions", 1, 8).alias("definitions"),
+        F.transform(F.slice("exceptions", 1, 4), lambda e: F.struct(e["number"].alias("number"), flat(e["text"], 300).alias("text"))).alias("exceptions"),
+    )
+    exhibits = nodes.where("type = 'Exhibit'").select(F.col("id").alias("cited"), F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, 44), "\n").alias("body"))
+    return rules.select("rule_id", T.citation_node(F.col("section")).alias("cited")).join(shown.unionByName(exhibits, allowMissingColumns=True), "cited", "left").select("rule_id", *shown.columns)
+
+
 def readable(node_type: Column, title: Column, text: Column) -> Column:
     return (F.trim(F.coalesce(text, F.lit(""))) != "") | ((node_type == "Section") & (F.size(F.split(F.trim(title), r"\s+")) >= 4))
 

@@ -102,3 +102,44 @@ def test_reach_has_no_cap(spark):
         got = {(r.start, r.node): (r.hops, r.reached_via, r.discoveries) for r in G.reach(starts, table, ["CITES", "REFERENCES"], *[bound][: bound is not None]).collect()}
         assert got == {(s, d): v for s in ("rule:A", "rule:B") for d, v in brute_reach(s, walked, bound).items()}
     assert max(v[0] for v in brute_reach("rule:A", walked).values()) > 20 and brute_reach("rule:B", walked)["s31"] == (1, "CITES", 2)
+
+
+def brute_context(n):
+    """As the reference collects it; terms by their first definition, the last one in a section of 2 counts."""
+    own = {f"section:{a}": (a, b, c) for a, b, c in SECTIONS}
+    edges, ups, at = brute_edges(), [], n
+    while (at := at.rpartition(".")[0]) and f"section:{at}" in own:
+        ups.insert(0, own[f"section:{at}"][:2])
+    text = own[f"section:{n}"][2]
+    refs = list(dict.fromkeys([f"section:{r}" for r in re.findall(T.XREF, text)] + [f"exhibit:{r}" for r in re.findall(T.EXHIBIT, text)]))
+    refs = [r for r in refs if edges.get((f"section:{n}", r)) == "REFERENCES"]
+    terms = {}
+    for two in (True, False):
+        for a, _, x in SECTIONS:
+            for t in re.findall(T.DEFINITION, x) if a.startswith("2") == two else ():
+                if two or t not in terms:
+                    terms[t] = a
+    used = [(t, a) for t, a in terms.items() if edges.get((f"section:{n}", "term:" + t.lower().replace(" ", "_"))) == "USES_TERM"]
+    exceptions = [(a, b, c[:300]) for a, b, c in SECTIONS if edges.get((f"section:{a}", f"section:{n}")) == "EXCEPTION"]
+    return ups, [(r, own[r][2][:500] if r in own else "") for r in refs], used, exceptions
+
+
+def test_context(spark, small):
+    nodes, rules = small
+    edges = G.build_edges(nodes, rules)
+    contexts = G.context(nodes, edges)
+    got = {r.number: ([tuple(a) for a in r.ancestors], [(x.id, x.text) for x in r.references], [tuple(d) for d in r.definitions], [tuple(e) for e in r.exceptions]) for r in contexts.collect()}
+    want = {n: brute_context(n) for n, _, _ in SECTIONS}
+    assert got == want
+    # an exception belongs to the section that it modifies, not to the one that states it
+    assert [e[0] for e in want["1"][3]] == ["1.2", "1.3", "1.4"] and not want["1.3"][3] and want["1.5"][2]
+    rows = {r.rule_id: r for r in G.checklist(rules, nodes, contexts).collect()}
+    assert set(rows) == {r for r, _ in RULES} and rows["C"].cited is None and rows["D"].body is None and rows["B"].body == ""
+    assert rows["E"].trail == "3 Notwithstanding the drain field" and rows["E"].body == SECTIONS[-1][2]
+    assert [x.label for x in rows["E"].references] == [f"Section {i.split(':')[1]}" if "section" in i else "Exhibit C" for i, _ in want["3.2"][1]]
+
+
+def test_context_queries(spark, tables):
+    row = queries()["r4_context"](spark, tables).where("number = '1.0.1500'").first()
+    assert [a.number for a in row.ancestors] == ["1", "1.0"] and [r.id for r in row.references] == ["section:1.0"] and row.text.startswith("refer to")
+    assert {"trail", "references", "definitions", "exceptions"} < set(queries()["c24_rule_checklist"](spark, tables).columns)
