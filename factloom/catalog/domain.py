@@ -252,10 +252,12 @@ def c22(spark, sf):
 
 @graphs.q("c25_context_differential", " SELECT r.rule_id, count(e.dst) AS a, count(e.dst) AS b, TRUE AS same FROM rules r LEFT JOIN edges e ON e.src = 'rule:' || r.rule_id WHERE r.section <> 'Exhibit C' GROUP BY 1")
 def c25(spark, sf):
-    edges, rules = graphs.graph(spark, sf)[1], graphs.tables(spark, sf)[1].where("section <> 'Exhibit C'")
-    key = F.concat(F.lit("rule:"), "rule_id")
-    count = lambda e, n: rules.select("rule_id", key.alias("src")).join(e, "src", "left").groupBy("rule_id").agg(F.count("dst").alias(n))
-    return count(edges, "a").join(count(G.one_edge(edges), "b"), "rule_id").withColumn("same", C("a") == C("b"))
+    nodes, edges = graphs.graph(spark, sf)
+    rules = graphs.tables(spark, sf)[1].where("section <> 'Exhibit C'").select("rule_id", T.citation_node(C("section")).alias("id"))
+    both = G.context_items(G.context(nodes, edges)).withColumn("s", F.lit(1)).unionByName(G.twin_context_items(nodes, edges).withColumn("s", F.lit(2)))
+    items = both.groupBy("id", "part", "item").agg(F.count_if(C("s") == 1).alias("a"), F.count_if(C("s") == 2).alias("b"))
+    own = rules.join(items, "id", "left").groupBy("rule_id").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.coalesce(F.bool_and((C("a") > 0) == (C("b") > 0)), F.lit(True)).alias("same"))
+    return own.select("rule_id", "a", "b", "same")
 
 
 @query("c26_acquisition_cascade", "SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN 'cache' WHEN p.page_id IS NOT NULL THEN 'object' ELSE 'refused' END AS origin FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN pages p ON p.page_id = d.doc_id")

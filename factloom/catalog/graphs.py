@@ -121,11 +121,8 @@ def r10(spark, sf):
 
 @q("r11_backend_parity", " SELECT count(*) AS differences FROM edges WHERE FALSE")
 def r11(spark, sf):
-    from factloom.operators.relational import parity
-
-    nodes, edges = graph(spark, sf)
-    a = edges.select(F.concat_ws(">", "src", "dst").alias("k"), "type")
-    return parity(a, G.one_edge(edges).select(F.concat_ws(">", "src", "dst").alias("k"), "type"), "k", ["type"]).agg(F.count("*").alias("differences"))
+    starts = tables(spark, sf)[1].select(F.concat(F.lit("rule:"), "rule_id").alias("start"))
+    return G.backend_differences(starts, *graph(spark, sf)).agg(F.count("*").alias("differences"))
 
 
 @q("r12_prefix_invariant", " SELECT count(*) AS bad FROM edges WHERE type = 'CONTAINS' AND NOT starts_with(dst, src || '.')")

@@ -189,6 +189,58 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.select("id", "number", F.left(F.coalesce("text", F.lit("")), F.lit(150)).alias("preview"), T.section_key(F.col("number")).alias("key"))
 
 
+#: The twin's words: fewer than T.OBLIGATION, inside of words too, and only in a text without line breaks.
+TWIN_OBLIGATION = r"(?i)\A.*(shall|must|may\s+not|minimum|maximum|no\s+less\s+than|no\s+more\s+than|at\s+least|not\s+exceed|prohibited).*\z"
+
+
+def twin_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``orphans`` as the openCypher twin has it: ``id, number``, in lexical order of ``number``."""
+    cited = edges.where("type = 'CITES'").select(F.col("dst").alias("id"))
+    says = lambda c: F.coalesce(F.col(c), F.lit("")).rlike(TWIN_OBLIGATION)
+    return nodes.where((F.col("type") == "Section") & (says("text") | says("title"))).join(cited, "id", "left_anti").select("id", "number")
+
+
+def unresolved(starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``start, node``: unread nodes that a rule depends on, however far."""
+    unread = nodes.where(~readable(F.col("type"), F.col("title"), F.col("text"))).select(F.col("id").alias("node"))
+    return reach(starts, edges, ["CITES", "REFERENCES"]).join(unread, "node", "left_semi").select("start", "node")
+
+
+def twin_unresolved(starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``unresolved`` as the twin has it: within five hops, and a title's words are cut at single blanks."""
+    long = (F.col("type") == "Section") & (F.size(F.split(F.coalesce("title", F.lit("")), " ")) >= 4)
+    unread = nodes.where((F.trim(F.coalesce("text", F.lit(""))) == "") & ~long).select(F.col("id").alias("node"))
+    return reach(starts, edges, ["CITES", "REFERENCES"], 5).join(unread, "node", "left_semi").select("start", "node")
+
+
+def context_items(contexts: DataFrame) -> DataFrame:
+    """``id, part, item`` of ``context``, by the fields that a comparison of contexts looks at."""
+    part = lambda name, field: contexts.select("id", F.lit(name).alias("part"), F.explode(name).alias("x")).select("id", "part", F.col(f"x.{field}").alias("item"))
+    return part("ancestors", "number").unionByName(part("references", "id")).unionByName(part("definitions", "term")).unionByName(part("exceptions", "number"))
+
+
+def twin_context_items(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``context_items`` by the twin's patterns: paths of CONTAINS from each section down, and single edges."""
+    sections = nodes.where("type = 'Section'").select("id", "number")
+    down = reach(sections.select(F.col("id").alias("start")), edges, ["CONTAINS"]).join(sections.select(F.col("id").alias("start"), "number"), "start")
+    row = lambda df, i, name, item: df.select(F.col(i).alias("id"), F.lit(name).alias("part"), F.col(item).alias("item"))
+    from_section = edges.join(sections.select(F.col("id").alias("src")), "src", "left_semi")
+    used = from_section.where("type = 'USES_TERM'").join(terms_of(nodes).select(F.col("id").alias("dst"), "term"), "dst")
+    said = edges.where("type = 'EXCEPTION'").join(sections.select(F.col("id").alias("src"), "number"), "src").join(sections.select(F.col("id").alias("dst")), "dst", "left_semi")
+    return row(down, "node", "ancestors", "number").unionByName(row(from_section.where("type = 'REFERENCES'"), "src", "references", "dst")).unionByName(row(used, "src", "definitions", "term")).unionByName(row(said, "dst", "exceptions", "number")).distinct()
+
+
+def backend_differences(starts: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``what, subject, item, side``: what only the in-process functions or only the twin says of rules and sections."""
+    nodes, edges = _cut(nodes), _cut(edges)
+    form = lambda df, what, subject, item: df.select(F.lit(what).alias("what"), F.col(subject).alias("subject"), F.col(item).alias("item"))
+    parts = lambda df: df.select(F.concat(F.lit("context "), "part").alias("what"), F.col("id").alias("subject"), "item")
+    a = form(unresolved(starts, nodes, edges), "unresolved", "start", "node").unionByName(form(orphans(nodes, edges), "orphans", "id", "number")).unionByName(parts(context_items(context(nodes, edges))))
+    b = form(twin_unresolved(starts, nodes, edges), "unresolved", "start", "node").unionByName(form(twin_orphans(nodes, edges), "orphans", "id", "number")).unionByName(parts(twin_context_items(nodes, edges)))
+    both = a.distinct().withColumn("a", F.lit(1)).unionByName(b.distinct().withColumn("a", F.lit(-1))).groupBy("what", "subject", "item").agg(F.sum("a").alias("a"))
+    return both.where("a <> 0").select("what", "subject", "item", F.when(F.col("a") > 0, "in-process").otherwise("twin").alias("side"))
+
+
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Counts by kind, and totals."""
     count = lambda d, what: d.rollup("type").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), F.coalesce("type", F.lit("all")).alias("type"), "n")

@@ -143,3 +143,30 @@ def test_context_queries(spark, tables):
     row = queries()["r4_context"](spark, tables).where("number = '1.0.1500'").first()
     assert [a.number for a in row.ancestors] == ["1", "1.0"] and [r.id for r in row.references] == ["section:1.0"] and row.text.startswith("refer to")
     assert {"trail", "references", "definitions", "exceptions"} < set(queries()["c24_rule_checklist"](spark, tables).columns)
+
+
+def test_differences_between_two_forms(spark):
+    """What SURVEY T11 lists: five hops, words inside of words, fewer words, and line breaks."""
+    rows = [(str(k), f"S{k}", f"See {k + 1}" if k < 8 else "") for k in range(1, 9)]
+    rows += [("10", "A mustard field", ""), ("11", "Odd", "It is required here"), ("12", "Even", "first\nit shall be"), ("13", "Both", "it shall be")]
+    nodes = spark.createDataFrame([(f"section:{n}", "Section", n, t, x) for n, t, x in rows], "id string, type string, number string, title string, text string")
+    edges = spark.createDataFrame([("rule:A", "section:1", "CITES"), ("rule:B", "section:6", "CITES")] + [(f"section:{k}", f"section:{k + 1}", "REFERENCES") for k in range(1, 8)], "src string, dst string, type string")
+    starts = spark.createDataFrame([("rule:A",), ("rule:B",)], "start string")
+    got = {tuple(r) for r in G.backend_differences(starts, nodes, edges).collect()}
+    assert got == {("unresolved", "rule:A", "section:8", "in-process"), ("orphans", "section:10", "10", "twin"), ("orphans", "section:11", "11", "in-process"), ("orphans", "section:12", "12", "in-process")}
+
+
+def test_two_forms_of_a_context(spark, small):
+    nodes, rules = small
+    edges = G.build_edges(nodes, rules)
+    a = {tuple(r) for r in G.context_items(G.context(nodes, edges)).collect()}
+    want = {(f"section:{n}", p, i) for n, _, _ in SECTIONS for p, items in zip(("ancestors", "references", "definitions", "exceptions"), brute_context(n), strict=True) for i, *_ in items}
+    assert a == want == {tuple(r) for r in G.twin_context_items(nodes, edges).collect()}
+
+
+def test_c25_compares_contexts(spark, tables, monkeypatch):
+    rows = queries()["c25_context_differential"](spark, tables).collect()
+    assert all(r.same and r.a == r.b for r in rows) and max(r.a for r in rows) > 1
+    twin = G.twin_context_items
+    monkeypatch.setattr(G, "twin_context_items", lambda *a: twin(*a).where("part <> 'ancestors'"))
+    assert not all(r.same for r in queries()["c25_context_differential"](spark, tables).collect())
