@@ -124,16 +124,24 @@ def arrow_tensors(x: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
     return out.getvalue()
 
 
-def features(samples: bytes) -> tuple[np.ndarray, list[tuple[float, float]], list[tuple[float, float]], str]:
-    """Tensors, their time spans, the active time spans, and a summary."""
+def from_arrow_tensors(stored: bytes) -> np.ndarray:
+    column = pa.ipc.open_stream(stored).read_all().column("tensor").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    return column.to_numpy_ndarray()
+
+
+def features(samples: bytes) -> tuple[bytes, list[tuple[float, float]], list[tuple[float, float]], str]:
+    """Tensors as they are stored, their time spans, the active time spans, and a summary of the tensors read back."""
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     mels, energy = log_mel(resample(x))
     second = HOP * DOWN / (UP * RATE)
     cubes = tensors(mels)
     spans = [(i * TENSOR * second, min((i + 1) * TENSOR, len(mels)) * second) for i in range(len(cubes))]
+    stored = arrow_tensors(cubes, spans)
+    cubes = from_arrow_tensors(stored)
     active = [(a * second, b * second) for a, b in segments(energy)]
     summary = f"frames={len(mels)};tensors={len(cubes)};mel={mels.mean():.3f};db={np.median(energy):.2f};segments={len(active)};active_s={sum(b - a for a, b in active):.2f};sha1={hashlib.sha1(cubes.astype('<f2').tobytes()).hexdigest()[:16]}"
-    return cubes, spans, active, summary
+    return stored, spans, active, summary
 
 
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
@@ -151,9 +159,9 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
                 data = text.encode()
                 stored = to_wav(payload_of(data))
                 back = from_wav(stored)
-                cubes, spans, active, summary = features(back)
+                tensor, _, active, summary = features(back)
                 row = [len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), summary]
-                rows.append([*row, stored, arrow_tensors(cubes, spans), [{"start_s": a, "end_s": b} for a, b in active]] if with_media else row)
+                rows.append([*row, stored, tensor, [{"start_s": a, "end_s": b} for a, b in active]] if with_media else row)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
             names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "tensors", "active"]
             columns = list(zip(*rows, strict=True))
