@@ -153,29 +153,70 @@ def sets_of(t):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def test_jaccard(docs, none):
-    rows = [(i, sets_of(t)) for i, t in ROWS if i is not None]
-    top = {i: i for i, _ in rows}
+def classes(rows):
+    """doc_id, size of the set and smallest id reachable, for rows of any ids and texts; rows without id link too."""
+    rows = [(i, t, sets_of(t)) for i, t in rows]
+    top = list(range(len(rows)))
 
     def find(i):
         while top[i] != i:
             i = top[i]
         return i
 
-    for i, s in rows:
-        for j, t in rows:
-            if i < j and s and 100 * len(s & t) >= 80 * len(s | t):
-                a, b = find(i), find(j)
-                top[max(a, b)] = min(a, b)
-    got = [r for r in jaccard.similar(docs).collect() if r.doc_id is not None]
-    assert multi(got) == multi((i, len(s), find(i)) for i, s in rows)
+    for a, (_, _, s) in enumerate(rows):
+        for b in range(a):
+            t = rows[b][2]
+            if s and 100 * len(s & t) >= 80 * len(s | t):
+                top[find(a)] = find(b)
+    least = {}
+    for k, (i, _, _) in enumerate(rows):
+        least.setdefault(find(k), []).append(i)
+    named = lambda k: min((i for i in least[find(k)] if i is not None), default=None)
+    return multi((i, len(s), named(k) if s else i) for k, (i, _, s) in enumerate(rows))
+
+
+@pytest.mark.parametrize("hot", [None, 2])
+def test_jaccard(docs, none, monkeypatch, hot):
+    if hot:
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        monkeypatch.setattr(jaccard, "UNIT", 3)
+        monkeypatch.setattr(jaccard, "SMALL", 2)
+    assert multi(jaccard.similar(docs).collect()) == classes(ROWS)
     assert jaccard.similar(none).count() == 0
 
 
+def test_jaccard_of_repeated_ids(spark):
+    """One id with two texts, each of them with a near copy of its own."""
+    a, b = words(60), words(60)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (1, b), (None, a)]
+    assert multi(jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == classes(rows)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_jaccard_of_many_near_copies(spark, monkeypatch, seed):
+    """Chains of small changes and texts just above and below the threshold; the second round has to find links, in blocks."""
+    monkeypatch.setattr(jaccard, "OFFSETS", ())
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "UNIT", 5)
+    monkeypatch.setattr(jaccard, "HOT", [1000, 4][seed])
+    r, rows = random.Random(seed), []
+    for g in range(4):
+        base = [f"w{g}x{k}" for k in range(r.choice([8, 25, 60]))]
+        for k in range(40):
+            own = list(base if r.random() < 0.6 or not rows else rows[-1][1].split(" "))
+            for _ in range(r.randint(0, 4)):
+                own[r.randrange(len(own))] = f"e{r.random()}"
+            if r.random() < 0.3:
+                own = own[: max(1, int(len(own) * r.choice([0.8, 0.9])))]
+            rows.append((1000 * g + k, " ".join(own)))
+    r.shuffle(rows)
+    assert multi(jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == classes(rows)
+
+
 def test_components(spark):
-    pairs = [(k, k + 1) for k in range(40)] + [(100, 90), (7, 7), (None, 3), (90, 95), (100, 90)]
+    pairs = [(k, k + 1) for k in range(300)] + [(1000, 900), (7, 7), (None, 3), (900, 950), (1000, 900)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    assert got == dict.fromkeys(range(41), 0) | dict.fromkeys((90, 95, 100), 90)
+    assert got == dict.fromkeys(range(301), 0) | dict.fromkeys((900, 950, 1000), 900)
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
