@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import chunks, texts_of
+from factloom.llm.common import chunks, fine_batches, texts_of, tidy
 from factloom.llm.token_counts import Both, runs
 
 #: Pre-tokens, and runs of them, whose ids a Python worker keeps; later ones are encoded anew in each batch.
@@ -194,8 +194,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     A null or empty text has no ids and decodes to the empty string. Repeated
     rows repeat; an empty table gives an empty result. Special strings inside
-    texts become their special id. ``path`` must be readable on every executor.
+    texts become their special id. Very long texts are encoded whole, by one task. ``path`` must be readable on every executor.
     """
+    fine_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
@@ -215,4 +216,4 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         bpe.known, bpe.word_ids = {}, {}  # the worker goes on to other stages
 
     given = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return given.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids)
+    return given.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids)

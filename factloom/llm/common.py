@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python task holds at once (a longer text comes alone).
 CHUNK_BYTES = 6 << 20
+#: Bytes of an Arrow batch, where the session leaves Spark's own limit as it is.
+ARROW_BATCH = 8 << 20
 #: Rows of a few numbers, and bytes of text, that one file of a scratch table takes at least.
 FILE_ROWS, FILE_BYTES = 1_000_000, 32 << 20
 
@@ -37,6 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def fine_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes: thousands of documents in one would fill the executor's and the worker's memory.
+
+    Changes the session's setting, unless the session has set one.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(key, ARROW_BATCH)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -54,6 +66,7 @@ def materialize(df: DataFrame, name: str, rows: int = 0, size: int = 0) -> DataF
     spark = df.sparkSession
     if rows or size:
         df = compact(df, rows, size)
+    fine_batches(spark)
     path, schema = scratch(spark, name), df.schema
     df.write.parquet(path)
     release(spark)

@@ -9,7 +9,7 @@ the words they cover are merged into spans to remove.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import chunks, texts_of
+from factloom.llm.common import chunks, discard, fine_batches, materialize, texts_of, tidy
 from factloom.llm.shingles import words
 
 #: Words of a window; words of a shard; every so many suffix positions are kept.
@@ -136,15 +136,15 @@ class FMIndex:
 
 
 class Windows:
-    """Distinct benchmark windows, by length, and the items that have them."""
+    """Distinct benchmark windows, by length, and the items that have them (an item without id has windows, but no name)."""
 
-    def __init__(self, items: list[tuple[str, str]]):
+    def __init__(self, items: list[tuple[str | None, str]]):
         h, owner, _, _ = words([x.encode() for _, x in items], _INSIDE)
         cut = np.searchsorted(owner, np.arange(len(items) + 1)).tolist()
         found: dict[bytes, set[str]] = {}
         for (item, _), a, b in zip(items, cut, cut[1:], strict=False):
             for k in range(a, max(b - WINDOW, a) + 1) if b > a else ():
-                found.setdefault(h[k : min(k + WINDOW, b)].tobytes(), set()).add(item)
+                found.setdefault(h[k : min(k + WINDOW, b)].tobytes(), set()).update([] if item is None else [item])
         self.groups = []
         for size in sorted({len(k) for k in found}):
             own = [k for k in found if len(k) == size]
@@ -189,50 +189,86 @@ def search_words(h: np.ndarray, owner: np.ndarray, groups: list) -> tuple[np.nda
     return np.cumsum(hit[:-1]) > 0, items
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[str, str]]]:
-    """The items in blocks of bounded size, for the driver one block at a time at most."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null and text <> ''")
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list]:
+    """The windows of the items, in blocks of bounded size; the driver holds one block at a time."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
     # a word takes two bytes at least
     size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(1, -(-size // (2 * BLOCK_WORDS)))
     for k in range(n):
-        yield [tuple(r) for r in sorted(items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect())]
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect() if n > 1 else items.collect()
+        yield n, Windows(sorted((tuple(r) for r in own), key=lambda r: (r[0] is None, r[0] or "", r[1]))).groups
 
 
-def _pass(docs: DataFrame, groups: list, with_spans: bool) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(groups)
+def _edges(hit: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last word of each stretch of hit words in one text."""
+    if not len(hit):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.concatenate([[True], owner[1:] != owner[:-1]])
+    before, after = np.concatenate([[False], hit[:-1]]) & ~new, np.concatenate([hit[1:], [False]]) & ~np.append(new[1:], True)
+    return np.flatnonzero(hit & ~before), np.flatnonzero(hit & ~after)
+
+
+SPANS = "array<struct<start: long, length: long, word: long, words: long>>"
+_SPAN = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "length", "word", "words")]))
+
+
+def _pass(docs: DataFrame, groups, with_spans: bool) -> DataFrame:
+    """Of ``row, text``: ``row, n_words, n_hit, items`` and, if wanted, spans in bytes and in words. ``groups``: a broadcast, or none to count words only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, most=3 << 20):
+        for batch in chunks(batches, most=2 << 20):
             data = [x.encode() for x in texts_of(batch)]
             h, owner, start, length = words(data, _INSIDE)
-            hit, items = search_words(h, owner, sent.value)
+            hit, items = search_words(h, owner, groups.value if groups else [])
             n = len(data)
             base = np.cumsum([0, *(len(x) + 1 for x in data)])
             out = [batch.column(0), pa.array(np.bincount(owner, minlength=n)), pa.array(np.bincount(owner, weights=hit, minlength=n).astype(np.int64)), pa.array([sorted(items.get(k, ())) for k in range(n)], pa.list_(pa.string()))]
             if with_spans:
-                edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-                # spans of hit words next to each other in one text
-                first = np.flatnonzero(hit & ((edge[:-1] == 1) | np.concatenate([[True], owner[1:] != owner[:-1]]))) if len(h) else np.zeros(0, np.int64)
-                last = np.flatnonzero(hit & ((edge[1:] == -1) | np.concatenate([owner[1:] != owner[:-1], [True]]))) if len(h) else first
+                first, last = _edges(hit, owner)
+                begin = np.searchsorted(owner, np.arange(n))
                 spans: list[list[dict]] = [[] for _ in range(n)]
                 for a, b in zip(first.tolist(), last.tolist(), strict=True):
                     t = int(owner[a])
-                    spans[t].append({"start": int(start[a] - base[t]), "length": int(start[b] + length[b] - start[a])})
-                out.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))))
+                    spans[t].append({"start": int(start[a] - base[t]), "length": int(start[b] + length[b] - start[a]), "word": a - int(begin[t]), "words": b - a + 1})
+                out.append(pa.array(spans, _SPAN))
             yield pa.RecordBatch.from_arrays(out, names=["row", "n_words", "n_hit", "items", "spans"][: len(out)])
 
     kind = docs.schema["row"].dataType.simpleString()
-    return docs.select("row", "text").mapInArrow(run, f"row {kind}, n_words long, n_hit long, items array<string>" + ", spans array<struct<start: long, length: long>>" * with_spans)
+    return docs.select("row", "text").mapInArrow(tidy(run), f"row {kind}, n_words long, n_hit long, items array<string>" + f", spans {SPANS}" * with_spans)
 
 
-def _merged(spans: list) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, n in sorted((s["start"], s["length"]) for s in spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], a + n))
+def merged(spans: list[dict]) -> list[dict]:
+    """Spans that overlap or touch in words become one."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: s["word"]):
+        if out and s["word"] <= out[-1]["word"] + out[-1]["words"]:
+            top = out[-1]
+            top["words"] = max(top["words"], s["word"] + s["words"] - top["word"])
+            top["length"] = max(top["length"], s["start"] + s["length"] - top["start"])
         else:
-            out.append((a, a + n))
+            out.append(dict(s))
+    return out
+
+
+def hits_by_text(docs: DataFrame, first: list, more: Iterator[tuple[int, list]]) -> DataFrame:
+    """For a benchmark of several blocks: ``key, n_hit, items, spans`` of each distinct text (``key, text``) with hits. One pass over the texts for each block, whose result is written; copies are put together before they are shuffled."""
+    spark, parts, tables = docs.sparkSession, None, []
+    for groups in (first, *(g for _, g in more)):
+        sent = spark.sparkContext.broadcast(groups)
+        own = _pass(docs.select(F.col("key").alias("row"), "text"), sent, True).where("n_hit > 0").groupBy("row").agg(F.any_value("items").alias("items"), F.any_value("spans").alias("spans"))
+        tables.append(materialize(own, "hits"))
+        sent.destroy()
+        parts = tables[-1] if parts is None else parts.unionByName(tables[-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [merged(x) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sum(s["words"] for s in x) for x in spans], pa.int64()), batch.column(1), pa.array(spans, _SPAN)], names=["key", "n_hit", "items", "spans"])
+
+    together = parts.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))  # one of each for each block at most
+    out = materialize(together.mapInArrow(tidy(run), f"key binary, n_hit long, items array<string>, spans {SPANS}"), "hits")
+    discard(*tables)
     return out
 
 
@@ -240,65 +276,72 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """Per row: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
 
     Words are runs of digits, letters and bytes from 128 on, A-Z lower-cased. An item of fewer than ten words is one window;
-    items without id, text or words find nothing. A null text has no words. Repeated rows repeat; empty tables
-    give an empty result, or one without hits.
+    items without text or words find nothing; items without id hit words, but aren't among the items found. A null text has no words. Repeated rows repeat; very long texts are
+    searched whole, in shards; empty tables give an empty result, or one without hits.
     """
+    fine_batches(docs.sparkSession)
     docs = docs.select(docs[id_col].cast("long").alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    blocks = [Windows(b).groups for b in blocks_of(benchmark, item_col, item_text)]
-    if len(blocks) == 1:
-        got = _pass(docs, blocks[0], False)
-    else:  # hits of several blocks are merged by word, through the spans
-        keyed = docs.select(F.struct("row", F.sha2("text", 256).alias("key")).alias("row"), "text").dropDuplicates(["row"])
-        words_of = _pass(keyed, [], False).select("row", "n_words")
-        parts = None
-        for g in blocks:
-            own = _pass(keyed, g, True).where("n_hit > 0").select("row", "items", "spans")
-            parts = own if parts is None else parts.unionByName(own)
-        merged = parts.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n_hit = []
-                for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    data = text.encode()
-                    n_hit.append(sum(len(words([data[a:b]], _INSIDE)[0]) for a, b in _merged(spans)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_hit, pa.int64())], names=["row", "items", "n_hit"])
-
-        hits = keyed.join(merged, "row").select("row", "items", "text", "spans").mapInArrow(count, "row struct<row: bigint, key: string>, items array<string>, n_hit long")
-        rows = docs.select(F.struct("row", F.sha2("text", 256).alias("key")).alias("row"))
-        got = rows.join(words_of, "row").join(hits, "row", "left").select(F.col("row.row").alias("row"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    blocks = blocks_of(benchmark, item_col, item_text)
+    n, first = next(blocks)
+    if n == 1:
+        got = _pass(docs, docs.sparkSession.sparkContext.broadcast(first), False)
+    else:
+        keyed = docs.withColumn("key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+        hits = hits_by_text(keyed, first, blocks)
+        sizes = _pass(keyed.select(F.struct("row", "key").alias("row"), "text"), None, False).select("row.row", "row.key", "n_words")
+        got = sizes.join(hits, "key", "left").select("row", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return got.select(F.col("row").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def without(data: bytes, spans: list[tuple[int, int]]) -> str:
+    """The text without (first byte, length) spans, which are ascending and apart."""
+    out, done = [], 0
+    for a, n in spans:
+        out.append(data[done:a])
+        done = a + n
+    return b"".join([*out, data[done:]]).decode()
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows with every hit span cut out of the text, from its first to its last word; other columns stay as they are.
+    """The rows with every hit span cut out of the text, from its first to its last word; other columns stay as they are, whatever their names.
 
-    Null texts stay null. A benchmark of several blocks is cut out one block after the other, each judged on the text as given.
+    Null and empty texts stay; repeated rows repeat; very long texts are searched whole, in shards; an empty table gives an empty result, an empty benchmark cuts nothing, and items
+    without id are cut too. A benchmark of several blocks is searched one block after the other, each on the text as given.
     """
-    names = docs.columns
-    sent = [docs.sparkSession.sparkContext.broadcast(Windows(b).groups) for b in blocks_of(benchmark, item_col, item_text)]
-    at = names.index(text_col)
+    fine_batches(docs.sparkSession)
+    blocks = blocks_of(benchmark, item_col, item_text)
+    n, first = next(blocks)
+    at, several = docs.columns.index(text_col), n > 1
+    sent = None if several else docs.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_col, 3 << 20):
+        for batch in chunks(batches, text_col, 2 << 20):
             texts = batch.column(at).to_pylist()
             data = [(x or "").encode() for x in texts]
-            h, owner, start, length = words(data, _INSIDE)
-            hit = np.zeros(len(h), bool)
-            for groups in sent:
-                hit |= search_words(h, owner, groups.value)[0]
-            base = np.cumsum([0, *(len(x) + 1 for x in data)])
             new = list(texts)
-            for t in np.unique(owner[hit]).tolist():
-                a, b = np.searchsorted(owner, [t, t + 1]).tolist()
-                own, out, done = hit[a:b], [], 0
-                edge = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
-                for x, y in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                    out.append(data[t][done : int(start[a + x] - base[t])])
-                    done = int(start[a + y - 1] + length[a + y - 1] - base[t])
-                new[t] = b"".join([*out, data[t][done:]]).decode()
-            columns = list(batch.columns)
+            if several:
+                for t, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                    if spans:
+                        new[t] = without(data[t], [(s["start"], s["length"]) for s in spans])
+            else:
+                h, owner, start, length = words(data, _INSIDE)
+                first, last = _edges(search_words(h, owner, sent.value)[0], owner)
+                base = np.cumsum([0, *(len(x) + 1 for x in data)])
+                cut: dict[int, list[tuple[int, int]]] = {}
+                for a, b in zip(first.tolist(), last.tolist(), strict=True):
+                    t = int(owner[a])
+                    cut.setdefault(t, []).append((int(start[a] - base[t]), int(start[b] + length[b] - start[a])))
+                for t, spans in cut.items():
+                    new[t] = without(data[t], spans)
+            columns = list(batch.columns)[: len(kept)]
             columns[at] = pa.array(new, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return docs.mapInArrow(run, docs.schema)
+            yield pa.RecordBatch.from_arrays(columns, names=kept)
+
+    kept, schema = docs.columns, docs.schema
+    if several:
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        key = F.unhex(F.sha2(text.cast("binary"), 256))
+        hits = hits_by_text(docs.select(text.alias("text"), key.alias("key")), first, blocks)
+        own = f"_{uuid.uuid4().hex}"  # no name of the input
+        docs = docs.withColumn(own, key).join(hits.select(F.col("key").alias(own), F.col("spans").alias(own + "_spans")), own, "left").select(*kept, own + "_spans")
+    return docs.mapInArrow(tidy(run), schema)

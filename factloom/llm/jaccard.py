@@ -32,13 +32,13 @@ COUNTERS, PARTS = 1 << 22, 64
 #: Groups of postings up to this size give all their pairs in the first round.
 SMALL = 6
 #: Postings of a gram from which the first round splits them, and postings of a block of the second.
-HOT, UNIT = 20_000, 2_000
+HOT, UNIT = 20_000, 500
 #: Bytes of text for each bucket of postings, about; most partitions they are dealt to.
 BUCKET_BYTES, PARTITIONS = 4 << 20, 1 << 16
 #: Postings that a task holds before it sends them.
 HELD = 150_000
 
-POSTING = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("sig", "<u8", 4), ("hot", "<u8")])
+POSTING = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("n", "<u4"), ("pos", "<u4"), ("sig", "<u8", 2), ("hot", "u1")])
 
 #: Offsets at which members of a larger group, in the order of sizes, are compared in the first round.
 OFFSETS = (1, 2, 4, 8, 16)
@@ -56,16 +56,16 @@ def prefix_size(n: int) -> int:
 
 
 def _bit(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(40)).astype(np.int64) & 255
+    return (grams >> np.uint64(40)).astype(np.int64) & 127
 
 
 def suffix_signatures(ordered: np.ndarray, prefix: int) -> np.ndarray:
-    """For each place of the prefix, the parities of the counts, in 256 parts, of the grams behind it.
+    """For each place of the prefix, the parities of the counts, in 128 parts, of the grams behind it.
 
     Where two suffixes differ in a parity, they differ in a gram at least.
     """
-    whole = np.packbits(np.bincount(_bit(ordered), minlength=256).astype(np.uint8) & 1, bitorder="little").view("<u8")
-    own, bit = np.zeros((prefix, 4), np.uint64), _bit(ordered[:prefix])
+    whole = np.packbits(np.bincount(_bit(ordered), minlength=128).astype(np.uint8) & 1, bitorder="little").view("<u8")
+    own, bit = np.zeros((prefix, 2), np.uint64), _bit(ordered[:prefix])
     own[np.arange(prefix), bit >> 6] = np.uint64(1) << (bit & 63).astype(np.uint64)
     return whole ^ np.bitwise_xor.accumulate(own, axis=0)
 
@@ -208,7 +208,8 @@ def post(nodes: DataFrame, sketch, buckets: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             p = np.concatenate(held)
-            salt = np.where(p["hot"] > 0, mix(p["gram"] ^ mix(p["doc"].astype(np.uint64))) % np.maximum(p["hot"], np.uint64(1)), np.uint64(0))
+            parts = seen[(p["gram"] & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) // np.uint64(HOT) + np.uint64(1)
+            salt = mix(p["gram"] ^ mix(p["doc"].astype(np.uint64))) % parts
             bucket = (mix(p["gram"] + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             p, bucket = p[order], bucket[order]
@@ -224,8 +225,7 @@ def post(nodes: DataFrame, sketch, buckets: int) -> DataFrame:
                 order, size = np.lexsort((grams, count)), prefix_size(n)
                 p = np.zeros(size, POSTING)
                 p["gram"], p["doc"], p["n"], p["pos"], p["sig"] = grams[order[:size]], doc, n, np.arange(size), suffix_signatures(grams[order], size)
-                own = count[order[:size]]
-                p["hot"] = np.where(own > HOT, own // HOT + 1, 0)
+                p["hot"] = count[order[:size]] >= HOT
                 held.append(p)
                 weight += size
                 if weight > HELD:
@@ -324,7 +324,7 @@ def second_round(open_groups: DataFrame, labels: DataFrame, size: int) -> DataFr
         for batch in batches:
             p = np.zeros(batch.num_rows, kind)
             for k, name in enumerate(names):
-                p[name] = np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(-1, 4) if name == "sig" else np.asarray(batch.column(k)).astype(p.dtype[name])
+                p[name] = np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u8").reshape(-1, 2) if name == "sig" else np.asarray(batch.column(k)).astype(p.dtype[name])
             cut = np.flatnonzero((p[key][1:] != p[key][:-1])) + 1
             for part in np.split(p, cut):
                 if not len(part):
@@ -355,12 +355,13 @@ def key_columns() -> list[str]:
     return ["gram", "cell", "kind", "i", "j"]
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = False) -> DataFrame:
     """Per row: ``doc_id, n_shingles, component_id``; documents link at a Jaccard similarity of 0.8 or more.
 
     ``component_id`` is the smallest id reachable by links (null where none of the rows has one). A null, empty or blank text has
     no shingles, links with nothing, and is its own component; fewer than five words count as one shingle.
     Rows that repeat a text are one node, rows that repeat an id with other texts are several. Very long texts are compared whole, each by one task. An empty table gives an empty result.
+    With ``with_groups`` also ``key``, the SHA-256 of the text, and ``group``, a number of the component that does not depend on ids (null without shingles).
     """
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
@@ -388,8 +389,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = nodes.select("node", "key", "first").join(counted.where("part is null").select("node", "n"), "node").join(labels, "node", "left")
     own = materialize(own, "own", size=size)
     tops = materialize(own.where("component is not null").groupBy("component").agg(F.min("first").alias("top")), "tops", size=size)
-    named = own.join(tops, "component", "left").select("key", F.col("n").alias("n_shingles"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("top")).alias("component"))
+    named = own.join(tops, "component", "left").select("key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("group"), F.when(F.col("component").isNull(), F.col("first")).otherwise(F.col("top")).alias("component"))
     named = materialize(named, "named", size=size)
     discard(nodes, counted, found, pairs, links, more, more_links, labels, own, tops)
     # both sides are read from files, so that a text with very many copies can be split
-    return docs.select("doc_id", "key").join(named, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = docs.select("doc_id", "key").join(named, "key", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", *["key", "group"][: 2 * with_groups])

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import chunks, texts_of
+from factloom.llm.common import chunks, fine_batches, texts_of, tidy
 
 RATE, UP, DOWN, TAPS = 16_000, 3, 4, 16
 FRAME, HOP, FFT, MELS, TENSOR = 300, 120, 512, 40, 64
@@ -151,6 +151,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     empty, and an empty one has a payload of one unit of fill bytes. Equal texts
     give equal values. An empty table gives an empty result. Everything is computed from the stored bytes, read back.
     """
+    fine_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=1 << 20):
@@ -170,4 +171,4 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     more = ", media binary, tensors binary, active array<struct<start_s: double, end_s: double>>" if with_media else ""
     given = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return given.mapInArrow(run, schema + more)
+    return given.mapInArrow(tidy(run), schema + more)

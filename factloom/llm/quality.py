@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import chunks, texts_of
+from factloom.llm.common import chunks, fine_batches, texts_of, tidy
 
 #: Bytes of text that are turned into inputs at once; each takes some hundred bytes meanwhile.
 CHUNK = 1 << 20
@@ -167,11 +167,18 @@ def held_out(id_column) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Machine:
-    """Fit on at most ``sample`` labelled rows that aren't held out, whatever the size of the tables."""
+    """Fit on at most ``sample`` labelled rows that aren't held out, whatever the size of the tables.
+
+    Of the documents that repeat an id one counts, that with the smallest hash of its text; of several labels of an id, the smallest.
+    Null ids and labels don't count; null and empty texts do; no labelled row at all gives a machine that scores everything alike.
+    """
+    fine_batches(docs.sparkSession)
     own = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("y"))
     own = own.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     given = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(F.broadcast(own), "doc_id")  # at most `sample` rows
+    # one text for each id: what reaches the driver has at most `sample` rows
+    given = given.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("of")).select("doc_id", F.col("of.text").alias("text"), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=CHUNK):
@@ -182,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 names=["doc_id", "y", "bucket", "value", "stats"],
             )
 
-    got = sorted(given.mapInArrow(run, "doc_id long, y int, bucket binary, value binary, stats binary").collect(), key=lambda r: (r[0], bytes(r[2])))
+    got = sorted(given.mapInArrow(tidy(run), "doc_id long, y int, bucket binary, value binary, stats binary").collect(), key=lambda r: (r[0], bytes(r[2])))
     samples = [(np.frombuffer(r[2], "<u2").astype(np.int64), np.frombuffer(r[3], "<f4"), np.frombuffer(r[4], "<f4")) for r in got]
     return train(samples, np.array([r[1] for r in got], np.float32))
 
@@ -192,6 +199,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
     Null and empty texts get a score too (that of a text without words); repeated rows repeat; an empty table gives an empty result.
     """
+    fine_batches(docs.sparkSession)
     names = docs.columns
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +211,6 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     if keep:
-        return docs.select(*names).mapInArrow(scored, docs.schema)
+        return docs.select(*names).mapInArrow(tidy(scored), docs.schema)
     given = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), held_out(docs[id_col]).alias("held_out"))
-    return given.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return given.mapInArrow(tidy(scored), "doc_id long, held_out boolean, score double, predicted int")

@@ -11,14 +11,13 @@ of sampled tuples of ``TUPLE`` = 201 - PERIOD bytes. The steps:
 3. compare adjacent prefixes: equal neighbours are repeats, and the bytes they cover go.
 
 Names are hashes, so suffixes are sorted by name and not by the alphabet; only equality of neighbours is used.
-Names in step 3 have 64 bits besides the bucket's. They travel packed, in one row for each block of texts and bucket, and come back as a bit each, in the same order.
+Names in step 3 have 96 bits besides the bucket's, so that a false repeat is not to be expected in 100 TB either. They travel packed, in one row for each block of texts and bucket, and come back as a bit each, in the same order.
 A text with a copy repeats as a whole; only its first copy takes part in the steps.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,21 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import chunks, materialize
+from factloom.llm.common import chunks, discard, materialize, tidy
 from factloom.llm.shingles import mix, powers
 
 LENGTH, PERIOD = 200, 57
 #: A perfect difference cover: every difference modulo PERIOD occurs (fixed values).
 COVER = [0, 1, 3, 13, 32, 36, 43, 52]
 TUPLE = LENGTH - PERIOD + 1
-#: Bytes of text for each bucket of names, about.
-BUCKET_BYTES = 6 << 20
+#: Bytes of text for each bucket of names, about: the first, until there are MANY buckets, then up to the second. A task holds one bucket at a time, whatever the size of the table.
+BUCKET_BYTES, LARGEST, MANY = 6 << 20, 64 << 20, 1 << 14
+#: Most partitions that buckets are dealt to.
+PARTITIONS = 1 << 16
 #: Bytes of text in a block; a task works with some twenty bytes for each.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 SEGMENT = 1 << 19
 
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
-_TABLES = np.random.default_rng(11).integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TABLES = np.random.default_rng(11).integers(1, 1 << 63, size=(3, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def names(raw: np.ndarray, at: np.ndarray, width: int, table: int = 0) -> np.ndarray:
@@ -89,7 +90,7 @@ class Block:
         return np.flatnonzero((np.cumsum(step)[:-1] > 0) & (self.left >= LENGTH))
 
 
-BLOCK = "block string, keys array<binary>, sizes binary, body binary, marks binary"
+BLOCK = "keys array<binary>, sizes binary, body binary, marks binary"
 
 
 def block_row(keys: list[bytes], texts: list[bytes], marks: bytes = b"") -> pa.RecordBatch:
@@ -97,21 +98,40 @@ def block_row(keys: list[bytes], texts: list[bytes], marks: bytes = b"") -> pa.R
 
     body = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
     return pa.RecordBatch.from_arrays(
-        [pa.array([uuid.uuid4().hex]), pa.array([keys], pa.list_(pa.binary())), pa.array([np.array([len(x) for x in texts], "<i8").tobytes()]), pa.array([body]), pa.array([marks])],
-        names=["block", "keys", "sizes", "body", "marks"],
+        [pa.array([keys], pa.list_(pa.binary())), pa.array([np.array([len(x) for x in texts], "<i8").tobytes()]), pa.array([body]), pa.array([marks])],
+        names=["keys", "sizes", "body", "marks"],
     )
 
 
 def tuple_names(block: Block, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and name (six bytes) of each sampled tuple."""
     h = names(block.raw, block.samples(), TUPLE)
-    return ((h >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64), np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    return (mix(h) % np.uint64(buckets)).astype(np.int64), np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
 
 
 def prefix_names(block: Block, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and name (eight bytes) of each candidate prefix."""
+    """Bucket and name (twelve bytes) of each candidate prefix, from two independent hashes."""
     at = block.candidates()
-    return (names(block.raw, at, LENGTH, 1) % np.uint64(buckets)).astype(np.int64), names(block.raw, at, LENGTH).astype("<u8").view(np.uint8).reshape(-1, 8)
+    first, second = names(block.raw, at, LENGTH), names(block.raw, at, LENGTH, 1)
+    out = np.zeros(len(at), [("a", "<u8"), ("b", "<u4")])
+    out["a"], out["b"] = first, second >> np.uint64(32)
+    return ((second & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int64), out.view(np.uint8).reshape(-1, 12)
+
+
+def repeated_of(raw: np.ndarray) -> np.ndarray:
+    """Which of the names (rows of up to twelve bytes) occur more than once."""
+    wide = np.zeros((len(raw), 16), np.uint8)
+    wide[:, : raw.shape[1]] = raw
+    a, b = wide.view("<u8").reshape(-1, 2).T
+    order = np.argsort(a)
+    same = a[order[1:]] == a[order[:-1]]
+    if (b[order[1:]][same] != b[order[:-1]][same]).any():  # one half alike, the other not
+        order = np.lexsort((b, a))
+        same = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
+    hit = np.zeros(len(raw), bool)
+    hit[order[1:][same]] = True
+    hit[order[:-1][same]] = True
+    return hit
 
 
 def dealt(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,8 +142,8 @@ def dealt(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, own[first], np.append(first, len(own))
 
 
-def repeated_names(blocks: DataFrame, of: Callable, width: int, buckets: int, size: int) -> DataFrame:
-    """``block, marks``: for each bucket the bits that tell which names of the block occur more than once anywhere."""
+def repeated_names(blocks: DataFrame, of: Callable, width: int, buckets: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """A scratch table, and from it ``block, answers``: for each bucket the bits that tell which names of the block occur more than once anywhere."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,25 +152,17 @@ def repeated_names(blocks: DataFrame, of: Callable, width: int, buckets: int, si
                 order, own, cut = dealt(bucket)
                 name = name[order]
                 if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([row["block"]] * len(own)), pa.array([name[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)])], names=["bucket", "block", "names"])
-
-    def answer(held: list[tuple[int, str, bytes]]) -> pa.RecordBatch | None:
-        raw = np.frombuffer(b"".join(x for _, _, x in held), np.uint8).reshape(-1, width)
-        name = np.zeros((len(raw), 8), np.uint8)
-        name[:, :width] = raw
-        name = name.view("<u8").reshape(-1)
-        order = np.argsort(name)
-        same = np.diff(name[order]) == 0
-        hit = np.zeros(len(name), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([row["block"]] * len(own), pa.int64()), pa.array([name[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)])], names=["bucket", "block", "names"])
+
+    def answer(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch | None:
+        hit = repeated_of(np.frombuffer(b"".join(x for _, _, x in held), np.uint8).reshape(-1, width))
         out, at = [], 0
         for bucket, block, x in held:
             n = len(x) // width
             if hit[at : at + n].any():
                 out.append((block, bucket, np.packbits(hit[at : at + n]).tobytes()))
             at += n
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate([pa.string(), pa.int32(), pa.binary()])], names=["block", "bucket", "bits"]) if out else None
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate([pa.int64(), pa.int32(), pa.binary()])], names=["block", "bucket", "bits"]) if out else None
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -164,9 +176,9 @@ def repeated_names(blocks: DataFrame, of: Callable, width: int, buckets: int, si
         if held and (got := answer(held)) is not None:
             yield got
 
-    sent = blocks.mapInArrow(send, "bucket int, block string, names binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    got = materialize(sent.mapInArrow(receive, "block string, bucket int, bits binary"), "marks", size=size)
-    return got.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))  # at most one for each bucket
+    sent = blocks.mapInArrow(tidy(send), "bucket int, block long, names binary").repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket")
+    got = materialize(sent.mapInArrow(tidy(receive), "block long, bucket int, bits binary"), "marks", size=size)
+    return got, got.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))  # at most one for each bucket
 
 
 def marked(block: Block, of: Callable, buckets: int, answers: list[dict]) -> np.ndarray:
@@ -179,29 +191,32 @@ def marked(block: Block, of: Callable, buckets: int, answers: list[dict]) -> np.
     return hit
 
 
-RESULT = "key binary, n_removed long, spans array<struct<start: long, length: long>>, kept binary, kept_sha256 string, kept_text string"
+RESULT = "key binary, n_removed long, spans array<struct<start: long, length: long>>, kept_sha256 string, kept_text string"
 
 
-def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Two tables: ``key, copies`` of the texts with copies, and for each single text with repeats what to remove and what stays.
+def find_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """A row for each text with repeats: ``key, whole, n_removed, spans, kept_sha256, kept_text``.
 
-    ``key`` is the SHA-256 of the text; ``kept_text`` is what stays without the bytes of characters that a cut went through.
+    ``key`` is the SHA-256 of the text; ``whole`` says that the text has a copy and goes as a whole (the others are null then);
+    ``kept_text`` is what stays without the bytes of characters that a cut went through. Null texts, empty texts and those of under 200 bytes
+    have no repeats; a text of many megabytes is a block of its own; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"))
+    rows = docs.select(text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"))
     rows = rows.where(F.octet_length("text") >= LENGTH)
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    keys = materialize(rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("id")), "keys", size=size)
-    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)), 1 << 16)
+    keys = materialize(rows.groupBy("key").agg(F.count("*").alias("copies")), "keys", size=size)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MANY, -(-size // BUCKET_BYTES)), -(-size // LARGEST))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, most=BLOCK_BYTES):
             yield block_row(batch.column(0).to_pylist(), [x.encode() for x in batch.column(1).to_pylist()])
 
-    # one row for each text: the copy with the smallest id (rows that repeat as a whole are copies of each other)
-    first = rows.join(keys.select("key", "id"), [rows["id"].eqNullSafe(keys["id"]), rows["key"] == keys["key"]]).select(rows["key"], "text")
-    blocks = materialize(first.mapInArrow(pack, BLOCK), "blocks", size=size)
+    # one row for each text; copies are put together before the shuffle
+    first = rows.groupBy("key").agg(F.any_value("text").alias("text"))
+    numbered = lambda b: b.withColumn("block", F.monotonically_increasing_id())
+    blocks = materialize(numbered(first.mapInArrow(tidy(pack), BLOCK)), "blocks", size=size)
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,8 +228,9 @@ def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                 texts = [block.raw[a : a + n].tobytes() for a, n in zip(block.starts[some].tolist(), block.sizes[some].tolist(), strict=True)]
                 yield block_row([k for k, x in zip(row["keys"], some.tolist(), strict=True) if x], texts, np.packbits(hit[some[owner]]).tobytes())
 
-    answers = repeated_names(blocks, tuple_names, 6, buckets, size)
-    some = materialize(blocks.join(answers, "block").mapInArrow(narrow, BLOCK), "blocks", size=size)
+    marks, answers = repeated_names(blocks, tuple_names, 6, buckets, size)
+    some = materialize(numbered(blocks.join(answers, "block").mapInArrow(tidy(narrow), BLOCK)), "blocks", size=size)
+    discard(blocks, marks)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,15 +248,18 @@ def find_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                         edge = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
                         x, y = np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
                         kept = block.raw[a : a + n][~own].tobytes()
-                        out.append((key, int(own.sum()), [{"start": i, "length": j - i} for i, j in zip(x, y, strict=True)], kept, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", errors="ignore")))
+                        out.append((key, int(own.sum()), [{"start": i, "length": j - i} for i, j in zip(x, y, strict=True)], hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", errors="ignore")))
                 if out:
-                    kinds = [pa.binary(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.binary(), pa.string(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["key", "n_removed", "spans", "kept", "kept_sha256", "kept_text"])
+                    kinds = [pa.binary(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])), pa.string(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["key", "n_removed", "spans", "kept_sha256", "kept_text"])
 
-    answers = repeated_names(some, prefix_names, 8, buckets, size)
-    found = materialize(some.join(answers, "block").mapInArrow(remove, RESULT), "repeats", size=size)
-    copied = keys.where("copies > 1").select("key", "copies")
-    return copied, found.join(copied, "key", "left_anti")
+    marks, answers = repeated_names(some, prefix_names, 12, buckets, size)
+    found = materialize(some.join(answers, "block").mapInArrow(tidy(remove), RESULT), "repeats", size=size)
+    copied = keys.where("copies > 1").select("key", F.lit(True).alias("whole"))
+    # a row for each text with repeats, in files: what is joined with it can be split where a text has very many copies
+    out = materialize(found.join(copied, "key", "full").select("key", F.coalesce("whole", F.lit(False)).alias("whole"), *[F.when(F.col("whole").isNull(), F.col(c)).alias(c) for c in ("n_removed", "spans", "kept_sha256", "kept_text")]), "removals", size=size)
+    discard(keys, some, marks, found)
+    return out
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,17 +269,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     200 bytes or more, goes as a whole. Overlapping repeats count, also in one
     text. Repeated rows repeat; an empty table gives an empty result.
     """
-    copied, found = find_repeats(docs, text_col, id_col)
+    found = find_repeats(docs, text_col)
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"))
-    both = copied.select("key", F.lit(True).alias("whole"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("s"), F.lit(None).cast("string").alias("sha")).unionByName(
-        found.select("key", F.lit(False).alias("whole"), F.col("n_removed").alias("n"), F.size("spans").cast("long").alias("s"), F.col("kept_sha256").alias("sha"))
-    )
-    got = rows.join(both, "key", "left")
+    got = rows.join(found.select("key", "whole", F.col("n_removed").alias("n"), F.size("spans").cast("long").alias("s"), F.col("kept_sha256").alias("sha")), "key", "left")
     return got.select(
         "doc_id",
         "n_bytes",
         F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("whole"), F.lit(1)).otherwise(F.coalesce("s", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(F.col("whole"), F.lit(1)).when(F.col("n").isNotNull(), F.col("s")).otherwise(F.lit(0)).cast("long").alias("n_spans"),
         F.when(F.col("whole"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("sha", F.lower(F.hex("key")))).alias("kept_sha256"),
     )

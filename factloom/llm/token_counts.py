@@ -17,7 +17,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import chunks, texts_of
+from factloom.llm.common import chunks, fine_batches, texts_of, tidy
 
 #: Counts that a Python worker keeps; later ones are counted anew in each batch.
 MEMO = 700_000
@@ -76,6 +76,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     are counted row by row; an empty table gives an empty result.
     ``path`` must be readable on every executor (it belongs to the installed package).
     """
+    fine_batches(docs.sparkSession)
     whole = path.endswith(".model")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,4 +102,4 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             )
 
     given = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return given.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return given.mapInArrow(tidy(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import chunks, materialize, tidy
+from factloom.llm.common import chunks, fine_batches, materialize, tidy
 
 #: Ids in a block.
 BLOCK = 1 << 14
@@ -256,6 +256,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, id_col: str =
 
 def read_token_files(files: DataFrame, width: int, with_ids: bool = True) -> DataFrame:
     """Per document, from the files: ``doc_id, start, n_tokens, ids_crc32`` and, if wanted, the ids (little-endian unsigned 32-bit)."""
+    fine_batches(files.sparkSession)
     spark = files.sparkSession
     totals = dict(files.groupBy("part").agg(F.sum("n_ids")).collect())  # at most PARTS rows
     order = sorted(totals)
