@@ -134,6 +134,14 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: list[str] = ()) -> DataFrame:
+    """``mapInArrow`` of rows that stay as they are but for their texts: columns go by place (c0, c1, ...), so that their names can be any; the columns ``more`` go in, but not out."""
+    kept = [c for c in docs.columns if c not in more]
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    schema = plain.select(*plain.columns[: len(kept)]).schema
+    return plain.mapInArrow(tidy(run), schema).toDF(*kept)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

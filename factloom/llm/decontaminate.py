@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import chunks, discard, fine_batches, materialize, texts_of, tidy
+from factloom.llm.common import chunks, discard, fine_batches, map_rows, materialize, texts_of, tidy
 from factloom.llm.shingles import words
 
 #: Words of a window; words of a shard; every so many suffix positions are kept.
@@ -315,7 +315,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     sent = None if several else docs.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_col, 2 << 20):
+        for batch in chunks(batches, f"c{at}", 2 << 20):
             texts = batch.column(at).to_pylist()
             data = [(x or "").encode() for x in texts]
             new = list(texts)
@@ -333,15 +333,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     cut.setdefault(t, []).append((int(start[a] - base[t]), int(start[b] + length[b] - start[a])))
                 for t, spans in cut.items():
                     new[t] = without(data[t], spans)
-            columns = list(batch.columns)[: len(kept)]
+            columns = list(batch.columns)[:width]
             columns[at] = pa.array(new, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=kept)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
 
-    kept, schema = docs.columns, docs.schema
+    width, more = len(docs.columns), []
     if several:
-        text = F.coalesce(F.col(text_col), F.lit(""))
+        text = F.coalesce(docs[text_col], F.lit(""))
         key = F.unhex(F.sha2(text.cast("binary"), 256))
         hits = hits_by_text(docs.select(text.alias("text"), key.alias("key")), first, blocks)
-        own = f"_{uuid.uuid4().hex}"  # no name of the input
-        docs = docs.withColumn(own, key).join(hits.select(F.col("key").alias(own), F.col("spans").alias(own + "_spans")), own, "left").select(*kept, own + "_spans")
-    return docs.mapInArrow(tidy(run), schema)
+        own, more = f"_{uuid.uuid4().hex}", [f"_{uuid.uuid4().hex}"]  # no names of the input
+        docs = docs.withColumn(own, key).join(hits.select(F.col("key").alias(own), F.col("spans").alias(more[0])), own, "left").drop(own)
+    return map_rows(docs, run, more)

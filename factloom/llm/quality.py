@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import chunks, fine_batches, texts_of, tidy
+from factloom.llm.common import chunks, fine_batches, map_rows, texts_of, tidy
 
 #: Bytes of text that are turned into inputs at once; each takes some hundred bytes meanwhile.
 CHUNK = 1 << 20
@@ -54,8 +54,8 @@ def featurize(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     of_kind = np.bincount(doc.astype(np.int64) * 8 + kind, minlength=n * 8).reshape(n, 8)
     blank = kind == 3
     starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), stats
+    if not len(starts):  # as in a batch with words
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), featurize([*texts, "a"])[3][:n] if n else stats
     ends = np.flatnonzero(blank & np.concatenate([[False], ~blank[:-1]]))
     length = ends - starts
     word_doc = doc[starts]
@@ -200,17 +200,18 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     Null and empty texts get a score too (that of a text without words); repeated rows repeat; an empty table gives an empty result.
     """
     fine_batches(docs.sparkSession)
-    names = docs.columns
+
+    name = f"c{docs.columns.index(text_col)}" if keep else "text"
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_col if keep else "text", CHUNK):
-            s = machine.score(texts_of(batch, text_col if keep else "text"))
+        for batch in chunks(batches, name, CHUNK):
+            s = machine.score(texts_of(batch, name))
             if keep:
                 yield batch.filter(pa.array(s >= threshold))
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     if keep:
-        return docs.select(*names).mapInArrow(tidy(scored), docs.schema)
+        return map_rows(docs, scored)
     given = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), held_out(docs[id_col]).alias("held_out"))
     return given.mapInArrow(tidy(scored), "doc_id long, held_out boolean, score double, predicted int")
