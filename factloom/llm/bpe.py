@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -20,10 +21,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from factloom.llm.common import chunks, fine_batches, texts_of, tidy
-from factloom.llm.token_counts import Both, runs
 
-#: Pre-tokens, and runs of them, whose ids a Python worker keeps; later ones are encoded anew in each batch.
-MEMO = 150_000
+#: Bytes of pre-tokens and of runs of them, each with its ids and COST more, that a Python worker keeps; later ones are encoded anew in each batch.
+MEMO_BYTES, COST = 24 << 20, 150
+
+_SAFE_CUT = re.compile(r"(?= \S)")
+_DOUBLE = re.compile(r" \s")
+
+
+def runs(text: str) -> list[str]:
+    """Cut a text before every blank that a non-blank follows: a byte-level pre-tokenizer always cuts there, so what holds for the runs adds up to the text."""
+    if _DOUBLE.search(text):
+        return [x for x in _SAFE_CUT.split(text) if x]
+    first, *rest = text.split(" ")
+    out = [" " + x for x in rest]
+    return [first, *out] if first else out
+
+
+class Memo(dict):
+    """A mapping that stops taking entries once they weigh MEMO_BYTES; a long text without blanks is never kept."""
+
+    weight = 0
+
+    def keep(self, new: dict[str, bytes]) -> None:
+        for k, v in new.items():
+            if self.weight > MEMO_BYTES:
+                return
+            own = len(k) + len(v) + COST
+            if own < MEMO_BYTES // 1000:
+                self[k] = v
+                self.weight += own
+
+
+class Both:
+    """Two mappings read as one."""
+
+    def __init__(self, first: dict, second: dict):
+        self.first, self.second = first, second
+
+    def __getitem__(self, key):
+        got = self.first.get(key)
+        return self.second[key] if got is None else got
+
 
 
 def byte_symbols() -> dict[str, int]:
@@ -61,8 +100,7 @@ class PairIndexBPE:
         self.pairs, self.keys, self.ranks = np.array(keys, np.int64), np.array(keys, np.int64)[order], order
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
-        self.word_ids: dict[str, bytes] = {}
+        self.known, self.word_ids = Memo(), Memo()
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it never merges."""
@@ -70,13 +108,13 @@ class PairIndexBPE:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
-    def merge(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each byte string, little-endian unsigned 32-bit."""
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of all byte strings laid end to end once nothing merges any more, where those stand that are left, and the ends of the strings."""
         sizes = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         if not total:
-            return [b""] * len(words)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), ends
         ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         alive = np.ones(total, bool)
         after, before = np.arange(1, total + 1), np.arange(-1, total - 1)
@@ -133,7 +171,16 @@ class PairIndexBPE:
             touched = np.concatenate([at[inner], prev[prev >= 0]])
             if len(touched):
                 add(np.unique(touched))
-        kept = np.flatnonzero(alive)
+        return ids, np.flatnonzero(alive), ends
+
+    def counts(self, words: list[bytes]) -> np.ndarray:
+        """How many ids each byte string has."""
+        _, kept, ends = self._merged(words)
+        return np.diff(np.searchsorted(kept, ends), prepend=0)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each byte string, little-endian unsigned 32-bit."""
+        ids, kept, ends = self._merged(words)
         out = ids[kept].astype("<u4").tobytes()
         cut = (np.searchsorted(kept, ends) * 4).tolist()
         return [out[a:b] for a, b in zip([0, *cut], cut, strict=False)]
@@ -145,11 +192,10 @@ class PairIndexBPE:
         new = list({w for _, parts in plan for w in parts} - self.word_ids.keys() - self.special.keys())
         ids = dict(zip(new, self.merge([w.encode() for w in new]), strict=True))
         ids |= {t: self.special[t].to_bytes(4, "little") for t in self.special}
-        if len(self.word_ids) < MEMO:
-            self.word_ids.update(ids)
         out, kept = {}, self.word_ids
         for piece, parts in plan:
             out[piece] = b"".join([ids[w] if w in ids else kept[w] for w in parts])
+        kept.keep(ids)
         return out
 
     def cut_runs(self, text: str) -> list[str]:
@@ -164,12 +210,12 @@ class PairIndexBPE:
         known, new = self.known, set().union(*cut).difference(self.known)
         if new:
             got = self.learn(new)
-            if len(known) < MEMO:
-                known.update(got)
-            else:
-                known = Both(known, got)
+            known = Both(known, got)
         of = known.__getitem__
-        return [np.frombuffer(b"".join(map(of, c)), "<u4") for c in cut]
+        out = [np.frombuffer(b"".join(map(of, c)), "<u4") for c in cut]
+        if new:
+            self.known.keep(got)
+        return out
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for."""
@@ -200,7 +246,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in chunks(batches, most=3 << 20):
+        for batch in chunks(batches, most=3 << 19):
             all_ids = bpe.encode(texts_of(batch))
             raw = [x.astype("<u4").tobytes() for x in all_ids]
             decoded = [bpe.decode(x) for x in all_ids]
@@ -213,7 +259,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             if with_ids:
                 out += [pa.array(raw, pa.binary()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(out)])
-        bpe.known, bpe.word_ids = {}, {}  # the worker goes on to other stages
+        bpe.known, bpe.word_ids = Memo(), Memo()  # the worker goes on to other stages
 
     given = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return given.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids)

@@ -22,6 +22,8 @@ from factloom.llm.shingles import words
 
 #: Words of a window; words of a shard; every so many suffix positions are kept.
 WINDOW, SHARD, SAMPLED = 10, 400_000, 16
+#: Bytes of text that are searched at once; each takes some fifty bytes meanwhile.
+CHUNK = 1 << 20
 #: Most benchmark words that go to the executors at once; a larger benchmark is searched in blocks.
 BLOCK_WORDS = 500_000
 
@@ -217,7 +219,7 @@ def _pass(docs: DataFrame, groups, with_spans: bool) -> DataFrame:
     """Of ``row, text``: ``row, n_words, n_hit, items`` and, if wanted, spans in bytes and in words. ``groups``: a broadcast, or none to count words only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, most=2 << 20):
+        for batch in chunks(batches, most=CHUNK):
             data = [x.encode() for x in texts_of(batch)]
             h, owner, start, length = words(data, _INSIDE)
             hit, items = search_words(h, owner, groups.value if groups else [])
@@ -315,7 +317,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     sent = None if several else docs.sparkSession.sparkContext.broadcast(first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, f"c{at}", 2 << 20):
+        for batch in chunks(batches, f"c{at}", CHUNK):
             texts = batch.column(at).to_pylist()
             data = [(x or "").encode() for x in texts]
             new = list(texts)

@@ -144,12 +144,15 @@ def features(samples: bytes) -> tuple[bytes, list[tuple[float, float]], list[tup
     return stored, spans, active, summary
 
 
+_SPANS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+
+
 def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
-    """Per row: ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``.
+    """Per row: ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, tensors, spans, active``.
 
-    With ``with_media`` also the stored form (``media``), the Arrow tensors and the active spans. A null text counts as
-    empty, and an empty one has a payload of one unit of fill bytes. Equal texts
-    give equal values. An empty table gives an empty result. Everything is computed from the stored bytes, read back.
+    ``tensors`` is an Arrow stream with a fixed-shape tensor column, ``spans`` has each tensor's time, ``active`` the segments; with ``with_media`` also the
+    stored form (``media``). A null text counts as empty, and an empty one has a payload of one unit of fill bytes. Equal texts
+    give equal values; very long texts are one clip; repeated rows repeat; an empty table gives an empty result. Everything is computed from the stored bytes, read back.
     """
     fine_batches(docs.sparkSession)
 
@@ -160,15 +163,16 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_
                 data = text.encode()
                 stored = to_wav(payload_of(data))
                 back = from_wav(stored)
-                tensor, _, active, summary = features(back)
-                row = [len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), summary]
-                rows.append([*row, stored, tensor, [{"start_s": a, "end_s": b} for a, b in active]] if with_media else row)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media", "tensors", "active"]
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], names=["doc_id", *names[: len(columns)]])
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    more = ", media binary, tensors binary, active array<struct<start_s: double, end_s: double>>" if with_media else ""
+                tensor, spans, active, summary = features(back)
+                row = [len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), summary, tensor]
+                rows.append([*row, *([{"start_s": a, "end_s": b} for a, b in x] for x in (spans, active)), stored])
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), _SPANS, _SPANS, pa.binary()]
+            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensors", "spans", "active", "media"]
+            n = len(names) - (not with_media)
+            columns = list(zip(*rows, strict=True))[:n]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds[:n], strict=True))], names=["doc_id", *names[:n]])
+
+    spans = "array<struct<start_s: double, end_s: double>>"
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensors binary, spans {spans}, active {spans}"
     given = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return given.mapInArrow(tidy(run), schema + more)
+    return given.mapInArrow(tidy(run), schema + ", media binary" * with_media)

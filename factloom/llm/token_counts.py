@@ -9,7 +9,6 @@ task is counted once; a document's count is the sum over its frequencies.
 from __future__ import annotations
 
 import os
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -17,24 +16,12 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from factloom.llm.bpe import Both, runs
 from factloom.llm.common import chunks, fine_batches, texts_of, tidy
 
 #: Counts that a Python worker keeps; later ones are counted anew in each batch.
 MEMO = 700_000
 
-_SAFE_CUT = re.compile(r"(?= \S)")
-_DOUBLE = re.compile(r" \s")
-
-
-def runs(text: str) -> list[str]:
-    """Cut a text before every blank that a non-blank follows."""
-    if _DOUBLE.search(text):
-        return [x for x in _SAFE_CUT.split(text) if x]
-    first, *rest = text.split(" ")
-    out = [" " + x for x in rest]
-    return [first, *out] if first else out
-
-
 def _hf(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -58,17 +45,6 @@ def counter(path: str):
     return (_sp(path) if path.endswith(".model") else _hf(path)), {}
 
 
-class Both:
-    """Two mappings read as one."""
-
-    def __init__(self, first: dict, second: dict):
-        self.first, self.second = first, second
-
-    def __getitem__(self, key):
-        got = self.first.get(key)
-        return self.second[key] if got is None else got
-
-
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """Per document: id, ``n_bytes``, ``n_tokens``, ``over_limit``.
 

@@ -1,8 +1,9 @@
 """URL filters: host and path rules, then a path-template tree, all in DataFrame functions.
 
 For each host the paths form a tree. Segments with digits are wildcards at once; a level whose
-segments are nearly all different becomes a wildcard too; and branches whose share of
-blocked labels doesn't differ from that of their siblings are merged. A template is
+segments are nearly all different becomes a wildcard too; and branches that are statistically similar to their siblings are
+merged: by their share of blocked labels where both have some, and by what follows below them where a branch has
+too few labels. So labels reach urls without one. A template is
 rejected when its labels, smoothed towards a prior, are nearly all blocked ones. A url's label is its rule's verdict.
 """
 
@@ -19,6 +20,8 @@ DEPTH = 4
 VARIABLE, SHARE = 20, 0.5
 #: Labels a branch and its siblings need to be compared; the normal quantile of the test.
 LEAST, Z = 5, 1.96
+#: Distance up to which two branches' distributions of what follows are alike, besides what chance explains.
+APART = 0.1
 #: Prior share of blocked labels, its weight in labels, and the purity from which a template is rejected.
 PRIOR, WEIGHT, REJECT = 0.1, 2.0, 0.8
 
@@ -45,7 +48,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 def _segments(path: Column) -> Column:
     """Segments, those with digits as wildcards that keep an extension; what lies below DEPTH as one wildcard."""
     raw = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(raw, lambda s: F.when(s.rlike("[0-9]") | (F.length(s) > 40), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[a-z]{1,5})?\z", 1))).otherwise(s))
+    shaped = F.transform(raw, lambda s: F.when(s == "*", F.lit("%*")).when(s.rlike("[0-9]") | (F.length(s) > 40), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[a-z]{1,5})?\z", 1))).otherwise(s))
+    shaped = F.transform(shaped, lambda s: F.when(s.isin("+", "**"), F.concat(F.lit("%"), s)).otherwise(s))  # a segment that looks like a wildcard isn't one
     return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit("**")))).otherwise(shaped)
 
 
@@ -53,6 +57,7 @@ def templates(urls: DataFrame) -> DataFrame:
     """From ``host, path, verdict`` (null: no label): ``host, shape, template, n_labels, n_blocked, purity, rejected``.
 
     ``shape`` is the path with digit segments as wildcards; several shapes can share a template.
+    Empty paths have the empty template; urls that repeat count each time; hosts and paths are never null; no rows give no templates.
     """
     shape = F.array_join(_segments(F.col("path")), "/")
     tree = (
@@ -67,9 +72,16 @@ def templates(urls: DataFrame) -> DataFrame:
         parent = child.groupBy("host", "prefix").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.sum("labels").alias("all_labels"), F.sum("blocked").alias("all_blocked"))
         others, share = F.col("all_labels") - F.col("labels"), F.col("all_blocked") / F.col("all_labels")
         gap = F.abs(F.col("blocked") / F.col("labels") - (F.col("all_blocked") - F.col("blocked")) / others)
+        # what follows: the share of the branch's urls that would have to move to look like its siblings
+        below = level.where("segment is not null").groupBy("host", "prefix", "segment", F.array_join(F.slice("rest", 2, DEPTH + 1), "/").alias("tail")).agg(F.sum("n").alias("m"))
+        tails = below.groupBy("host", "prefix", "tail").agg(F.sum("m").alias("m_all"))
+        kinds = tails.groupBy("host", "prefix").agg(F.count("*").alias("tail_kinds"))
+        moved = F.greatest(F.lit(0.0), F.col("m") / F.col("n") - (F.col("m_all") - F.col("m")) / (F.col("all") - F.col("n")))
+        moved = below.join(tails, ["host", "prefix", "tail"]).join(child.select("host", "prefix", "segment", "n"), ["host", "prefix", "segment"]).join(parent.select("host", "prefix", "all"), ["host", "prefix"]).where("all > n").groupBy("host", "prefix", "segment").agg(F.sum(moved).alias("moved"))
+        similar = (F.col("labels") < LEAST) & (others >= LEAST) & (F.col("n") >= LEAST) & (F.col("moved") <= APART + F.sqrt(F.col("tail_kinds") / F.col("n")) / 2)
         alike = (F.col("labels") >= LEAST) & (others >= LEAST) & (gap <= Z * F.sqrt(share * (1 - share) * (1 / F.col("labels") + 1 / others)))
         variable = (F.col("kinds") >= VARIABLE) & (F.col("kinds") >= SHARE * F.col("all"))
-        decided = child.join(parent, ["host", "prefix"]).select("host", "prefix", "segment", F.when(variable, F.lit("*")).when(alike, F.lit("+")).alias("as")).where("as is not null")
+        decided = child.join(parent, ["host", "prefix"]).join(kinds, ["host", "prefix"]).join(moved, ["host", "prefix", "segment"], "left").select("host", "prefix", "segment", F.when(variable, F.lit("*")).when(alike | similar, F.lit("+")).alias("as")).where("as is not null")
         tree = level.join(decided, ["host", "prefix", "segment"], "left").select(
             "host",
             "shape",
@@ -91,7 +103,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
 
     The longest fitting rule decides; else a rejected template blocks; else the url is allowed. A null url, or one without ``://``, has
     an empty host and path, fits no rule and is judged by the template of empty paths, which has no labels: allowed.
-    Repeated rows repeat; an empty table gives an empty result.
+    Repeated rows repeat; very long urls are one wildcard below DEPTH segments; columns of any name may be there; an empty table gives an empty result.
     """
     host, path = parts(pages[url_col])
     rows = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"))

@@ -271,6 +271,60 @@ def test_template_is_rejected_by_its_labels(spark):
     assert got == {"ad/*": True, "news/*": False}
 
 
+def test_labels_reach_branches_without_any(spark):
+    """/de/ has no label and the same pages below it as the blocked /es/; /about and /static/ look different; on host g the labelled branches are allowed."""
+    rows = [("h", f"/es/{k}", "block") for k in range(30)] + [("h", f"/fr/{k}.html", "block") for k in range(30)] + [("h", f"/de/{k}", None) for k in range(20)] + [("h", f"/de/{k}.html", None) for k in range(20)]
+    rows += [("h", "/about", None)] * 8 + [("h", f"/static/css/{k}/x", None) for k in range(12)]
+    rows += [("g", f"/es/{k}", "allow") for k in range(30)] + [("g", f"/de/{k}", None) for k in range(20)] + [("k", "/a/*/+", None), ("k", "/**/b", None), (" ", "", None)]
+    got = {(r.host, r["shape"]): r.rejected for r in url_filters.templates(spark.createDataFrame(rows, "host string, path string, verdict string")).collect()}
+    assert all(got["h", x] for x in ("es/*", "fr/*.html", "de/*", "de/*.html"))
+    assert not any(got[x] for x in got if x[0] != "h" or x[1] == "about" or x[1].startswith("static"))
+    assert {x[1] for x in got if x[0] == "k"} == {"a/%*/%+", "%**/b"}
+
+
+def test_resampling_and_mel_against_plain_sums():
+    x = np.random.default_rng(3).standard_normal(2000).astype("f4")
+    phases, bank, window = media._filters()
+    y = media.resample(x)
+    padded = np.concatenate([np.zeros(media.TAPS // 2, "f4"), x, np.zeros(media.TAPS, "f4")])
+    for k in R.sample(range(len(y)), 50):
+        at = k * media.DOWN // media.UP
+        assert abs(y[k] - sum(float(padded[at + j]) * float(phases[k * media.DOWN % media.UP][j]) for j in range(media.TAPS))) < 1e-4
+    t = np.arange(16_000) / 16_000  # a tone passes with its height, and one beyond the new limit goes
+    assert 0.9 < np.abs(media.resample(np.sin(2 * np.pi * 1000 * t).astype("f4"))[500:-500]).max() < 1.1
+    assert np.abs(media.resample(np.sin(2 * np.pi * 7800 * t).astype("f4"))[500:-500]).max() < 0.15
+    mels, energy = media.log_mel(y)
+    for f in (0, 3, len(mels) - 1):
+        frame = y[f * media.HOP : f * media.HOP + media.FRAME]
+        bins = np.arange(media.FFT // 2 + 1)
+        power = np.abs(np.exp(-2j * np.pi * np.outer(bins, np.arange(media.FRAME)) / media.FFT) @ (frame * window)) ** 2
+        assert np.allclose(mels[f], np.log(np.maximum(power @ bank, 1e-6)), atol=1e-2)
+        assert abs(energy[f] - 10 * np.log10(np.maximum((frame.astype("f8") ** 2).mean(), 1e-9))) < 1e-2
+
+
+def test_hysteresis_against_a_loop():
+    e = np.random.default_rng(4).standard_normal(400) * 3
+    middle, on, want = np.median(e), False, []
+    for k, v in enumerate(e):
+        if not on and v > middle + media.ON:
+            on, begun = True, k
+        elif on and v < middle + media.OFF:
+            on = False
+            want.append((begun, k))
+    assert media.segments(e) == want + [(begun, len(e))] * on
+
+
+def test_shards_are_near_equal_in_bytes(docs):
+    got = sharding.shard(docs, 4).collect()
+    by_text = {}
+    for r in got:
+        assert r.law == "bytes" and r.grown_shard is None
+        by_text.setdefault((r.text_crc32, r.size), []).append(r)
+    sums = [sum(r.size for r in got if r.shard == k) for k in range(4)]
+    largest = max(sum(r.size for r in rows) for rows in by_text.values())
+    assert max(sums) <= max(largest, sum(sums) / 4 + largest)
+
+
 def test_quality(spark, docs, none):
     good, bad = [words(60) for _ in range(150)], ["".join(w + R.choice(["$$$", "%%%"]) + " " for w in words(40).split()) for _ in range(150)]
     table = spark.createDataFrame([(k, t) for k, t in enumerate(good + bad)], "doc_id long, text string")
