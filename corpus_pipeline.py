@@ -54,7 +54,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that repeat an id as one. Very long texts are compared whole; an empty table gives an empty result; columns of any name stay as they are.
     """
     key, wid, wkey, of = _own("key", "id", "wkey", "of")
-    groups = jaccard.similar(docs, with_groups=True)
+    groups = materialize(jaccard.similar(docs, with_groups=True).select("doc_id", "key", "group"), "groups")
     best = groups.where("group is not null").groupBy("group").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "key")).alias("of"))
     best = best.select(F.col("of.doc_id").alias(wid), F.col("of.key").alias(wkey)).unionByName(groups.where("group is null").select(F.col("doc_id").alias(wid), F.col("key").alias(wkey)).distinct())
     best = materialize(best, "best")
