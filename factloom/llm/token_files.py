@@ -19,7 +19,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import chunks, fine_batches, materialize, tidy
@@ -205,8 +205,8 @@ def coder(path: str) -> WordEncoder:
 def write_token_files(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
     """Encode, append ``end_id`` to each document, and write files in ascending id order.
 
-    Returns the written table, a row for each file (``part, file, n_ids, doc_ids, n_tokens, offsets, body``:
-    files in the order of part and number; the last three binary), and the width in bits. A null or empty text has only the end id; a null doc_id comes first;
+    Returns the written table, a row for each file (``part, file, before, n_ids, doc_ids, n_tokens, offsets, body``:
+    files in the order of part and number; ``before`` counts the ids of the part's earlier files; the last three are binary), and the width in bits. A null or empty text has only the end id; a null doc_id comes first;
     repeated ids stay, in the order of their ids; very long texts are encoded whole, by one task; an empty table writes no file.
     """
     width = coder(path).width
@@ -227,14 +227,16 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc_id, body], names=["part", "doc_id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, file, held, weight = None, 0, [], 0
+        now, file, before, held, weight = None, 0, 0, [], 0
 
         def out() -> pa.RecordBatch:
+            nonlocal before
             ids = np.frombuffer(b"".join(x for _, x in held), kind)
             offsets, body = pack_blocks(ids, width)
             counts = np.array([len(x) for _, x in held], "<i8") // np.dtype(kind).itemsize
-            columns = [([now], pa.int32()), ([file], pa.int32()), ([len(ids)], pa.int64()), ([[d for d, _ in held]], pa.list_(pa.int64())), ([counts.tobytes()], pa.binary()), ([offsets.tobytes()], pa.binary()), ([body], pa.binary())]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["part", "file", "n_ids", "doc_ids", "n_tokens", "offsets", "body"])
+            columns = [([now], pa.int32()), ([file], pa.int32()), ([before], pa.int64()), ([len(ids)], pa.int64()), ([[d for d, _ in held]], pa.list_(pa.int64())), ([counts.tobytes()], pa.binary()), ([offsets.tobytes()], pa.binary()), ([body], pa.binary())]
+            before += len(ids)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["part", "file", "before", "n_ids", "doc_ids", "n_tokens", "offsets", "body"])
 
         for batch in batches:
             for part, doc_id, ids in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -242,13 +244,13 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, id_col: str =
                     yield out()
                     file, held, weight = file + 1, [], 0
                 if part != now:
-                    now, file = part, 0
+                    now, file, before = part, 0, 0
                 held.append((doc_id, ids))
                 weight += len(ids)
         if held:
             yield out()
 
-    schema = "part int, file int, n_ids long, doc_ids array<long>, n_tokens binary, offsets binary, body binary"
+    schema = "part int, file int, before long, n_ids long, doc_ids array<long>, n_tokens binary, offsets binary, body binary"
     given = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     packed = given.mapInArrow(tidy(run), "part int, doc_id long, ids binary").repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
     return materialize(packed.mapInArrow(tidy(write), schema), "tokens"), width
@@ -257,17 +259,14 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, id_col: str =
 def read_token_files(files: DataFrame, width: int, with_ids: bool = True) -> DataFrame:
     """Per document, from the files: ``doc_id, start, n_tokens, ids_crc32`` and, if wanted, the ids (little-endian unsigned 32-bit)."""
     fine_batches(files.sparkSession)
-    spark = files.sparkSession
     totals = dict(files.groupBy("part").agg(F.sum("n_ids")).collect())  # at most PARTS rows
     order = sorted(totals)
-    bases = np.cumsum([0, *(totals[p] for p in order)])[:-1].tolist()
-    starts = spark.createDataFrame(list(zip(order, bases, strict=True)), "part int, part_base long")
-    before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("file")) - F.col("n_ids")
-    base = files.select("part", "file", before.alias("own_base"), "n_ids").join(F.broadcast(starts), "part")  # at most PARTS rows
+    bases = dict(zip(order, np.cumsum([0, *(totals[p] for p in order)])[:-1].tolist(), strict=True))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, doc_ids, counts, offsets, body in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for part, before, doc_ids, counts, offsets, body in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                base = bases[part] + before
                 n, off = np.frombuffer(counts, "<i8"), np.frombuffer(offsets, "<i8")
                 at = np.cumsum(n) - n
                 for a in range(0, len(n), 1000):
@@ -280,6 +279,5 @@ def read_token_files(files: DataFrame, width: int, with_ids: bool = True) -> Dat
                         out.append(pa.array([bytes(x) for x in own], pa.binary()))
                     yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    given = files.join(base.select("part", "file", (F.col("part_base") + F.col("own_base")).alias("base")), ["part", "file"])
-    given = given.select("base", "doc_ids", "n_tokens", "offsets", "body")
+    given = files.select("part", "before", "doc_ids", "n_tokens", "offsets", "body")
     return given.mapInArrow(tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)

@@ -79,7 +79,11 @@ def library(name):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
-def test_token_files(docs, none):
+@pytest.mark.parametrize("small", [False, True])
+def test_token_files(docs, none, monkeypatch, small):
+    if small:  # several parts, and several files in a part
+        monkeypatch.setattr(token_files, "PART_BYTES", 9000)
+        monkeypatch.setattr(token_files, "FILE_IDS", 100)
     files, width = token_files.write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
     got = token_files.read_token_files(files, width).collect()
     tok = library("word_bpe_49k.json")
