@@ -49,7 +49,7 @@ def c27(d):
 def f48(spark, sf):
     nodes, edges = graphs.graph(spark, sf)
     titles = nodes.select(C("id").alias("ancestor"), F.concat("number", F.lit(" "), F.left("title", F.lit(40))).alias("t"))
-    up = G.ancestors(edges, 3).join(titles, "ancestor")
+    up = G.ancestors(edges).join(titles, "ancestor")
     return up.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-C("distance")).alias("d"), "t"))), lambda x: x["t"]), " > ").alias("trail"))
 
 
@@ -250,7 +250,13 @@ def c22(spark, sf):
     return docs.select("o", F.array_join(F.transform("docs", lambda x: F.concat(F.lit("kind "), x["l_returnflag"])), "|").alias("kinds"))
 
 
-@graphs.q("c25_context_differential", " SELECT r.rule_id, count(e.dst) AS a, count(e.dst) AS b, TRUE AS same FROM rules r LEFT JOIN edges e ON e.src = 'rule:' || r.rule_id WHERE r.section <> 'Exhibit C' GROUP BY 1")
+@graphs.q(
+    "c25_context_differential",
+    graphs._ITEMS + """, own AS (SELECT rule_id, 'section:' || section AS id FROM rules WHERE section NOT IN ('Exhibit C', 'TBD') UNION ALL SELECT rule_id, NULL FROM rules WHERE section = 'TBD'),
+both_ways AS (SELECT id, part, item, 1 AS a, 0 AS b FROM items UNION ALL SELECT id, part, item, 0, 1 FROM twin_items),
+per AS (SELECT id, part, item, sum(a) AS a, sum(b) AS b FROM both_ways GROUP BY 1, 2, 3)
+SELECT rule_id, coalesce(sum(a), 0) AS a, coalesce(sum(b), 0) AS b, coalesce(bool_and((a > 0) = (b > 0)), TRUE) AS same FROM own LEFT JOIN per USING (id) GROUP BY 1""",
+)
 def c25(spark, sf):
     nodes, edges = graphs.graph(spark, sf)
     rules = graphs.tables(spark, sf)[1].where("section <> 'Exhibit C'").select("rule_id", T.citation_node(C("section")).alias("id"))

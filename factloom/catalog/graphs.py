@@ -14,26 +14,40 @@ C = F.col
 _NODES = """n AS (
 SELECT CAST(r_regionkey + 1 AS STRING) AS number, r_name AS title, CAST('' AS STRING) AS text FROM region
 UNION ALL SELECT CAST(n_regionkey + 1 AS STRING) || '.' || CAST(n_nationkey AS STRING), n_name || ' must comply with at least this', CASE WHEN n_nationkey % 2 = 0 THEN 'See Section ' || CAST(1 + n_nationkey % 5 AS STRING) || '.' || CAST((n_nationkey * 7) % 25 AS STRING) || ' unless exempted from it. Exhibit C shall apply.' ELSE '' END FROM nation
-UNION ALL SELECT CAST(n_regionkey + 1 AS STRING) || '.' || CAST(n_nationkey AS STRING) || '.' || CAST(c_custkey AS STRING), c_name, CASE c_custkey % 3 WHEN 0 THEN 'refer to Section ' || CAST(n_regionkey + 1 AS STRING) || '.' || CAST(n_nationkey AS STRING) || ' and it shall hold' WHEN 1 THEN '"' || lower(c_mktsegment) || '" means a kind' ELSE '' END FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey < 1000),
+UNION ALL SELECT CAST(n_regionkey + 1 AS STRING) || '.' || CAST(n_nationkey AS STRING) || '.' || CAST(c_custkey AS STRING), c_name, CASE c_custkey % 3 WHEN 0 THEN 'refer to Section ' || CAST(n_regionkey + 1 AS STRING) || '.' || CAST(n_nationkey AS STRING) || ' and it shall hold' WHEN 1 THEN '"' || lower(c_mktsegment) || '" means a kind' ELSE '' END FROM customer JOIN nation ON n_nationkey = c_nationkey),
 nodes AS (SELECT 'section:' || number AS id, 'Section' AS type, number, title, text FROM n UNION ALL SELECT 'exhibit:C', 'Exhibit', NULL, 'Exhibit C', ''),
 rules AS (SELECT 'R' || CAST(n_nationkey AS STRING) AS rule_id, CASE WHEN n_nationkey % 4 = 0 THEN 'Exhibit C' WHEN n_nationkey % 4 = 1 THEN 'TBD' ELSE CAST(n_regionkey + 1 AS STRING) || '.' || CAST(n_nationkey AS STRING) END AS section FROM nation)"""
 _EDGES = f"""{_NODES},
 refs AS (SELECT DISTINCT id, unnest(regexp_extract_all(left(text, 2000), '{T.XREF}', 1)) AS r, regexp_matches(left(text, 2000), '(?i){T.EXCEPTION}') AS exc FROM nodes WHERE type = 'Section'),
 defs AS (SELECT id, unnest(regexp_extract_all(left(text, 2000), '{T.DEFINITION}', 1)) AS term FROM nodes WHERE type = 'Section'),
+exc AS (SELECT id, 'section:' || regexp_replace(number, '\\.[^.]+$', '') AS parent FROM nodes WHERE type = 'Section' AND contains(number, '.') AND regexp_matches(left(text, 2000), '(?i){T.EXCEPTION}')),
+linked AS (SELECT id FROM refs WHERE exc AND id <> 'section:' || r AND 'section:' || r IN (SELECT id FROM nodes)),
+terms AS (SELECT DISTINCT 'term:' || lower(regexp_replace(term, '\\s+', '_', 'g')) AS dst, lower(trim(term)) AS term FROM defs WHERE length(trim(term)) >= 3),
 e AS (SELECT 'section:' || regexp_replace(number, '\\.[^.]+$', '') AS src, id AS dst, 0 AS pr FROM nodes WHERE type = 'Section' AND contains(number, '.')
  UNION ALL SELECT id, 'section:' || r, 1 FROM refs UNION ALL SELECT id, 'section:' || r, 4 FROM refs WHERE exc
  UNION ALL SELECT id, 'exhibit:' || unnest(regexp_extract_all(left(text, 2000), '{T.EXHIBIT}', 1)), 1 FROM nodes WHERE type = 'Section'
  UNION ALL SELECT id, 'term:' || lower(regexp_replace(term, '\\s+', '_', 'g')), 2 FROM defs
+ UNION ALL SELECT id, parent, 4 FROM exc WHERE id NOT IN (SELECT id FROM linked)
+ UNION ALL SELECT n.id, t.dst, 3 FROM nodes n JOIN terms t ON contains(lower(n.title || ' ' || left(n.text, 2000)), t.term) WHERE n.type = 'Section' AND NOT starts_with(n.number, '2')
  UNION ALL SELECT 'rule:' || rule_id, CASE WHEN section = 'Exhibit C' THEN 'exhibit:C' ELSE 'section:' || section END, 5 FROM rules WHERE section <> 'TBD'),
 known AS (SELECT id FROM nodes UNION SELECT 'term:' || lower(regexp_replace(term, '\\s+', '_', 'g')) FROM defs),
 edges AS (SELECT src, dst, ['CONTAINS', 'REFERENCES', 'DEFINES', 'USES_TERM', 'EXCEPTION', 'CITES'][max(pr) + 1] AS type FROM e WHERE src <> dst AND dst IN (SELECT id FROM known) GROUP BY 1, 2)"""
 
+#: Parts of the contexts of sections, by two ways: up from each section and down to it.
+_ITEMS = """, up(id, top) AS (SELECT dst, src FROM edges WHERE type = 'CONTAINS' UNION SELECT up.id, e.src FROM up JOIN edges e ON e.dst = up.top AND e.type = 'CONTAINS'),
+down(top, id) AS (SELECT id, id FROM nodes WHERE type = 'Section' UNION SELECT down.top, e.dst FROM down JOIN edges e ON e.src = down.id AND e.type = 'CONTAINS'),
+sec AS (SELECT id, number FROM nodes WHERE type = 'Section'),
+links AS (SELECT e.src AS id, 'references' AS part, e.dst AS item FROM edges e JOIN sec ON sec.id = e.src WHERE e.type = 'REFERENCES'
+ UNION ALL SELECT e.src, 'definitions', t.term FROM edges e JOIN terms t USING (dst) WHERE e.type = 'USES_TERM'
+ UNION ALL SELECT e.dst, 'exceptions', a.number FROM edges e JOIN sec a ON a.id = e.src JOIN sec b ON b.id = e.dst WHERE e.type = 'EXCEPTION'),
+items AS (SELECT up.id, 'ancestors' AS part, sec.number AS item FROM up JOIN sec ON sec.id = up.top UNION ALL SELECT * FROM links),
+twin_items AS (SELECT down.id, 'ancestors' AS part, sec.number AS item FROM down JOIN sec ON sec.id = down.top WHERE down.id <> down.top UNION ALL SELECT * FROM links)"""
+
 
 def tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     for t in ("region", "nation", "customer"):
         read(spark, sf, t).createOrReplaceTempView(f"factloom_{t}")
-    # all customers; only the oracles' text stops at key 1000
-    text = _NODES.replace("CAST('' AS STRING)", "''").replace(" WHERE c_custkey < 1000", "")
+    text = _NODES.replace("CAST('' AS STRING)", "''")
     for t in ("region", "nation", "customer"):
         text = text.replace(f"FROM {t}", f"FROM factloom_{t}").replace(f"JOIN {t} ", f"JOIN factloom_{t} ")
     return spark.sql(f"WITH {text} SELECT * FROM nodes"), spark.sql(f"WITH {text} SELECT * FROM rules")
@@ -60,14 +74,19 @@ def d17(spark, sf):
 
 @q("r4_ancestors", ", up(node, ancestor, distance) AS (SELECT dst, src, 1 FROM edges WHERE type = 'CONTAINS' UNION ALL SELECT up.node, e.src, distance + 1 FROM up JOIN edges e ON e.dst = up.ancestor AND e.type = 'CONTAINS') SELECT * FROM up")
 def r4(spark, sf):
-    return G.ancestors(graph(spark, sf)[1], 3)
+    return G.ancestors(graph(spark, sf)[1])
 
 
-@q("r4_context", " SELECT n.id, count(*) FILTER (e.type = 'REFERENCES') AS refs, count(*) FILTER (e.type = 'DEFINES') AS defs, count(*) FILTER (e.type = 'EXCEPTION') AS exceptions FROM nodes n LEFT JOIN edges e ON e.src = n.id GROUP BY 1")
+@query("r4_context")
 def r4b(spark, sf):
     return G.context(*graph(spark, sf))
 
 
+@q("r4_context_items", _ITEMS + " SELECT id, part, item FROM items")
+def r4_items(spark, sf):
+    return G.context_items(G.context(*graph(spark, sf)))
+
+
 @q("r5_unresolved_reach", ", walk(start, node) AS (SELECT 'rule:' || rule_id, 'rule:' || rule_id FROM rules UNION SELECT walk.start, e.dst FROM walk JOIN edges e ON e.src = walk.node AND e.type IN ('CITES', 'REFERENCES')) SELECT start, node FROM walk JOIN nodes ON id = node WHERE trim(text) = '' AND NOT (type = 'Section' AND len(string_split_regex(trim(title), '\\s+')) >= 4)")
 def r5(spark, sf):
     return r5_discoveries(spark, sf).select("start", "node")
@@ -119,7 +138,17 @@ def r10(spark, sf):
     return G.reach(starts, edges, ["CITES", "REFERENCES"], 5).select("start", "node")
 
 
-@q("r11_backend_parity", " SELECT count(*) AS differences FROM edges WHERE FALSE")
+@q(
+    "r11_backend_parity",
+    _ITEMS
+    + f""", walk(start, node) AS (SELECT 'rule:' || rule_id, 'rule:' || rule_id FROM rules UNION SELECT walk.start, e.dst FROM walk JOIN edges e ON e.src = walk.node AND e.type IN ('CITES', 'REFERENCES')),
+five(start, node, hops) AS (SELECT 'rule:' || rule_id, 'rule:' || rule_id, 0 FROM rules UNION SELECT five.start, e.dst, hops + 1 FROM five JOIN edges e ON e.src = five.node AND e.type IN ('CITES', 'REFERENCES') WHERE hops < 5),
+a AS (SELECT 'unresolved' AS what, start AS subject, node AS item FROM walk JOIN nodes ON id = node WHERE trim(text) = '' AND NOT (type = 'Section' AND len(string_split_regex(trim(title), '\\s+')) >= 4)
+ UNION SELECT 'orphans', id, number FROM nodes WHERE type = 'Section' AND regexp_matches(title || ' ' || text, '(?i){T.OBLIGATION}') AND id NOT IN (SELECT dst FROM edges WHERE type = 'CITES') UNION SELECT part, id, item FROM items),
+b AS (SELECT 'unresolved' AS what, start AS subject, node AS item FROM five JOIN nodes ON id = node WHERE trim(text) = '' AND NOT (type = 'Section' AND len(string_split(title, ' ')) >= 4)
+ UNION SELECT 'orphans', id, number FROM nodes WHERE type = 'Section' AND (regexp_full_match(text, '{G.TWIN_OBLIGATION[:4] + G.TWIN_OBLIGATION[6:-2]}') OR regexp_full_match(title, '{G.TWIN_OBLIGATION[:4] + G.TWIN_OBLIGATION[6:-2]}')) AND id NOT IN (SELECT dst FROM edges WHERE type = 'CITES') UNION SELECT part, id, item FROM twin_items)
+SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) + (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS differences""",
+)
 def r11(spark, sf):
     starts = tables(spark, sf)[1].select(F.concat(F.lit("rule:"), "rule_id").alias("start"))
     return G.backend_differences(starts, *graph(spark, sf)).agg(F.count("*").alias("differences"))
@@ -142,12 +171,23 @@ def s18(spark, sf):
     return e.select(F.concat(F.lit("MATCH (a {id: "), lit("src"), F.lit("}), (b {id: "), lit("dst"), F.lit("}) MERGE (a)-[:"), "type", F.lit("]->(b)")).alias("statement"))
 
 
-@q("c24_rule_checklist", " SELECT r.rule_id, count(DISTINCT c.dst) AS cited, count(DISTINCT b.dst) AS refs FROM rules r LEFT JOIN edges c ON c.src = 'rule:' || r.rule_id AND c.type = 'CITES' LEFT JOIN edges b ON b.src = c.dst AND b.type = 'REFERENCES' GROUP BY 1")
+@query("c24_rule_checklist")
 def c24(spark, sf):
     nodes, edges = graph(spark, sf)
     return G.checklist(tables(spark, sf)[1], nodes, G.context(nodes, edges))
 
 
+@q(
+    "c24_checklist_sizes",
+    _ITEMS + """, cited AS (SELECT rule_id, CASE WHEN section = 'Exhibit C' THEN 'exhibit:C' WHEN section <> 'TBD' THEN 'section:' || section END AS id FROM rules),
+sizes AS (SELECT id, count(*) FILTER (part = 'references') AS refs, count(*) FILTER (part = 'definitions') AS defs, count(*) FILTER (part = 'exceptions') AS exceptions FROM items GROUP BY 1)
+SELECT rule_id, n.id AS cited, least(coalesce(refs, 0), 6) AS refs, least(coalesce(defs, 0), 8) AS defs, least(coalesce(exceptions, 0), 4) AS exceptions FROM cited LEFT JOIN nodes n USING (id) LEFT JOIN sizes USING (id)""",
+)
+def c24_sizes(spark, sf):
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return c24(spark, sf).select("rule_id", "cited", size(C("references")).alias("refs"), size(C("definitions")).alias("defs"), size(C("exceptions")).alias("exceptions"))
+
+
 @q("c16_coverage_report", f", s AS (SELECT id, regexp_matches(title || ' ' || text, '(?i){T.OBLIGATION}') AS ob, id IN (SELECT dst FROM edges WHERE type = 'CITES') AS cited FROM nodes WHERE type = 'Section') SELECT count(*) AS sections, count(*) FILTER (ob) AS obligations, count(*) FILTER (ob AND cited) AS cited, count(*) FILTER (ob AND NOT cited) AS uncited FROM s")
 def c16(spark, sf):
     nodes, edges = graph(spark, sf)

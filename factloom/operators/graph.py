@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.sources.files import checkpoint_dir
 
 #: Later kinds replace earlier ones between the same two nodes.
 PRECEDENCE = ["CONTAINS", "REFERENCES", "DEFINES", "USES_TERM", "EXCEPTION", "CITES"]
@@ -80,14 +81,11 @@ def term_uses(sections: DataFrame, terms: DataFrame) -> DataFrame:
     return full.crossJoin(blocks).select("src", F.explode(found).alias("t")).select("src", "t.dst", F.lit("USES_TERM").alias("type"))
 
 
-def ancestors(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """``node, ancestor, distance`` along CONTAINS edges; the tree is at most ``depth`` deep."""
-    up = edges.where("type = 'CONTAINS'").select(F.col("dst").alias("node"), F.col("src").alias("ancestor"))
-    step, out = up.withColumn("distance", F.lit(1)), None
-    for k in range(1, depth + 1):
-        out = step if out is None else out.unionByName(step)
-        step = step.select("node", F.col("ancestor").alias("mid")).join(up.select(F.col("node").alias("mid"), "ancestor"), "mid").select("node", "ancestor", F.lit(k + 1).alias("distance"))
-    return out
+def ancestors(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """``node, ancestor, distance`` along CONTAINS edges, up to the root, or to ``depth`` levels where the caller gives one."""
+    up = edges.where("type = 'CONTAINS'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
+    starts = up.select(F.col("src").alias("start")).distinct()
+    return reach(starts, up, ["CONTAINS"], depth).select(F.col("start").alias("node"), F.col("node").alias("ancestor"), F.col("hops").alias("distance"))
 
 
 def reach(starts: DataFrame, edges: DataFrame, kinds: list[str], rounds: int | None = None) -> DataFrame:
@@ -115,12 +113,9 @@ def reach(starts: DataFrame, edges: DataFrame, kinds: list[str], rounds: int | N
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and without the plan behind them, which would double with each round."""
-    return df.checkpoint() if _has_dir(df) else df.localCheckpoint()
-
-
-def _has_dir(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    """The rows, computed once and without the plan behind them, which would double with each round; below ``spark.checkpoint.dir``."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def terms_of(nodes: DataFrame) -> DataFrame:

@@ -11,13 +11,26 @@ from pyspark.sql import functions as F
 from factloom.functions.urls import detail_id
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a local one where that is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir``. Where a session of one machine has none, a local one; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = getattr(spark, "_factloom_files", None) or tempfile.mkdtemp(prefix="factloom-")
         spark._factloom_files = base
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Let ``checkpoint()`` write to the shared folder, where the session has not named a folder itself."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
 
 
 def permits_csv(spark: SparkSession, path: str, columns: list[str], url_column: str) -> DataFrame:
