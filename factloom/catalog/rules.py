@@ -41,7 +41,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FACTS = """li AS (SELECT l_orderkey AS subject, CAST(max(l_quantity) AS INT) AS q, CAST(max(round(l_discount * 100)) AS INT) AS d, CAST(round(sum(l_extendedprice)) AS BIGINT) AS p, count(*) AS n FROM lineitem GROUP BY 1),
-facts AS (SELECT subject, 'quantity_max' AS name, CAST(q AS STRING) AS value FROM li UNION ALL SELECT subject, 'discount_pct', CAST(d AS STRING) FROM li UNION ALL SELECT subject, 'price_sum', CAST(p AS STRING) FROM li UNION ALL SELECT subject, 'lines', CAST(n AS STRING) FROM li
+facts AS MATERIALIZED (SELECT subject, 'quantity_max' AS name, CAST(q AS STRING) AS value FROM li UNION ALL SELECT subject, 'discount_pct', CAST(d AS STRING) FROM li UNION ALL SELECT subject, 'price_sum', CAST(p AS STRING) FROM li UNION ALL SELECT subject, 'lines', CAST(n AS STRING) FROM li
  UNION ALL SELECT o_orderkey, 'status', CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderstatus END FROM orders UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders
  UNION ALL SELECT o_orderkey, 'scale', CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_totalprice < 250000 THEN 'Small ' ELSE 'large' END FROM orders
  UNION ALL SELECT o_orderkey, 'note', CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE '' END FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT o_orderkey, 'flag', 'x' FROM orders WHERE o_orderkey % 7 = 0)"""
@@ -57,9 +57,9 @@ def _values() -> str:
 _N = "TRY_CAST(regexp_extract(replace({0}, ',', ''), '[-+]?\\d*\\.?\\d+') AS DOUBLE)"
 EV = f"""{FACTS}, {_values()}, subjects AS (SELECT o_orderkey AS subject FROM orders),
 state AS (SELECT s.subject, g.rule_id, g.gseq, g.key, CASE WHEN f.value IS NULL OR f.value = '' THEN 2 WHEN NOT list_contains(g.allowed, lower(trim(f.value))) THEN 1 ELSE 0 END AS st FROM subjects s CROSS JOIN gates g LEFT JOIN facts f ON f.subject = s.subject AND f.name = g.key),
-decided AS (SELECT subject, rule_id, arg_min(st, gseq) AS st, arg_min(key, gseq) AS gate FROM state WHERE st > 0 GROUP BY 1, 2),
+decided AS MATERIALIZED (SELECT subject, rule_id, arg_min(st, gseq) AS st, arg_min(key, gseq) AS gate FROM state WHERE st > 0 GROUP BY 1, 2),
 pairs AS (SELECT s.subject, r.*, f.subject IS NOT NULL AS known, f.value, d.st, d.gate, {_N.format('f.value')} AS l, {_N.format('r.threshold')} AS t FROM subjects s CROSS JOIN rules r LEFT JOIN facts f ON f.subject = s.subject AND f.name = r.parameter LEFT JOIN decided d ON d.subject = s.subject AND d.rule_id = r.rule_id),
-ev AS (SELECT subject, rule_id, seq, parameter, severity, CASE WHEN NOT verified THEN 'UNKNOWN' WHEN st = 2 THEN 'UNKNOWN' WHEN st = 1 THEN 'PASS'
+ev AS MATERIALIZED (SELECT subject, rule_id, seq, parameter, severity, CASE WHEN NOT verified THEN 'UNKNOWN' WHEN st = 2 THEN 'UNKNOWN' WHEN st = 1 THEN 'PASS'
   WHEN op = 'present' THEN CASE WHEN value <> '' THEN 'PASS' WHEN NOT known THEN 'UNKNOWN' ELSE 'FAIL' END WHEN op = 'absent' THEN CASE WHEN value <> '' THEN 'FAIL' ELSE 'PASS' END
   WHEN value IS NULL OR value = '' THEN 'UNKNOWN'
   WHEN op IN ('>=', '<=', '>', '<') THEN CASE WHEN l IS NULL OR t IS NULL THEN 'UNKNOWN' WHEN (op = '>=' AND l >= t) OR (op = '<=' AND l <= t) OR (op = '>' AND l > t) OR (op = '<' AND l < t) THEN 'PASS' ELSE 'FAIL' END
