@@ -43,6 +43,12 @@ class Memo(dict):
 
     weight = 0
 
+    def keep_one(self, k: str, v) -> None:
+        own = 2 * len(k) + 2 * COST
+        if self.weight <= MEMO_BYTES and own < MEMO_BYTES // 1000:
+            self[k] = v
+            self.weight += own
+
     def keep(self, new: dict[str, bytes]) -> None:
         for k, v in new.items():
             if self.weight > MEMO_BYTES:
@@ -185,10 +191,18 @@ class PairIndexBPE:
         cut = (np.searchsorted(kept, ends) * 4).tolist()
         return [out[a:b] for a, b in zip([0, *cut], cut, strict=False)]
 
+    def pretokens(self, piece: str) -> list[str]:
+        """The pre-tokens of a run; a special token's string is one."""
+        return [piece] if piece in self.special else self.cut.findall(piece)
+
+    def sizes(self, words: list[str]) -> list[int]:
+        """How many ids each pre-token has."""
+        out = self.counts([w.encode() for w in words]).tolist()
+        return [1 if w in self.special else n for w, n in zip(words, out, strict=True)] if self.special else out
+
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids (little-endian unsigned 32-bit) of runs of pre-tokens that the memo doesn't have."""
-        cut = self.cut.findall
-        plan = [(p, (p,) if p in self.special else cut(p)) for p in pieces]
+        plan = [(p, self.pretokens(p)) for p in pieces]
         new = list({w for _, parts in plan for w in parts} - self.word_ids.keys() - self.special.keys())
         ids = dict(zip(new, self.merge([w.encode() for w in new]), strict=True))
         ids |= {t: self.special[t].to_bytes(4, "little") for t in self.special}

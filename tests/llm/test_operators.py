@@ -108,8 +108,11 @@ def test_packing_round_trip(width):
         assert (token_files.read_ids(body, blocks, a, n, width) == x[a : a + n]).all()
 
 
-@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
-def test_token_counts(docs, none, name):
+@pytest.mark.parametrize(("name", "head"), [("byte_bpe_50k.json", 200_000), ("byte_bpe_50k.json", 5), ("piece_bpe_32k.model", 5)])
+def test_token_counts(docs, none, monkeypatch, name, head):
+    monkeypatch.setattr(token_counts, "HEAD", head)
+    if head == 5:
+        monkeypatch.setattr(token_counts, "HELD", 5000)
     got = token_counts.token_counts(docs, public_tokenizers.path(name)).collect()
     if name.endswith(".json"):
         count = lambda t: len(library(name).encode(t, add_special_tokens=False).ids)
