@@ -25,7 +25,7 @@ from factloom.llm.common import chunks, discard, fine_batches, materialize, text
 #: Most frequent pre-tokens whose counts every task has.
 HEAD = 200_000
 #: Bytes of distinct runs that a task holds before it sends their pre-tokens; each counts COST more.
-HELD, COST = 48 << 20, 120
+HELD, COST = 96 << 20, 120
 
 
 @cache
@@ -104,6 +104,17 @@ def counted(pieces: DataFrame, path: str) -> DataFrame:
     return pieces.mapInArrow(tidy(run), "piece string, freq long, n long")
 
 
+def _cutoff(pieces: DataFrame) -> float:
+    """A frequency that at most HEAD pre-tokens exceed: by a histogram of some hundred bins, whatever the size of the table."""
+    bins = sorted(pieces.groupBy(F.floor(F.log2("freq") * 16).alias("bin")).count().collect(), reverse=True)
+    total = 0
+    for b, n in bins:
+        total += n
+        if total > HEAD:
+            return 2 ** ((b + 1) / 16) - 1e-6
+    return 0
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """Per document: id, ``n_bytes``, ``n_tokens``, ``over_limit``.
 
@@ -126,34 +137,34 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         return told(given.mapInArrow(tidy(whole), "doc_id long, n_bytes long, n long"), F.col("n"))
 
     pieces = materialize(counted(pretokens(given, path), path), "pieces")
-    head = dict(pieces.orderBy(F.desc("freq"), "piece").limit(HEAD).select("piece", "n").collect())  # at most HEAD rows
+    head = dict(pieces.where(F.col("freq") > _cutoff(pieces)).select("piece", "n").collect())  # at most HEAD rows
     sent = spark.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known = cutter(path), sent.value
-        memo = Memo()  # runs: what the head says of them, and which pre-tokens it lacks
-
-        def look(piece: str) -> tuple[int, tuple[str, ...]]:
-            parts = cut.pretokens(piece)
-            return sum(known.get(p, 0) for p in parts), tuple(p for p in parts if p not in known)
+        cut, head = cutter(path), sent.value
+        known, memo = Memo(head), Memo()  # counts of runs that the head has; of others, what it says of them and what it lacks
+        get = known.get
 
         for batch in chunks(batches, most=2 << 20):
             sums, rest = [], []
             for row, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-                total, lacking = 0, Counter()
-                for piece, f in Counter(cut.cut_runs(text)).items():
-                    n = known.get(piece)
-                    if n is None:
-                        n = memo.get(piece)
-                        if n is None:
-                            own, more = look(piece)
-                            n = (own, more) if more else own
-                            memo.keep_one(piece, n)
-                        if type(n) is tuple:
-                            for p in n[1]:
-                                lacking[p] += f
-                            n = n[0]
-                    total += f * n
+                own = cut.cut_runs(text)
+                each = list(map(get, own))
+                lacking: Counter = Counter()
+                if None in each:
+                    for piece, f in Counter([p for p, n in zip(own, each, strict=True) if n is None]).items():
+                        got = memo.get(piece)
+                        if got is None:
+                            parts = cut.pretokens(piece)
+                            got = sum(head.get(p, 0) for p in parts), [p for p in parts if p not in head]
+                            if got[1]:
+                                memo.keep_one(piece, got)
+                            else:
+                                known.keep_one(piece, got[0])
+                        each.append(got[0] * f)
+                        for p in got[1]:
+                            lacking[p] += f
+                total = sum(filter(None, each))
                 sums.append(total)
                 rest += [(row, p, f) for p, f in lacking.items()]
             rows, names, freqs = zip(*rest, strict=True) if rest else ((), (), ())
