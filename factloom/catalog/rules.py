@@ -173,11 +173,19 @@ def discrimination(spark: SparkSession, sf: str) -> DataFrame:
     return evaluations(spark, sf).withColumn("bucket", bucket).join(group, "subject").groupBy("grp", "rule_id").agg(n("FAIL").alias("n_fail"), n("PASS").alias("n_pass"), n("UNKNOWN").alias("n_unknown"), n("NA").alias("n_na"))
 
 
-@query("a9_group_totals", f"WITH {EV}, per AS (SELECT {_G} AS grp, subject, bool_or(outcome = 'FAIL') AS tripped, bool_and(outcome = 'UNKNOWN') AS blind FROM ev JOIN orders o ON o.o_orderkey = ev.subject WHERE o.o_orderstatus IN ('F', 'O') GROUP BY 1, 2) SELECT grp, count(*) AS records, count(*) FILTER (tripped) AS tripped_any, count(*) FILTER (blind) AS unknown_all FROM per GROUP BY 1")
+_EVALUABLE = ["Q-1", "Q-2", "Q-4"]
+
+
+@query(
+    "a9_group_totals",
+    f"""WITH {EV}, w AS (SELECT ev.*, r.verified, EXISTS (SELECT 1 FROM facts f WHERE f.subject = ev.subject AND f.name = ev.parameter) AS has FROM ev JOIN rules r USING (rule_id)),
+per AS (SELECT {_G} AS grp, subject, bool_or(outcome = 'FAIL') AS tripped, bool_or(outcome = 'FAIL' AND rule_id IN ('Q-1', 'Q-2', 'Q-4')) AS ofe, NOT bool_or(outcome <> 'UNKNOWN' AND applicability <> 'not_applicable') AS blind, count(*) FILTER (outcome = 'UNKNOWN' AND NOT verified) AS a, count(*) FILTER (outcome = 'UNKNOWN' AND verified AND NOT has) AS b, count(*) FILTER (outcome = 'UNKNOWN' AND verified AND has) AS c
+ FROM w JOIN orders o ON o.o_orderkey = w.subject WHERE o.o_orderstatus IN ('F', 'O') GROUP BY 1, 2)
+SELECT grp, count(*) AS records, count(*) FILTER (subject IN (SELECT subject FROM facts)) AS mapped, count(*) FILTER (tripped) AS tripped_any, count(*) FILTER (ofe) AS tripped_evaluable, count(*) FILTER (blind) AS unknown_all, CAST(sum(a) AS BIGINT) AS not_certified, CAST(sum(b) AS BIGINT) AS parameter_missing, CAST(sum(c) AS BIGINT) AS not_comparable FROM per GROUP BY 1""",
+)
 def a9(spark, sf):
     group = read(spark, sf, "orders").where("o_orderstatus in ('F', 'O')").select(F.col("o_orderkey").alias("subject"), F.when(F.col("o_orderstatus") == "F", "denied").otherwise("approved").alias("grp"))
-    per = evaluations(spark, sf).groupBy("subject").agg(F.bool_or(F.col("outcome") == "FAIL").alias("tripped"), F.bool_and(F.col("outcome") == "UNKNOWN").alias("blind"))
-    return per.join(group, "subject").groupBy("grp").agg(F.count("*").alias("records"), F.count_if("tripped").alias("tripped_any"), F.count_if("blind").alias("unknown_all"))
+    return R.group_totals(evaluations(spark, sf), group, facts(spark, sf), RULES, _EVALUABLE)
 
 
 @query("a10_separation", f"WITH {EV}, d AS (SELECT rule_id, 100.0 * count(*) FILTER (outcome = 'FAIL' AND o.o_orderstatus = 'F') / nullif(count(*) FILTER (o.o_orderstatus = 'F'), 0) AS a, 100.0 * count(*) FILTER (outcome = 'FAIL' AND o.o_orderstatus = 'O') / nullif(count(*) FILTER (o.o_orderstatus = 'O'), 0) AS b FROM ev JOIN orders o ON o.o_orderkey = ev.subject WHERE o.o_orderstatus IN ('F', 'O') GROUP BY 1) SELECT rule_id, round(a - b, 4) AS points, CASE WHEN a > b THEN 'denied' WHEN a < b THEN 'approved' ELSE 'none' END AS side FROM d")

@@ -56,8 +56,34 @@ def stated_location(c: Column) -> Column:
     return F.struct(last(r"(?i)\blat(?:itude)?[:\s]+(-?\d+\.\d+)").alias("lat"), last(r"(?i)\blon(?:g|gitude)?[:\s]+(-?\d+\.\d+)").alias("lon"))
 
 
+#: Fixed value: a line that begins a section.
+SECTION = r"^\s*(\d{1,2}(?:\.\d{1,3}){0,4})\s+(?=[A-Z(\"'])"
+
+
+def section_passages(lines: DataFrame, headers: list[str] = (), units_needed: bool = True) -> DataFrame:
+    """Sentences that state a number, with the section they stand in: ``doc_id, page, block, section, pos, quote, units, numbers, obligation, setback``.
+
+    ``lines(doc_id, page, line, txt)``. Blank lines and those with a running header's words are left out; lines are put together by the heading they follow, so that a sentence
+    that wraps stays whole; a section goes on over the page until the next heading; what comes before any heading is front matter.
+    """
+    from pyspark.sql import Window
+
+    own = lines.select("doc_id", "page", "line", T.squeeze(T.demojibake(F.col("txt"))).alias("txt")).where("txt <> ''")
+    for h in headers:
+        own = own.where(~F.col("txt").contains(h))
+    heading = F.nullif(F.regexp_extract("txt", SECTION, 1), F.lit(""))
+    by_doc, by_page = Window.partitionBy("doc_id").orderBy("page", "line"), Window.partitionBy("doc_id", "page").orderBy("line")
+    own = own.withColumn("heading", heading).withColumns({"section": F.coalesce(F.last("heading", ignorenulls=True).over(by_doc), F.lit("front matter")), "block": F.count("heading").over(by_page)})
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "txt"))), lambda x: x["txt"]), " ")
+    blocks = own.groupBy("doc_id", "page", "block").agg(F.min_by("section", "line").alias("section"), text.alias("text"))
+    found = blocks.select("doc_id", "page", "block", "section", F.posexplode(T.sentences(T.dehyphenate(F.col("text")))).alias("pos", "quote")).where(F.col("quote").rlike(r"\d"))
+    found = found.withColumns({"numbers": F.slice(T.numbers_in(F.col("quote")), 1, 24), "units": T.units_in(F.col("quote"))}).where("size(numbers) > 0")
+    found = found.where("size(units) > 0") if units_needed else found
+    return found.withColumns({"obligation": T.has_obligation(F.col("quote")), "setback": T.has_setback(F.col("quote"))})
+
+
 def passages(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Candidate passages: sentences with a number and an obligation or a unit, with units, numbers and score."""
+    """Sentences with a unit and an obligation or a setback, with units and score; ``section_passages`` also looks at numbers and sections."""
     s = docs.select(key, F.posexplode(T.sentences(T.dehyphenate(T.squeeze(F.col(text))))).alias("pos", "quote"))
     own = s.withColumns({"units": T.units_in(F.col("quote")), "score": T.passage_score(F.col("quote"))})
     return own.where("size(units) > 0 and score > 0")

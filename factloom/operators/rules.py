@@ -148,8 +148,11 @@ def compared() -> Column:
     return F.col("outcome").isin("PASS", "FAIL") & (F.col("applicability") != "not_applicable")
 
 
-def report(evaluations: DataFrame, by: str = "subject") -> DataFrame:
-    """Counts, coverage and verdict of each subject; evaluated + not applicable + unreadable = all."""
+def report(evaluations: DataFrame, by: str = "subject", subjects: DataFrame | None = None) -> DataFrame:
+    """Counts, coverage and verdict of each subject; evaluated + not applicable + unreadable = all.
+
+    With ``subjects``, also of those without any evaluation, as when there are no rules: nothing can be verified.
+    """
     n = lambda c: F.count(F.when(c, 1))
     out = evaluations.groupBy(by).agg(
         n(F.col("outcome") == "PASS").alias("n_pass"),
@@ -161,6 +164,8 @@ def report(evaluations: DataFrame, by: str = "subject") -> DataFrame:
         n((F.col("outcome") == "UNKNOWN")).alias("unreadable"),
         F.count("*").alias("total"),
     )
+    if subjects is not None:
+        out = subjects.select(by).distinct().join(out, by, "left").fillna(0, [c for c in out.columns if c != by])
     part = lambda c, t: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(" " + t)))
     text = F.concat_ws(", ", F.concat(F.col("evaluated").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" checked")), part("not_applicable", "not applicable"), part("unreadable", "not readable"))
     verdict = F.when(F.col("n_fail") > 0, "DEFICIENCIES FOUND").when(F.col("evaluated") > 0, "NO DEFICIENCIES FOUND").otherwise("CANNOT VERIFY")
@@ -182,3 +187,32 @@ def unresolved_groups(evaluations: DataFrame) -> DataFrame:
     """Unresolved evaluations of a subject by what blocks them, in the order of first appearance."""
     own = evaluations.withColumn("blocked_by", blocked_by()).where("blocked_by is not null")
     return own.groupBy("subject", "blocked_by").agg(F.min("seq").alias("first"), F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "rule_id"))), lambda x: x["rule_id"]).alias("rules"))
+
+
+def group_totals(evaluations: DataFrame, groups: DataFrame, facts: DataFrame, rules: list[Rule], evaluable: list[str]) -> DataFrame:
+    """What the rules say of each group of ``subject, grp``.
+
+    ``records``; ``mapped``: with any fact; ``tripped_any``, ``tripped_evaluable``: with a failure, of any rule or of one of ``evaluable``;
+    ``unknown_all``: without any comparison (a rule that doesn't apply compares nothing); and why single checks didn't run: ``not_certified``, ``parameter_missing``, ``not_comparable``.
+    """
+    certified = F.col("rule_id").isin([r.id for r in rules if r.verified])
+    have = facts.select("subject", F.col("name").alias("parameter")).distinct().withColumn("has", F.lit(True))
+    waiting = (F.col("outcome") == "UNKNOWN")
+    per = evaluations.join(have, ["subject", "parameter"], "left").groupBy("subject").agg(
+        F.bool_or(F.col("outcome") == "FAIL").alias("tripped"),
+        F.bool_or((F.col("outcome") == "FAIL") & F.col("rule_id").isin(evaluable)).alias("of_evaluable"),
+        (~F.bool_or(compared())).alias("blind"),
+        F.count_if(waiting & ~certified).alias("not_certified"),
+        F.count_if(waiting & certified & F.col("has").isNull()).alias("parameter_missing"),
+        F.count_if(waiting & certified & F.col("has").isNotNull()).alias("not_comparable"),
+    )
+    mapped = facts.select("subject").distinct().withColumn("mapped", F.lit(True))
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return groups.join(per, "subject", "left").join(mapped, "subject", "left").groupBy("grp").agg(
+        F.count("*").alias("records"),
+        F.count_if(no("mapped")).alias("mapped"),
+        F.count_if(no("tripped")).alias("tripped_any"),
+        F.count_if(no("of_evaluable")).alias("tripped_evaluable"),
+        F.count_if(F.coalesce("blind", F.lit(True))).alias("unknown_all"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("not_certified", "parameter_missing", "not_comparable")],
+    )

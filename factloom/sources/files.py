@@ -91,3 +91,20 @@ def write_by_status(df: DataFrame, path: str, status: str = "status") -> None:
 
 def is_pdf(content: Column) -> Column:
     return F.startswith(content, F.lit("%PDF-"))
+
+
+def put_objects(objects: DataFrame, there: DataFrame, path: str | None) -> DataFrame:
+    """Store ``key, body`` once: ``key, status, bytes, md5, sha256`` of each, the digests only of what is a PDF.
+
+    A body that doesn't begin as a PDF is refused, a key that ``there`` has is left alone, and without a ``path`` nothing is written (a dry run).
+    Objects go to Parquet below ``path``, a part for each first letter of the key's digest; keys repeat their last write nowhere, for a run adds only what wasn't there.
+    """
+    body = F.col("body").cast("binary")
+    known = there.select("key").distinct().withColumn("_there", F.lit(True))
+    seen = objects.join(known, "key", "left").withColumn("_pdf", F.coalesce(F.startswith(body, F.lit("%PDF").cast("binary")), F.lit(False)))
+    status = F.when(~F.col("_pdf"), "not-a-pdf").when(F.col("_there"), "exists").otherwise("uploaded" if path else "dry-run")
+    out = seen.withColumn("status", status)
+    if path:
+        out.where("status = 'uploaded'").select("key", "body", F.left(F.md5(F.col("key").cast("binary")), F.lit(1)).alias("part")).write.mode("append").partitionBy("part").parquet(path)
+    pdf = lambda c: F.when(F.col("_pdf"), c)
+    return out.select("key", "status", F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("bytes"), pdf(F.md5(body)).alias("md5"), pdf(F.sha2(body, 256)).alias("sha256"))
