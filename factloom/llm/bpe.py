@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from factloom.llm.common import chunks, fine_batches, texts_of, tidy
 
 #: Bytes of pre-tokens and of runs of them, each with its ids and COST more, that a Python worker keeps; later ones are encoded anew in each batch.
-MEMO_BYTES, COST = 24 << 20, 150
+MEMO_BYTES, COST = 48 << 20, 150
+#: Bytes of text that are encoded at once; each takes some forty bytes meanwhile.
+CHUNK = 3 << 20
 
 _SAFE_CUT = re.compile(r"(?= \S)")
 _DOUBLE = re.compile(r" \s")
@@ -39,22 +41,22 @@ def runs(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """A mapping that stops taking entries once they weigh MEMO_BYTES; a long text without blanks is never kept."""
+    """A mapping that stops taking entries once they weigh ``most`` bytes; a long text without blanks is never kept."""
 
-    weight = 0
+    weight, most = 0, MEMO_BYTES
 
     def keep_one(self, k: str, v) -> None:
         own = 2 * len(k) + 2 * COST
-        if self.weight <= MEMO_BYTES and own < MEMO_BYTES // 1000:
+        if self.weight <= self.most and own < self.most // 1000:
             self[k] = v
             self.weight += own
 
     def keep(self, new: dict[str, bytes]) -> None:
         for k, v in new.items():
-            if self.weight > MEMO_BYTES:
+            if self.weight > self.most:
                 return
             own = len(k) + len(v) + COST
-            if own < MEMO_BYTES // 1000:
+            if own < self.most // 1000:
                 self[k] = v
                 self.weight += own
 
@@ -249,18 +251,19 @@ def coder(path: str) -> PairIndexBPE:
     return PairIndexBPE(path)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, chunk: int = CHUNK, memo: int = MEMO_BYTES) -> DataFrame:
     """Per row: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if wanted, ``ids`` (little-endian unsigned 32-bit) and ``decoded``.
 
     A null or empty text has no ids and decodes to the empty string. Repeated
     rows repeat; an empty table gives an empty result. Special strings inside
-    texts become their special id. Very long texts are encoded whole, by one task. ``path`` must be readable on every executor.
+    texts become their special id. ``chunk`` bytes of text are encoded at once, and ``memo`` bytes are kept, twice: less memory for more time, the same result. Very long texts are encoded whole, by one task. ``path`` must be readable on every executor.
     """
     fine_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in chunks(batches, most=3 << 19):
+        bpe.known.most = bpe.word_ids.most = memo
+        for batch in chunks(batches, most=chunk):
             all_ids = bpe.encode(texts_of(batch))
             raw = [x.astype("<u4").tobytes() for x in all_ids]
             decoded = [bpe.decode(x) for x in all_ids]
