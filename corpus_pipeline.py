@@ -89,7 +89,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of them and of what they decode to; nulls, repeats and long texts as ``bpe.encode`` says. Other columns of the input are left behind."""
-    return bpe.encode(docs, tokenizer_path("byte_bpe_50k.json")).drop("decoded")
+    return bpe.encode(docs, tokenizer_path("byte_bpe_50k.json"), chunk=1 << 20, memo=16 << 20).drop("decoded")
 
 
 STAGES = [("quality classifier", keep_quality), ("n-gram Jaccard join", keep_one), ("suffix-array dedup", cut_repeats), ("benchmark decontamination", cut_benchmark), ("BPE encoding and decoding", to_tokens)]
