@@ -31,7 +31,7 @@ PART_BYTES, PARTS = 8 << 20, 1 << 14
 #: Ids from which a file is closed.
 FILE_IDS = 4 << 20
 #: Bytes of units whose ids a Python worker keeps (each unit counts UNIT_COST more); beyond, units are encoded anew in each batch.
-MEMO_BYTES, UNIT_COST = 96 << 20, 200
+MEMO_BYTES, UNIT_COST = 144 << 20, 200
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
