@@ -30,6 +30,12 @@ def g1(d):
     return d.select("k", G.utm(C("lat").cast("double"), C("lon").cast("double")).alias("u")).select("k", F.round("u.east", 2).alias("east"), F.round("u.north", 2).alias("north"))
 
 
+@on("g1_utm_inverse", POINTS, "SELECT k, round(CAST(lat AS DOUBLE), 6) AS lat, round(CAST(lon AS DOUBLE), 6) AS lon FROM src")
+def g1_inverse(d):
+    u = G.utm(C("lat").cast("double"), C("lon").cast("double"))
+    return d.select("k", u.alias("u")).select("k", G.from_utm(C("u.east"), C("u.north")).alias("p")).select("k", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"))
+
+
 SEG = Source("lineitem", k="l_orderkey", n="l_linenumber", p="l_partkey", px="l_quantity", py="l_discount * 100", x1="l_tax * 100", y1="CAST(l_linenumber AS DOUBLE)", x2="CAST(l_suppkey % 50 AS DOUBLE)", y2="CAST(l_partkey % 50 AS DOUBLE)")
 
 
@@ -38,6 +44,13 @@ def g2(d):
     return d.select("k", "n", "p", F.round(G.to_segment(C("px"), C("py"), C("x1"), C("y1"), C("x2"), C("y2")) * G.FEET, 4).alias("feet"))
 
 
+@on("g2_polygon_distance", SEG, "SELECT k, n, p, round(sqrt(power(greatest(x1 - px, px - x1 - 9, 0), 2) + power(greatest(y1 - py, py - y1 - 6, 0), 2)) * 3.280839895, 4) AS feet FROM src")
+def g2_polygon(d):
+    corner = lambda dx, dy: F.struct((C("x1") + dx).cast("double").alias("x"), (C("y1") + dy).cast("double").alias("y"))
+    ring = F.array(corner(0, 0), corner(9, 0), corner(9, 6), corner(0, 6), corner(0, 0))
+    return d.select("k", "n", "p", F.round(G.to_polygon(C("px").cast("double"), C("py").cast("double"), F.array(ring)) * G.FEET, 4).alias("feet"))
+
+
 @on("g3_compass", SEG, "SELECT k, n, p, ['" + "','".join(G.POINTS) + "'][CAST(floor(((((degrees(atan2(x2 - x1, y2 - y1)) % 360) + 360) % 360 + 11.25) % 360) / 22.5) AS INT) + 1] AS bearing FROM src")
 def g3(d):
     return d.select("k", "n", "p", G.compass(C("x1"), C("y1"), C("x2"), C("y2")).alias("bearing"))

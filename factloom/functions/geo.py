@@ -35,6 +35,36 @@ def utm(lat: Column, lon: Column) -> Column:
     return F.struct((EAST0 + K0 * radius * east).alias("east"), (K0 * radius * north).alias("north"))
 
 
+def from_utm(east: Column, north: Column) -> Column:
+    """Latitude and longitude in degrees from zone 18 north."""
+    n = FLAT / (2 - FLAT)
+    radius, _, _ = _series()
+    xi0, eta0 = north / (K0 * radius), (east - EAST0) / (K0 * radius)
+    xi, eta = xi0, eta0
+    for j, b in enumerate([n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480], 1):
+        xi = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
+        eta = eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    phi = chi
+    for j, d in enumerate([2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15], 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return F.struct(F.degrees(phi).alias("lat"), (LON0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))).alias("lon"))
+
+
+def ring_segments(rings: Column) -> Column:
+    """Segments ``a, b`` of rings of points ``x, y``; rings of one point or none have none."""
+    pairs = lambda r: F.when(F.size(r) > 1, F.transform(F.sequence(F.lit(0), F.size(r) - 2), lambda i: F.struct(F.get(r, i).alias("a"), F.get(r, i + 1).alias("b"))))
+    return F.flatten(F.filter(F.transform(rings, pairs), lambda x: x.isNotNull()))
+
+
+def to_polygon(px: Column, py: Column, rings: Column) -> Column:
+    """Distance from a point to a polygon of closed rings (the first outside, the others holes): 0 inside, null without segments."""
+    segments = ring_segments(rings)
+    crosses = lambda s: ((s["a"]["y"] > py) != (s["b"]["y"] > py)) & (px < (s["b"]["x"] - s["a"]["x"]) * (py - s["a"]["y"]) / F.nullif(s["b"]["y"] - s["a"]["y"], F.lit(0.0)) + s["a"]["x"])
+    inside = F.size(F.filter(segments, lambda s: F.coalesce(crosses(s), F.lit(False)))) % 2 == 1
+    return F.when(inside, F.lit(0.0)).otherwise(F.array_min(F.transform(segments, lambda s: to_segment(px, py, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]))))
+
+
 def to_segment(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     """Distance from a point to a segment."""
     dx, dy = x2 - x1, y2 - y1

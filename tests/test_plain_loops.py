@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from factloom.functions import geo as G
 from factloom.functions import text as T
 from factloom.operators import drawing
 from factloom.operators import facts as X
@@ -71,3 +72,13 @@ def test_section_passages(spark):
     said = {(r.doc_id, r.page, r.section, r.quote, tuple(n for n in r.numbers if not re.match(r.section + "$", n))) for r in got}
     assert want <= said, said
     assert all(r.units for r in got) and {r.quote: r.obligation for r in got}["1.2 Wells and tanks shall be at least 100 feet apart;"]
+
+
+def test_polygon_with_a_hole(spark):
+    outer, hole = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)], [(4, 4), (6, 4), (6, 6), (4, 6), (4, 4)]
+    want = {(5, 5): 1.0, (2, 2): 0.0, (12, 5): 2.0, (-3, -4): 5.0, (5, 3.5): 0.0, (5, 4.25): 0.25}
+    rows = [(float(x), float(y), [[(float(a), float(b)) for a, b in r] for r in (outer, hole)]) for x, y in want]
+    got = spark.createDataFrame(rows, "px double, py double, rings array<array<struct<x: double, y: double>>>").select("px", "py", G.to_polygon(F.col("px"), F.col("py"), F.col("rings")).alias("d")).collect()
+    assert {(r.px, r.py): r.d for r in got} == want
+    none = spark.createDataFrame([(1.0, []), (1.0, [[(0.0, 0.0)]])], "p double, rings array<array<struct<x: double, y: double>>>")
+    assert [r.d for r in none.select(G.to_polygon(F.col("p"), F.col("p"), F.col("rings")).alias("d")).collect()] == [None, None]
