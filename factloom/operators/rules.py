@@ -33,6 +33,10 @@ class Rule:
     verified: bool = True
     section: str = "0"
     remedy: str = ""
+    page: int | None = None
+    quote: str = ""
+    units: str = ""
+    notes: str = ""
 
     def __post_init__(self):
         if self.operator not in OPERATORS:
@@ -148,6 +152,15 @@ def compared() -> Column:
     return F.col("outcome").isin("PASS", "FAIL") & (F.col("applicability") != "not_applicable")
 
 
+def coverage_text() -> Column:
+    part = lambda c, t: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(" " + t)))
+    return F.concat_ws(", ", F.concat(F.col("evaluated").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" checked")), part("not_applicable", "not applicable"), part("unreadable", "not readable"))
+
+
+def verdict() -> Column:
+    return F.when(F.col("n_fail") > 0, "DEFICIENCIES FOUND").when(F.col("evaluated") > 0, "NO DEFICIENCIES FOUND").otherwise("CANNOT VERIFY")
+
+
 def report(evaluations: DataFrame, by: str = "subject", subjects: DataFrame | None = None) -> DataFrame:
     """Counts, coverage and verdict of each subject; evaluated + not applicable + unreadable = all.
 
@@ -166,10 +179,7 @@ def report(evaluations: DataFrame, by: str = "subject", subjects: DataFrame | No
     )
     if subjects is not None:
         out = subjects.select(by).distinct().join(out, by, "left").fillna(0, [c for c in out.columns if c != by])
-    part = lambda c, t: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(" " + t)))
-    text = F.concat_ws(", ", F.concat(F.col("evaluated").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" checked")), part("not_applicable", "not applicable"), part("unreadable", "not readable"))
-    verdict = F.when(F.col("n_fail") > 0, "DEFICIENCIES FOUND").when(F.col("evaluated") > 0, "NO DEFICIENCIES FOUND").otherwise("CANNOT VERIFY")
-    return out.withColumns({"coverage": text, "verdict": verdict})
+    return out.withColumns({"coverage": coverage_text(), "verdict": verdict()})
 
 
 def blocked_by() -> Column:

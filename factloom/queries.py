@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.catalog import domain, geometry, graphs, relational, rules, scalars  # noqa: F401
+from factloom.catalog import domain, geometry, graphs, relational, reports, rules, scalars  # noqa: F401
 from factloom.registry import ORACLES, QUERIES
 
 
