@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, decontaminate, jaccard, media, quality, repeats, sharding, token_counts, token_files, url_filters
+from factloom.llm import bpe, decontaminate, divergence, fill_in_middle, jaccard, matrix_bpe, media, quality, repeats, sharding, token_counts, token_files, url_filters
 from factloom.llm.common import tokenizer_path
 
 
@@ -56,8 +56,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.transform(table(spark, sf_dir, "documents"), unit="line", seed=7, fim_percent=100, spm_percent=50, with_output=False)
+
+
+def op12_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), with_ids=False)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_token_counts, op4_repeats, op5_ngram_jaccard, op6_media_columns, op7_bpe, op8_url_filters, op9_quality, op10_decontamination)}
+    return {f.__name__: f for f in (op1_sharding, op2_token_files, op3_token_counts, op4_repeats, op5_ngram_jaccard, op6_media_columns, op7_bpe, op8_url_filters, op9_quality, op10_decontamination, op11_fill_in_middle, op12_matrix_bpe, op13_source_divergence)}
 
 
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -76,6 +88,35 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+_UNITS = """SELECT doc_id, coalesce(text, '') AS text, len(u) AS n, u, h[1] AS h1, h[2] AS h2, h[3] AS h3, h[4] AS h4 FROM (
+SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), k, 8) AS BIGINT)) AS h FROM documents)"""
+
+#: Lines as a list, parts by slices of it.
+OP11 = f"""
+WITH d AS ({_UNITS}),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b, text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 AS plain FROM d),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1 : b], '') AS m, array_to_string(u[b + 1 :], '') AS s, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts"""
+
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1),
+own AS (SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN kept ON kept.lang = t.lang AND kept.term = t.term GROUP BY 1, 2, 3),
+tot AS (SELECT lang, source, sum(n) AS n FROM own GROUP BY 1, 2),
+dense AS (SELECT g.lang, g.source, kept.term, coalesce(own.n, 0) AS n, CAST(1 + (1000000000 * CAST(coalesce(own.n, 0) + 1 AS HUGEINT)) // CAST(coalesce(tot.n, 0) + v.v AS HUGEINT) AS BIGINT) AS p,
+CAST(1 + (1000000000 * CAST(kept.n + 1 AS HUGEINT)) // CAST(v.n + v.v AS HUGEINT) AS BIGINT) AS q
+FROM g JOIN kept ON kept.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN tot ON tot.lang = g.lang AND tot.source = g.source LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = kept.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS BIGINT) AS value FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+found AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(apart.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM dense WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM found)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others can't be told in SQL; ``tests/llm`` holds them against brute force."""
-    return {"op10_decontamination": OP10}
+    return {"op10_decontamination": OP10, "op11_fill_in_middle": OP11, "op13_source_divergence": OP13}
