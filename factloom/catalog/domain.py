@@ -13,6 +13,7 @@ from factloom.operators import facts as X
 from factloom.operators import graph as G
 from factloom.operators import relational as R
 from factloom.operators import rules as RU
+from factloom.operators import scan
 from factloom.registry import Source, on, pick, query, read
 from factloom.sources import files
 from factloom.streaming import incremental
@@ -114,7 +115,9 @@ def c13(spark, sf):
 @query("c14_audit", "SELECT source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS bytes, count(l.doc_id) AS labelled, list_sort(list(n_chars))[CAST(floor(count(*) / 2) AS INT) + 1] AS upper_median FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
 def c14(spark, sf):
     labels = read(spark, sf, "labels").select("doc_id", F.lit(1).alias("l"))
-    return read(spark, sf, "documents").join(labels, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("bytes"), F.count("l").alias("labelled"), R.upper_median(C("n_chars")).alias("upper_median"))
+    rows = read(spark, sf, "documents").select("doc_id", "source", "n_chars").join(labels, "doc_id", "left")
+    sums = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("bytes"), F.count("l").alias("labelled"))
+    return sums.join(R.upper_median_of(rows, "n_chars", ["source"]).withColumnRenamed("n_chars", "upper_median"), "source", "left")
 
 
 # ---- observations
@@ -166,10 +169,18 @@ def st2(spark, sf):
     return spark.read.parquet(f"{root}/hash/vectors").select("item_id", "slot", "backend")
 
 
-@query("st4_page_budget", "SELECT l_orderkey AS k, pages, running FROM (SELECT l_orderkey, count(*) AS pages, sum(count(*)) OVER (ORDER BY l_orderkey) AS running FROM lineitem GROUP BY 1) WHERE running <= 5000")
+@query("st4_page_budget", "SELECT l_orderkey AS k, pages, running, round(running / n, 6) AS mean_pages FROM (SELECT l_orderkey, count(*) AS pages, sum(count(*)) OVER (ORDER BY l_orderkey) AS running, row_number() OVER (ORDER BY l_orderkey) AS n FROM lineitem GROUP BY 1) WHERE running <= 5000")
 def st4(spark, sf):
     work = read(spark, sf, "lineitem").groupBy(C("l_orderkey").alias("k")).agg(F.count("*").alias("pages"))
-    return incremental.admitted(work, "pages", "k", 5000)
+    return incremental.admitted(work, "pages", "k", 5000).withColumn("mean_pages", F.round("mean_pages", 6))
+
+
+#: max over those before of arrival plus the gaps since.
+@query("st5_request_pacing", """WITH e AS (SELECT event_id, epoch_us(ts) // 1000000 AS arrival, CAST(1 + event_id % 7 AS BIGINT) AS gap FROM events),
+g AS (SELECT *, sum(gap) OVER (ORDER BY event_id) AS gaps FROM e) SELECT event_id, arrival, CAST(gaps + max(arrival - gaps) OVER (ORDER BY event_id) AS BIGINT) AS at FROM g""")
+def st5(spark, sf):
+    e = read(spark, sf, "events").select("event_id", C("ts").cast("timestamp").cast("long").alias("arrival"), (1 + C("event_id") % 7).cast("long").alias("gap"))
+    return scan.paced(e, "arrival", C("gap"), "event_id").select("event_id", "arrival", "at")
 
 
 # ---- blocks, staged facts, passages

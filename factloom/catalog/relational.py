@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import relational as R
+from factloom.operators import scan
 from factloom.registry import Source, on, query, read
 
 C = F.col
@@ -213,8 +214,10 @@ def a18(spark, sf):
 
 @query("a19_distance_comparison", "SELECT l_returnflag AS grp, count(*) AS n, round(median(l_quantity * 10), 4) AS med, count(*) FILTER (l_quantity * 10 <= 200) AS near, round(100.0 * count(*) FILTER (l_quantity * 10 <= 200) / count(*), 1) AS pct FROM lineitem GROUP BY 1")
 def a19(spark, sf):
-    x = C("l_quantity") * 10
-    return read(spark, sf, "lineitem").groupBy(C("l_returnflag").alias("grp")).agg(F.count("*").alias("n"), F.round(F.percentile(x, F.lit(0.5)), 4).alias("med"), F.count_if(x <= 200).alias("near"), F.round(100.0 * F.count_if(x <= 200) / F.count("*"), 1).alias("pct"))
+    d = read(spark, sf, "lineitem").select(C("l_returnflag").alias("grp"), (C("l_quantity") * 10).alias("x"))
+    near = d.groupBy("grp").agg(F.count_if(C("x") <= 200).alias("near"))
+    out = scan.medians(d, ["grp"], "x").join(near, "grp")
+    return out.select("grp", "n", F.round("median", 4).alias("med"), "near", F.round(100.0 * C("near") / C("n"), 1).alias("pct"))
 
 
 @query("a20_histogram", "WITH b AS (SELECT CAST(least(floor(least(greatest(l_extendedprice / 20, 0), 2000) / 100), 19) AS INT) AS bin FROM lineitem) SELECT bin, count(*) AS n, round(count(*) / ((SELECT count(*) FROM b) * 100.0), 8) AS density FROM b GROUP BY 1")
@@ -224,10 +227,9 @@ def a20(spark, sf):
 
 @query("a21_ecdf", "SELECT l_returnflag AS grp, l_orderkey AS o, l_extendedprice AS x, round(row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_partkey, l_linenumber, l_shipdate) / count(*) OVER (PARTITION BY l_returnflag), 8) AS share FROM lineitem")
 def a21(spark, sf):
-    d = read(spark, sf, "lineitem")
-    w = Window.partitionBy("l_returnflag")
-    n = F.row_number().over(w.orderBy("l_extendedprice", "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate"))
-    return d.select(C("l_returnflag").alias("grp"), C("l_orderkey").alias("o"), C("l_extendedprice").alias("x"), F.round(n / F.count("*").over(w), 8).alias("share"))
+    d = read(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice", "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate")
+    out = R.ecdf(d, "l_extendedprice", ["l_returnflag"], "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate")
+    return out.select(C("l_returnflag").alias("grp"), C("l_orderkey").alias("o"), C("l_extendedprice").alias("x"), F.round("share", 8).alias("share"))
 
 
 @query("a26_duplicate_keys", "SELECT l_orderkey AS o, l_linenumber AS n, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY copies DESC, o, n LIMIT 20")

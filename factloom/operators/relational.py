@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators import scan
+
 
 def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
     """The first row of each key; the order must be total for a defined result."""
@@ -33,17 +35,9 @@ def parity(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> Da
     return both.select(F.col("_k").alias(key), F.explode(diffs).alias("d")).select(key, "d.*")
 
 
-def upper_median(c: Column) -> Column:
-    """The value at half of the count, rounded up, in ascending order."""
-    values = F.sort_array(F.collect_list(c))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
-
-
-def upper_median_of(df: DataFrame, column: str, accuracy: int = 1_000_000) -> DataFrame:
-    """``upper_median`` without collecting: by counts of the distinct values, in one pass over them."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).count()
-    w = Window.orderBy(column)
-    return counts.withColumns({"upto": F.sum("count").over(w), "all": F.sum("count").over(Window.partitionBy())}).where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy().agg(F.min(column).alias(column))
+def upper_median_of(df: DataFrame, column: str, keys: list[str] = ()) -> DataFrame:
+    """The value at half of the count, rounded up, in ascending order, of all rows or of each key."""
+    return scan.medians(df, list(keys), column).select(*keys, F.col("upper_median").alias(column))
 
 
 def systematic(df: DataFrame, limit: int, *order: Column | str) -> DataFrame:
@@ -53,13 +47,9 @@ def systematic(df: DataFrame, limit: int, *order: Column | str) -> DataFrame:
     return numbered.where((F.col("_ord") % step == 0) & (F.col("_ord") < step * limit)).drop("_ord")
 
 
-def with_ordinal(df: DataFrame, *order: Column | str) -> DataFrame:
-    """Rows numbered from 0 in a total order: range partitions, and the counts of those before."""
-    placed = df.repartitionByRange(*[F.col(o) if isinstance(o, str) else o for o in order]).withColumn("_part", F.spark_partition_id())
-    # one row for each partition
-    starts = placed.groupBy("_part").count().withColumn("_start", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).select("_part", "_start")
-    n = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return placed.withColumn("_n", n).join(F.broadcast(starts), "_part").withColumn("_ord", F.col("_start") + F.col("_n")).drop("_part", "_n", "_start")
+def with_ordinal(df: DataFrame, *order: Column | str, partitions: int | None = None) -> DataFrame:
+    """Rows numbered from 0 in a total order: range partitions that are written once, and the counts of those before."""
+    return scan.ordinals(scan.placed(df, *order, partitions=partitions)).drop("_part", "_n")
 
 
 def histogram(df: DataFrame, value: Column, width: float, bins: int) -> DataFrame:
@@ -71,10 +61,9 @@ def histogram(df: DataFrame, value: Column, width: float, bins: int) -> DataFram
     return counts.crossJoin(F.broadcast(total)).select("bin", "n", (F.col("n") / (F.col("total") * width)).alias("density"))
 
 
-def ecdf(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Share of rows up to each row, by value within each key; ties count one after the other."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("share", F.row_number().over(w.orderBy(value)) / F.count("*").over(w))
+def ecdf(df: DataFrame, value: str, keys: list[str], *ties: Column | str) -> DataFrame:
+    """Share of rows up to each row, by value within each key; ties count one after the other, in the order of ``ties``."""
+    return scan.shares(df, keys, value, *ties)
 
 
 def merge_first_wins(facts: DataFrame, key: str, name: str, value: str, *order: Column | str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.urls import detail_id
@@ -97,13 +97,20 @@ def put_objects(objects: DataFrame, there: DataFrame, path: str | None) -> DataF
     """Store ``key, body`` once: ``key, status, bytes, md5, sha256`` of each, the digests only of what is a PDF.
 
     A body that doesn't begin as a PDF is refused, a key that ``there`` has is left alone, and without a ``path`` nothing is written (a dry run).
+    Where a key comes several times in one run, the PDF with the smallest digest is stored and the others exist already; copies of one body are told as one stored and the rest existing.
     Objects go to Parquet below ``path``, a part for each first letter of the key's digest; keys repeat their last write nowhere, for a run adds only what wasn't there.
     """
     body = F.col("body").cast("binary")
     known = there.select("key").distinct().withColumn("_there", F.lit(True))
     seen = objects.join(known, "key", "left").withColumn("_pdf", F.coalesce(F.startswith(body, F.lit("%PDF").cast("binary")), F.lit(False)))
-    status = F.when(~F.col("_pdf"), "not-a-pdf").when(F.col("_there"), "exists").otherwise("uploaded" if path else "dry-run")
-    out = seen.withColumn("status", status)
+    # who is first of its key, by digest
+    seen = seen.withColumn("_digest", F.sha2(body, 256))
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("_pdf"), "_digest")) == 1
+    status = F.when(~F.col("_pdf"), "not-a-pdf").when(F.col("_there") | ~F.col("_first"), "exists").otherwise("uploaded" if path else "dry-run")
+    out = seen.withColumn("_first", first).withColumn("status", status)
+    if path:  # decided once: what is told and what is written are the same rows
+        checkpoint_dir(objects.sparkSession)
+        out = out.checkpoint()
     if path:
         out.where("status = 'uploaded'").select("key", "body", F.left(F.md5(F.col("key").cast("binary")), F.lit(1)).alias("part")).write.mode("append").partitionBy("part").parquet(path)
     pdf = lambda c: F.when(F.col("_pdf"), c)

@@ -50,19 +50,11 @@ def embed_resumable(stream: DataFrame, key: str, text: str, backend: str, root:
 
 
 def admitted(work: DataFrame, pages: str, order: str, budget: int) -> DataFrame:
-    """Page budget in batch form: the work before the running sum passes the budget."""
-    from factloom.operators.relational import with_ordinal
-
-    placed = with_ordinal(work, order)
-    # sums of ordinal ranges, then within each: no task holds all rows
-    from pyspark.sql import Window
-
-    part = F.floor(F.col("_ord") / 10_000)
-    sums = placed.groupBy(part.alias("_part")).agg(F.sum(pages).alias("_sum"))
-    sums = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
-    w = Window.partitionBy("_part").orderBy("_ord")
-    run = placed.withColumn("_part", part).join(F.broadcast(sums), "_part").withColumn("running", F.col("_before") + F.sum(pages).over(w))
-    return run.where(F.col("running") <= budget).select(*work.columns, "running")
+    """Page budget in batch form: the work before the running sum passes the budget, with ``running`` and ``mean_pages``, the running average."""
+    from factloom.operators import scan
+
+    rows = scan.running(scan.placed(work, order), running=("sum", F.col(pages)), _count=("sum", F.lit(1).cast("long")))
+    return rows.where(F.col("running") <= budget).select(*work.columns, "running", (F.col("running") / F.col("_count")).alias("mean_pages"))
 
 
 def stream_of(spark: SparkSession, path: str, schema) -> DataFrame:
