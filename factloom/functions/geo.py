@@ -73,6 +73,19 @@ def to_segment(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: C
     return F.hypot(px - (x1 + t * dx), py - (y1 + t * dy))
 
 
+def meets_box(x1: Column, y1: Column, x2: Column, y2: Column, left: Column, bottom: Column, right: Column, top: Column) -> Column:
+    """Whether a segment has a point in a closed box: the stretches of it between the box's sides, in x and in y, overlap."""
+
+    def stretch(a: Column, b: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        d = F.when(a == b, F.lit(1.0)).otherwise(b - a)
+        s, t = (low - a) / d, (high - a) / d
+        flat, inside = a == b, (a >= low) & (a <= high)
+        return F.when(flat, F.when(inside, F.lit(0.0)).otherwise(F.lit(2.0))).otherwise(F.least(s, t)), F.when(flat, F.lit(1.0)).otherwise(F.greatest(s, t))
+
+    (a0, a1), (b0, b1) = stretch(x1, x2, left, right), stretch(y1, y2, bottom, top)
+    return F.greatest(a0, b0, F.lit(0.0)) <= F.least(a1, b1, F.lit(1.0))
+
+
 def compass(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Sixteen-point bearing."""
     angle = F.pmod(F.degrees(F.atan2(x1 - x0, y1 - y0)), F.lit(360.0))

@@ -7,29 +7,87 @@ from pyspark.sql import functions as F
 
 from factloom.functions.geo import to_segment
 from factloom.functions.vectors import cosine, hash_slot
+from factloom.sources.files import checkpoint_dir
 
-#: Rings of cells around a point before all features of a layer are looked at.
-RINGS = 1
+#: Cells of a level in a row and column of one cell of the next; layers told apart at most.
+FAN, LAYERS = 8, 1000
+
+
+def segment_cells(segments: DataFrame, cell: float) -> DataFrame:
+    """The segments once for each cell ``cx, cy`` that they cross: as many as they are long, not as their box is wide."""
+    at = lambda c: F.floor(c / cell).cast("long")
+    lo, hi = F.least("x1", "x2"), F.greatest("x1", "x2")
+    columns = segments.withColumn("cx", F.explode(F.sequence(at(lo), at(hi))))
+    flat = F.col("x1") == F.col("x2")
+    on = lambda x: F.col("y1") + (x - F.col("x1")) * (F.col("y2") - F.col("y1")) / F.when(flat, F.lit(1.0)).otherwise(F.col("x2") - F.col("x1"))
+    left, right = on(F.greatest(lo, F.col("cx") * cell)), on(F.least(hi, (F.col("cx") + 1) * cell))
+    bottom, top = F.least("y1", "y2"), F.greatest("y1", "y2")
+    slack = cell * 1e-9  # of rounding at a corner
+    low = F.when(flat, bottom).otherwise(F.greatest(bottom, F.least(left, right) - slack))
+    high = F.when(flat, top).otherwise(F.least(top, F.greatest(left, right) + slack))
+    return columns.withColumn("cy", F.explode(F.sequence(at(F.least(low, high)), at(F.greatest(low, high)))))
 
 
 def nearest(points: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
     """``subject, layer, feature, metres``: the nearest feature of each layer, the smaller feature on a tie.
 
-    ``points(subject, x, y)``, ``segments(layer, feature, x1, y1, x2, y2)``. Both fall into a grid, and a point meets the segments of its
-    own and the eight cells around; a best distance below a cell's side is final. Only the points and layers without one meet the whole
-    layer, which has to be small then.
+    ``points(subject, x, y)``, ``segments(layer, feature, x1, y1, x2, y2)``; rows with a null among the coordinates don't count, a feature may have any number of segments.
+
+    Occupied cells form a pyramid, FAN x FAN cells of a level to one of the next. At each level the points that are still open meet the nine cells around them, and
+    go down from those: of the occupied cells below, only those stay whose near corner isn't farther than the least far corner, which some feature is sure to
+    be within. A distance below a cell's side is final, since all outside of the nine cells is farther. At the last level nine cells hold everything. So a
+    point in an empty region meets some cells of each level and the segments of a few smallest ones, never a whole layer.
     """
-    at = lambda c: F.floor(c / cell).cast("long")
-    cells = segments.withColumn("cx", F.explode(F.sequence(at(F.least("x1", "x2")), at(F.greatest("x1", "x2"))))).withColumn("cy", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))))
+    given = ["x1", "y1", "x2", "y2"]
+    placed = _cut(segment_cells(segments.select("layer", "feature", *given).dropna(subset=given), cell))
+    points = points.select("subject", "x", "y").dropna(subset=["x", "y"])
+    layers = [r.layer for r in placed.select("layer").distinct().limit(LAYERS + 1).collect()]
+    if len(layers) > LAYERS:
+        raise ValueError(f"more than {LAYERS} layers")
+    none = points.select("subject", F.lit(None).cast(placed.schema["layer"].dataType).alias("layer"), F.lit(None).cast(placed.schema["feature"].dataType).alias("feature"), F.lit(None).cast("double").alias("metres")).limit(0)
+    if not layers:
+        return none
+    ends = [placed.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first(), points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()]
+    if ends[1][0] is None:
+        return none
+    reach = max(max(e[k + 1] for e in ends) - min(e[k] for e in ends) for k in (0, 2))
+    cells = [_cut(placed.select("layer", "cx", "cy").distinct())]
+    while cell * FAN ** (len(cells) - 1) < reach:
+        cells.append(_cut(cells[-1].select("layer", F.floor(F.col("cx") / FAN).cast("long").alias("cx"), F.floor(F.col("cy") / FAN).cast("long").alias("cy")).distinct()))
+
+    open_ = points.withColumn("layer", F.explode(F.array(*[F.lit(x) for x in layers])))
     around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    spread = points.withColumn("d", F.explode(around)).select("subject", "x", "y", (at(F.col("x")) + F.col("d.dx")).alias("cx"), (at(F.col("y")) + F.col("d.dy")).alias("cy"))
-    metres = to_segment(*[F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")])
+    pair = Window.partitionBy("subject", "layer")
+    metres = to_segment(*[F.col(c) for c in ("x", "y", *given)])
     best = F.min(F.struct(metres.alias("metres"), "feature")).alias("m")
-    close = spread.join(cells, ["cx", "cy"]).groupBy("subject", "layer").agg(best).where(F.col("m.metres") < cell)
-    layers = segments.select("layer").distinct()
-    wanted = points.crossJoin(F.broadcast(layers)).join(close.select("subject", "layer"), ["subject", "layer"], "left_anti")
-    far = wanted.join(segments, "layer").groupBy("subject", "layer").agg(best)
-    return close.unionByName(far).select("subject", "layer", "m.feature", "m.metres")
+    out = None
+    for level in range(len(cells)):
+        side = cell * FAN**level
+        at = lambda c, s=side: F.floor(c / s).cast("long")
+        near = open_.withColumn("d", F.explode(around)).select("subject", "layer", "x", "y", (at(F.col("x")) + F.col("d.dx")).alias("cx"), (at(F.col("y")) + F.col("d.dy")).alias("cy"))
+        for below in range(level - 1, -1, -1):
+            s = cell * FAN**below
+            child = cells[below].select("layer", F.floor(F.col("cx") / FAN).cast("long").alias("cx"), F.floor(F.col("cy") / FAN).cast("long").alias("cy"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
+            near = near.join(child, ["layer", "cx", "cy"])
+            gap = lambda p, c, s=s: F.greatest(c * s - p, p - (c + 1) * s, F.lit(0.0))
+            far = lambda p, c, s=s: F.greatest(F.abs(p - c * s), F.abs((c + 1) * s - p))
+            near = near.withColumns({"_near": F.hypot(gap(F.col("x"), F.col("bx")), gap(F.col("y"), F.col("by"))), "_far": F.hypot(far(F.col("x"), F.col("bx")), far(F.col("y"), F.col("by")))})
+            near = near.withColumn("_bound", F.min("_far").over(pair)).where(F.col("_near") <= F.col("_bound") * (1 + 1e-9)).select("subject", "layer", "x", "y", F.col("bx").alias("cx"), F.col("by").alias("cy"))
+        found = near.join(placed, ["layer", "cx", "cy"]).groupBy("subject", "layer").agg(best)
+        last = level == len(cells) - 1
+        found = _cut(found if last else found.where(F.col("m.metres") < side)).select("subject", "layer", "m.feature", "m.metres")
+        out = found if out is None else out.unionByName(found)
+        if last:
+            break
+        open_ = _cut(open_.join(found, ["subject", "layer"], "left_anti"))
+        if not open_.take(1):
+            break
+    return out
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 #: Query vectors that meet the index at once.
