@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import geo as G
 from factloom.functions import vectors as V
-from factloom.operators import drawing, nearest, pages
+from factloom.operators import drawing, nearest, pages, rtree, scan
 from factloom.operators import relational as R
 from factloom.registry import Source, on, query, read
 
@@ -153,11 +153,15 @@ d AS (SELECT k, layer, f, sqrt(power(p.east - s.east, 2) + power(p.north - s.nor
 n AS (SELECT k, layer, f, feet, row_number() OVER (PARTITION BY k, layer ORDER BY feet, f) AS r FROM d)"""
 
 
-def _near(spark, sf):
+def _places(spark, sf):
     p = read(spark, sf, "customer").select(C("c_custkey").alias("subject"), G.utm((38.45 + (C("c_custkey") % 1399) / 1000.0), (-75.79 + (C("c_custkey") % 811) / 1000.0)).alias("u")).select("subject", C("u.east").alias("x"), C("u.north").alias("y"))
     s = read(spark, sf, "supplier").select(C("s_suppkey").alias("feature"), F.concat(F.lit("layer"), (C("s_suppkey") % 3).cast("string")).alias("layer"), G.utm((38.45 + (C("s_suppkey") * 37 % 1399) / 1000.0), (-75.79 + (C("s_suppkey") * 53 % 811) / 1000.0)).alias("u"))
     s = s.select("feature", "layer", C("u.east").alias("x1"), C("u.north").alias("y1"), C("u.east").alias("x2"), C("u.north").alias("y2"))
-    return nearest.nearest(p, s, cell=5000.0)
+    return p, s
+
+
+def _near(spark, sf):
+    return nearest.nearest(*_places(spark, sf), cell=5000.0)
 
 
 @query("j5_nearest_feature", f"{_NEAR} SELECT k AS subject, layer, f AS feature, round(feet, 1) AS feet FROM n WHERE r = 1")
@@ -174,12 +178,26 @@ def c7(spark, sf):
 @query("c17_distance_distribution", f"{_NEAR} SELECT layer, count(*) AS n, round(median(feet), 2) AS med, count(*) FILTER (feet <= 20000) AS near FROM n WHERE r = 1 GROUP BY 1")
 def c17(spark, sf):
     n = _near(spark, sf).withColumn("feet", C("metres") * G.FEET)
-    return n.groupBy("layer").agg(F.count("*").alias("n"), F.round(F.percentile("feet", F.lit(0.5)), 2).alias("med"), F.count_if(C("feet") <= 20000).alias("near"))
+    near = n.groupBy("layer").agg(F.count_if(C("feet") <= 20000).alias("near"))
+    return scan.medians(n, ["layer"], "feet").join(near, "layer").select("layer", "n", F.round("median", 2).alias("med"), "near")
+
+
+#: Reaches of water between two mapped points, and the window of a figure around each customer.
+_REACH = _NEAR[: _NEAR.index("\nd AS")] + """
+w AS (SELECT k, east - 2500 AS l, north - 2500 AS b, east + 2500 AS r, north + 2500 AS t FROM p),
+g AS (SELECT f, layer, east AS x1, north AS y1, east + (f * 7919 % 9001) - 4500 AS x2, north + (f * 104729 % 8009) - 4000 AS y2 FROM s),
+c AS (SELECT k, f, layer, CASE WHEN x1 = x2 THEN CASE WHEN x1 BETWEEN l AND r THEN 0.0 ELSE 2.0 END ELSE least((l - x1) / (x2 - x1), (r - x1) / (x2 - x1)) END AS a0, CASE WHEN x1 = x2 THEN 1.0 ELSE greatest((l - x1) / (x2 - x1), (r - x1) / (x2 - x1)) END AS a1,
+CASE WHEN y1 = y2 THEN CASE WHEN y1 BETWEEN b AND t THEN 0.0 ELSE 2.0 END ELSE least((b - y1) / (y2 - y1), (t - y1) / (y2 - y1)) END AS b0, CASE WHEN y1 = y2 THEN 1.0 ELSE greatest((b - y1) / (y2 - y1), (t - y1) / (y2 - y1)) END AS b1 FROM w, g)"""
 
 
-@query("j6_window_features", "SELECT l_orderkey AS o, l_partkey AS p, l_linenumber AS n FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_discount * 100 BETWEEN 2 AND 4")
+@query("j6_window_features", f"{_REACH} SELECT k AS subject, layer, f AS feature FROM c WHERE greatest(a0, b0, 0) <= least(a1, b1, 1)")
 def j6(spark, sf):
-    return read(spark, sf, "lineitem").where(C("l_quantity").between(10, 20) & (C("l_discount") * 100).between(2, 4)).select(C("l_orderkey").alias("o"), C("l_partkey").alias("p"), C("l_linenumber").alias("n"))
+    p, s = _places(spark, sf)
+    shapes = s.select("feature", "layer", C("x1"), C("y1"), (C("x1") + (C("feature") * 7919 % 9001) - 4500).alias("x2"), (C("y1") + (C("feature") * 104729 % 8009) - 4000).alias("y2"))
+    shapes = shapes.withColumns({"xmin": F.least("x1", "x2"), "ymin": F.least("y1", "y2"), "xmax": F.greatest("x1", "x2"), "ymax": F.greatest("y1", "y2")})
+    windows = p.select("subject", (C("x") - 2500).alias("wxmin"), (C("y") - 2500).alias("wymin"), (C("x") + 2500).alias("wxmax"), (C("y") + 2500).alias("wymax"))
+    exact = G.meets_box(*[C(c) for c in ("x1", "y1", "x2", "y2", "wxmin", "wymin", "wxmax", "wymax")])
+    return rtree.range_join(windows, rtree.pack(shapes, ["feature"]), "subject", exact).select("subject", "layer", "feature")
 
 
 SYM = "SELECT l_orderkey AS sheet, l_returnflag AS label, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS id, l_quantity AS lft, l_tax * 100 AS top, 5.0 AS w, 4.0 AS h FROM lineitem"

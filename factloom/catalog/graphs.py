@@ -109,8 +109,8 @@ def r6(spark, sf):
 
 @q("r7_orphans", f" SELECT id, number, left(text, 150) AS preview FROM nodes WHERE type = 'Section' AND regexp_matches(title || ' ' || text, '(?i){T.OBLIGATION}') AND id NOT IN (SELECT dst FROM edges WHERE type = 'CITES')")
 def r7(spark, sf):
-    nodes, edges = graph(spark, sf)
-    return G.orphans(nodes, edges).orderBy("key").drop("key")
+    nodes, rules = tables(spark, sf)
+    return G.orphans(nodes, G.citations(nodes, rules)).orderBy("key").drop("key")
 
 
 @q("r8_summary", " SELECT 'node' AS what, coalesce(type, 'all') AS type, count(*) AS n FROM nodes GROUP BY ROLLUP (type) UNION ALL SELECT 'edge', coalesce(type, 'all'), count(*) FROM edges GROUP BY ROLLUP (type)")
@@ -174,7 +174,8 @@ def s18(spark, sf):
 @query("c24_rule_checklist")
 def c24(spark, sf):
     nodes, edges = graph(spark, sf)
-    return G.checklist(tables(spark, sf)[1], nodes, G.context(nodes, edges))
+    rules = tables(spark, sf)[1]
+    return G.checklist(rules, nodes, G.context(nodes, edges, rules.select(T.citation_node(C("section")).alias("id"))))
 
 
 @q(
@@ -190,7 +191,8 @@ def c24_sizes(spark, sf):
 
 @q("c16_coverage_report", f", s AS (SELECT id, regexp_matches(title || ' ' || text, '(?i){T.OBLIGATION}') AS ob, id IN (SELECT dst FROM edges WHERE type = 'CITES') AS cited FROM nodes WHERE type = 'Section') SELECT count(*) AS sections, count(*) FILTER (ob) AS obligations, count(*) FILTER (ob AND cited) AS cited, count(*) FILTER (ob AND NOT cited) AS uncited FROM s")
 def c16(spark, sf):
-    nodes, edges = graph(spark, sf)
+    nodes, rules = tables(spark, sf)
+    edges = G.citations(nodes, rules)
     s = nodes.where("type = 'Section'").select("id", T.has_obligation(F.concat_ws(" ", "title", "text"), False).alias("ob"))
     s = s.join(edges.where("type = 'CITES'").select(C("dst").alias("id"), F.lit(True).alias("cited")).distinct(), "id", "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
     return s.agg(F.count("*").alias("sections"), F.count_if("ob").alias("obligations"), F.count_if(C("ob") & C("cited")).alias("cited"), F.count_if(C("ob") & ~C("cited")).alias("uncited"))

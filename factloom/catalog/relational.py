@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import text as T
 from factloom.operators import relational as R
 from factloom.operators import scan
+from factloom.operators.terms import term_hits
 from factloom.registry import Source, on, query, read
 
 C = F.col
@@ -124,7 +125,7 @@ def j9(spark, sf):
 @query("j12_term_usage", "WITH t AS (SELECT DISTINCT lower(p_brand) AS term FROM part UNION SELECT 'licensed' UNION SELECT ' the ') SELECT d.doc_id, t.term FROM documents d JOIN t ON contains(lower(d.text), t.term)")
 def j12(spark, sf):
     terms = read(spark, sf, "part").select(F.lower("p_brand").alias("term")).union(spark.createDataFrame([("licensed",), (" the ",)], "term string")).distinct()
-    return read(spark, sf, "documents").join(F.broadcast(terms), F.contains(F.lower("text"), C("term"))).select("doc_id", "term")
+    return term_hits(read(spark, sf, "documents").select("doc_id", F.lower("text").alias("text")), "doc_id", "text", terms, "term")
 
 
 @query("j13_semi_anti", "SELECT c_custkey AS id, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS cited FROM customer")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.catalog import domain, graphs
 from factloom.catalog.rules import _BLOCK, EV, RULES, subjects
+from factloom.functions import text as T
 from factloom.operators import compose as C
 from factloom.operators import graph as G
 from factloom.operators import rules as R
@@ -48,7 +49,7 @@ def packets(spark, sf) -> DataFrame:
     """Reports of documents, with the contexts of the sections that the rules cite."""
     nodes, edges = graphs.graph(spark, sf)
     cited = spark.createDataFrame([(r.id, r.section) for r in PACKET_RULES], "rule_id string, section string")
-    contexts = C.rule_contexts(cited, nodes, G.context(nodes, edges))
+    contexts = C.rule_contexts(cited, nodes, G.context(nodes, edges, cited.select(T.citation_node(F.col("section")).alias("id"))))
     return C.review(*domain.form_fields(spark, sf), domain._SPECS, PACKET_RULES, NAMES, contexts)
 
 

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
+from factloom.operators.terms import term_hits
 from factloom.sources.files import checkpoint_dir
 
 #: Later kinds replace earlier ones between the same two nodes.
 PRECEDENCE = ["CONTAINS", "REFERENCES", "DEFINES", "USES_TERM", "EXCEPTION", "CITES"]
-#: Terms that a section is searched for at once.
-TERMS = 2000
 
 
 def one_edge(edges: DataFrame) -> DataFrame:
@@ -73,19 +72,31 @@ def build_edges(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def term_uses(sections: DataFrame, terms: DataFrame) -> DataFrame:
-    """USES_TERM edges: titles and texts that contain a term of ``dst, term``, whatever the case. Each section meets the terms in blocks."""
+    """USES_TERM edges: titles and texts that contain a term of ``dst, term``, whatever the case."""
     terms = terms.where("length(term) >= 3").distinct()
-    blocks = terms.groupBy(F.pmod(F.xxhash64("term"), F.lit(max(1, -(-terms.count() // TERMS)))).alias("block")).agg(F.collect_list(F.struct("dst", "term")).alias("terms"))
     full = sections.select(F.col("id").alias("src"), F.lower(F.concat_ws(" ", "title", "text")).alias("full"))
-    found = F.filter("terms", lambda t: F.col("full").contains(t["term"]))
-    return full.crossJoin(blocks).select("src", F.explode(found).alias("t")).select("src", "t.dst", F.lit("USES_TERM").alias("type"))
+    return term_hits(full, "src", "full", terms, "term").join(terms, "term").select("src", "dst", F.lit("USES_TERM").alias("type"))
+
+
+def citations(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """The CITES edges alone: no later kind replaces one, so the others needn't be built to know them."""
+    cites = rules.select(F.concat(F.lit("rule:"), F.col("rule_id")).alias("src"), T.citation_node(F.col("section")).alias("dst"), F.lit("CITES").alias("type")).where("dst is not null")
+    return cites.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "type").distinct()
 
 
 def ancestors(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """``node, ancestor, distance`` along CONTAINS edges, up to the root, or to ``depth`` levels where the caller gives one."""
-    up = edges.where("type = 'CONTAINS'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type")
-    starts = up.select(F.col("src").alias("start")).distinct()
-    return reach(starts, up, ["CONTAINS"], depth).select(F.col("start").alias("node"), F.col("node").alias("ancestor"), F.col("hops").alias("distance"))
+    """``node, ancestor, distance`` along CONTAINS edges, up to the root, or to ``depth`` levels where the caller gives one.
+
+    A section's number holds the numbers of all above it, so it meets the edges into each of them in one join; what is kept is the unbroken run from the section up.
+    """
+    up = edges.where("type = 'CONTAINS'").select("src", "dst")
+    parts = F.split("dst", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda d: F.struct(d.alias("nth"), F.array_join(F.slice(parts, 1, F.size(parts) - d + 1), ".").alias("at")))
+    steps = up.select(F.col("dst").alias("node"), F.explode(prefixes).alias("p")).select("node", "p.*")
+    met = steps.join(up.select(F.col("dst").alias("at"), F.col("src").alias("ancestor")), "at")
+    run = F.row_number().over(Window.partitionBy("node").orderBy("nth"))  # at most seven rows
+    out = met.withColumn("distance", run).where("distance = nth").select("node", "ancestor", "distance")
+    return out if depth is None else out.where(F.col("distance") <= depth)
 
 
 def reach(starts: DataFrame, edges: DataFrame, kinds: list[str], rounds: int | None = None) -> DataFrame:
@@ -127,8 +138,8 @@ def terms_of(nodes: DataFrame) -> DataFrame:
     return got.select("id", F.coalesce("b", "a").alias("t"), "first").select("id", "t.*", "first")
 
 
-def context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per section ``id, number, title, text, ancestors, references, definitions, exceptions``.
+def context(nodes: DataFrame, edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """Per section, or only for the ids of ``of``: ``id, number, title, text, ancestors, references, definitions, exceptions``.
 
     Ancestors go from the root down; references follow the text, sections before exhibits, with 500 characters of text each; definitions
     are the terms used, in the order of their definitions; exceptions are the sections that modify this one, with 300 characters each.
@@ -136,16 +147,17 @@ def context(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     nodes, edges = _cut(nodes), _cut(edges)  # the parts read both, and the edges' plan is long
     body = lambda n: F.left(F.coalesce("text", F.lit("")), F.lit(n))
     sections = nodes.where("type = 'Section'").select("id", "number", "title", body(2000).alias("text"))
-    listed = lambda df, key, item, name: df.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), item.alias("v")))), lambda x: x["v"]).alias(name))
+    wanted = sections if of is None else sections.join(of.select("id").distinct(), "id", "left_semi")
+    ids = wanted.select("id")
+    listed = lambda df, key, item, name: (df if of is None else df.join(ids, "id", "left_semi")).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), item.alias("v")))), lambda x: x["v"]).alias(name))
     title = F.struct("number", "title")
-    up = reach(sections.select(F.col("id").alias("start")), edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"), ["CONTAINS"])
-    up = up.select(F.col("start").alias("id"), "node", "hops").join(sections.select(F.col("id").alias("node"), "number", "title"), "node")
+    up = ancestors(edges).select(F.col("node").alias("id"), F.col("ancestor").alias("node"), F.col("distance").alias("hops")).join(sections.select(F.col("id").alias("node"), "number", "title"), "node")
     refs = edges.where("type = 'REFERENCES'").join(sections.select(F.col("id").alias("src"), F.col("text").alias("own")), "src").select(F.col("src").alias("id"), "dst", "own")
     refs = refs.join(nodes.select(F.col("id").alias("dst"), "type", F.coalesce("number", F.regexp_extract("id", "^exhibit:(.*)", 1)).alias("number"), "title", body(500).alias("text")), "dst")
     place = F.struct((F.col("type") != "Section").alias("exhibit"), F.when(F.col("type") == "Section", F.array_position(T.section_refs(F.col("own")), F.col("number"))).otherwise(F.array_position(T.exhibit_refs(F.col("own")), F.col("number"))).alias("at"), "dst")
     used = edges.where("type = 'USES_TERM'").select(F.col("src").alias("id"), "dst").join(terms_of(nodes).withColumnRenamed("id", "dst"), "dst")
     exceptions = edges.where("type = 'EXCEPTION'").select(F.col("dst").alias("id"), "src").join(nodes.select(F.col("id").alias("src"), "number", "title", body(300).alias("text")), "src")
-    out = sections
+    out = wanted
     for part in (
         listed(up, -F.col("hops"), title, "ancestors"),
         listed(refs, place, F.struct(F.col("dst").alias("id"), "type", "number", "title", "text"), "references"),
