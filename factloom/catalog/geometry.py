@@ -161,7 +161,7 @@ def _places(spark, sf):
 
 
 def _near(spark, sf):
-    return nearest.nearest(*_places(spark, sf), cell=5000.0)
+    return nearest.nearest(*_places(spark, sf), cell=12_000.0)
 
 
 @query("j5_nearest_feature", f"{_NEAR} SELECT k AS subject, layer, f AS feature, round(feet, 1) AS feet FROM n WHERE r = 1")

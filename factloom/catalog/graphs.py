@@ -74,7 +74,7 @@ def d17(spark, sf):
 
 @q("r4_ancestors", ", up(node, ancestor, distance) AS (SELECT dst, src, 1 FROM edges WHERE type = 'CONTAINS' UNION ALL SELECT up.node, e.src, distance + 1 FROM up JOIN edges e ON e.dst = up.ancestor AND e.type = 'CONTAINS') SELECT * FROM up")
 def r4(spark, sf):
-    return G.ancestors(graph(spark, sf)[1])
+    return G.ancestors(G.containment(tables(spark, sf)[0]))
 
 
 @query("r4_context")

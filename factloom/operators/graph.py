@@ -84,12 +84,20 @@ def citations(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     return cites.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "type").distinct()
 
 
+def containment(nodes: DataFrame) -> DataFrame:
+    """The CONTAINS edges alone: of the later kinds, only a cross-reference can go from a section to one right below it and replace one."""
+    sections = nodes.where("type = 'Section'").select("id", "number", F.left(F.coalesce("text", F.lit("")), F.lit(2000)).alias("text"))
+    contains = sections.where(F.col("number").contains(".")).select(F.concat(F.lit("section:"), T.section_parent(F.col("number"))).alias("src"), F.col("id").alias("dst"), F.lit("CONTAINS").alias("type"))
+    refs = sections.select(F.col("id").alias("src"), F.explode(T.section_refs(F.col("text"))).alias("r")).select("src", F.concat(F.lit("section:"), F.col("r")).alias("dst"))
+    return contains.join(refs, ["src", "dst"], "left_anti").select("src", "dst", "type").distinct()
+
+
 def ancestors(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """``node, ancestor, distance`` along CONTAINS edges, up to the root, or to ``depth`` levels where the caller gives one.
 
     A section's number holds the numbers of all above it, so it meets the edges into each of them in one join; what is kept is the unbroken run from the section up.
     """
-    up = edges.where("type = 'CONTAINS'").select("src", "dst")
+    up = _cut(edges.where("type = 'CONTAINS'").select("src", "dst"))  # read twice
     parts = F.split("dst", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda d: F.struct(d.alias("nth"), F.array_join(F.slice(parts, 1, F.size(parts) - d + 1), ".").alias("at")))
     steps = up.select(F.col("dst").alias("node"), F.explode(prefixes).alias("p")).select("node", "p.*")
