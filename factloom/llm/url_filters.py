@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import materialize
 
-#: Levels of the tree; what lies deeper is one wildcard.
-DEPTH = 4
+#: Levels after which it is asked before each further one whether any prefix is still shared.
+SURE = 4
 #: A level is variable with this many different segments, and this share of them by urls.
 VARIABLE, SHARE = 20, 0.5
 #: Labels a branch and its siblings need to be compared; the normal quantile of the test.
@@ -46,17 +46,17 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 
 def _segments(path: Column) -> Column:
-    """Segments, those with digits as wildcards that keep an extension; what lies below DEPTH as one wildcard."""
+    """Segments, those with digits as wildcards that keep an extension."""
     raw = F.filter(F.split(path, "/"), lambda s: s != "")
     shaped = F.transform(raw, lambda s: F.when(s == "*", F.lit("%*")).when(s.rlike("[0-9]") | (F.length(s) > 40), F.concat(F.lit("*"), F.regexp_extract(s, r"(\.[a-z]{1,5})?\z", 1))).otherwise(s))
-    shaped = F.transform(shaped, lambda s: F.when(s.isin("+", "**"), F.concat(F.lit("%"), s)).otherwise(s))  # a segment that looks like a wildcard isn't one
-    return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH), F.array(F.lit("**")))).otherwise(shaped)
+    return F.transform(shaped, lambda s: F.when(s.isin("+", "**"), F.concat(F.lit("%"), s)).otherwise(s))  # a segment that looks like a wildcard isn't one
 
 
 def templates(urls: DataFrame) -> DataFrame:
     """From ``host, path, verdict`` (null: no label): ``host, shape, template, n_labels, n_blocked, purity, rejected``.
 
     ``shape`` is the path with digit segments as wildcards; several shapes can share a template.
+    The tree goes as deep as LEAST urls of a host share a prefix; what is below that can't be merged with anything.
     Empty paths have the empty template; urls that repeat count each time; hosts and paths are never null; no rows give no templates.
     """
     shape = F.array_join(_segments(F.col("path")), "/")
@@ -66,14 +66,16 @@ def templates(urls: DataFrame) -> DataFrame:
         .withColumns({"rest": F.filter(F.split("shape", "/"), lambda s: s != ""), "done": F.array().cast("array<string>")})
     )
     tree = materialize(tree, "templates")
-    for _ in range(DEPTH):
+    for depth in range(tree.agg(F.max(F.size("rest"))).first()[0] or 0):
+        if depth >= SURE and not tree.where(F.size("rest") > 0).groupBy("host", F.array_join("done", "/")).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).take(1):
+            break
         level = tree.withColumns({"prefix": F.array_join("done", "/"), "segment": F.get("rest", F.lit(0))})
         child = level.where("segment is not null").groupBy("host", "prefix", "segment").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("blocked").alias("blocked"))
         parent = child.groupBy("host", "prefix").agg(F.count("*").alias("kinds"), F.sum("n").alias("all"), F.sum("labels").alias("all_labels"), F.sum("blocked").alias("all_blocked"))
         others, share = F.col("all_labels") - F.col("labels"), F.col("all_blocked") / F.col("all_labels")
         gap = F.abs(F.col("blocked") / F.col("labels") - (F.col("all_blocked") - F.col("blocked")) / others)
         # what follows: the share of the branch's urls that would have to move to look like its siblings
-        below = level.where("segment is not null").groupBy("host", "prefix", "segment", F.array_join(F.slice("rest", 2, DEPTH + 1), "/").alias("tail")).agg(F.sum("n").alias("m"))
+        below = level.where("segment is not null").groupBy("host", "prefix", "segment", F.array_join(F.slice("rest", 2, F.size("rest")), "/").alias("tail")).agg(F.sum("n").alias("m"))
         tails = below.groupBy("host", "prefix", "tail").agg(F.sum("m").alias("m_all"))
         kinds = tails.groupBy("host", "prefix").agg(F.count("*").alias("tail_kinds"))
         moved = F.greatest(F.lit(0.0), F.col("m") / F.col("n") - (F.col("m_all") - F.col("m")) / (F.col("all") - F.col("n")))
@@ -88,7 +90,7 @@ def templates(urls: DataFrame) -> DataFrame:
             "n",
             "labels",
             "blocked",
-            F.when(F.size("rest") > 0, F.slice("rest", 2, DEPTH + 1)).otherwise(F.col("rest")).alias("rest"),
+            F.when(F.size("rest") > 0, F.slice("rest", 2, F.size("rest"))).otherwise(F.col("rest")).alias("rest"),
             F.when(F.col("segment").isNotNull(), F.concat("done", F.array(F.coalesce("as", "segment")))).otherwise(F.col("done")).alias("done"),
         )
         tree = materialize(tree, "templates")
@@ -103,7 +105,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col: s
 
     The longest fitting rule decides; else a rejected template blocks; else the url is allowed. A null url, or one without ``://``, has
     an empty host and path, fits no rule and is judged by the template of empty paths, which has no labels: allowed.
-    Repeated rows repeat; very long urls are one wildcard below DEPTH segments; columns of any name may be there; an empty table gives an empty result.
+    Repeated rows repeat; very long urls are taken whole, and are levels of the tree only as far as others share them; columns of any name may be there; an empty table gives an empty result.
     """
     host, path = parts(pages[url_col])
     rows = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"))
