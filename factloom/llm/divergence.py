@@ -90,7 +90,8 @@ def audit(docs: DataFrame, min_docs: int = 3, top: int = 200, text_col: str = "t
     apart = both.select(F.explode(ways).alias("w")).select("w.*")
     pairs = groups.join(groups.select("lang", F.col("source").alias("item"), F.col("g").alias("h")), "lang").where("g <> h").join(apart, ["g", "h"], "left")
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
-    over = own.join(sized, "g").withColumn("p", share(F.col("n"), F.col("total"), F.col("v"))).where("p > q").select("g", F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
+    spread = own.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALT)).cast("int"))  # a source may hold a third of all
+    over = spread.join(salted.drop("lang"), ["g", "salt"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("v"))).where("p > q").select("g", F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
     first = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("value"), "item"))
     over = over.withColumn("rank", first).where(F.col("rank") <= top).join(groups, "g").select("lang", "source", F.lit("term").alias("part"), "item", "value", "rank")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
