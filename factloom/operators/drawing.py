@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.sources.files import checkpoint_dir
+
 
 def greedy_match(found: DataFrame, truth: DataFrame, reach: float) -> DataFrame:
     """One-to-one matches of the same sheet and label, nearest first; a taken symbol is out.
@@ -39,3 +41,49 @@ def nearest_pair(symbols: DataFrame, a: str, b: str) -> DataFrame:
     box = lambda p: {c: F.col(p + c) for c in ("left", "top", "width", "height")}
     pairs = side(a, "a_").join(side(b, "b_"), "sheet").withColumn("gap", box_gap(box("a_"), box("b_")))
     return pairs.groupBy("sheet").agg(F.min(F.struct(F.round("gap", 6).alias("gap"), "a_id", "b_id")).alias("m")).select("sheet", "m.a_id", "m.b_id", "m.gap")
+
+
+def match_in_order(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """``sheet, label, id, x, y, tid, tx, ty, error``: each true symbol, by ``tid``, takes the nearest one of its label that is left, however far; the smaller ``id`` on a tie.
+
+    ``found(sheet, label, id, x, y)``, ``truth(sheet, label, tid, tx, ty)``. Each choice depends on those before it, so a sheet's symbols of one label are one group; a step holds no more than those.
+    """
+    columns = ["sheet", "label", "id", "x", "y", "tid", "tx", "ty", "error"]
+
+    def match(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        left, out = a.sort_values("id").reset_index(drop=True), []
+        for t in b.sort_values("tid").itertuples():
+            if left.empty:
+                break
+            gaps = ((left["x"] - t.tx) ** 2 + (left["y"] - t.ty) ** 2) ** 0.5
+            at = gaps.idxmin()
+            f = left.loc[at]
+            out.append((key[0], key[1], int(f["id"]), float(f["x"]), float(f["y"]), int(t.tid), float(t.tx), float(t.ty), float(gaps[at])))
+            left = left.drop(index=at)
+        return pd.DataFrame(out, columns=columns)
+
+    given = truth.select(F.col("sheet").alias("tsheet"), F.col("label").alias("tlabel"), "tid", F.col("tx").cast("double"), F.col("ty").cast("double"))
+    own = found.select("sheet", "label", "id", F.col("x").cast("double"), F.col("y").cast("double"))
+    return own.groupBy("sheet", "label").cogroup(given.groupBy("tsheet", "tlabel")).applyInPandas(match, "sheet long, label string, id long, x double, y double, tid long, tx double, ty double, error double")
+
+
+def swaps(pairs: DataFrame, margin: float = 2.0) -> DataFrame:
+    """``sheet, a_id, b_id, as_labelled, swapped``: matches of different labels each of which is nearer the other's truth, by more than ``margin`` together."""
+    side = lambda p: pairs.select("sheet", *[F.col(c).alias(p + c) for c in pairs.columns if c != "sheet"])
+    both = side("a_").join(side("b_"), "sheet").where("a_tid < b_tid and a_label <> b_label")
+    gap = lambda f, t: F.hypot(F.col(f + "x") - F.col(t + "tx"), F.col(f + "y") - F.col(t + "ty"))
+    there, back = gap("a_", "b_"), gap("b_", "a_")
+    labelled = F.col("a_error") + F.col("b_error")
+    crossed = both.where((there < F.col("a_error")) & (back < F.col("b_error")) & (there + back < labelled - margin))
+    return crossed.select("sheet", "a_id", "b_id", F.round(labelled, 1).alias("as_labelled"), F.round(there + back, 1).alias("swapped"))
+
+
+def scores(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per sheet: ``matched, missed, spurious, swapped, mean_error, max_error``; a sheet of one side only counts as missed or spurious throughout. ``tid`` is unique in a sheet."""
+    checkpoint_dir(found.sparkSession)
+    pairs = match_in_order(found, truth).checkpoint()
+    count = lambda df, name: df.groupBy("sheet").agg(F.count("*").alias(name))
+    errors = pairs.groupBy("sheet").agg(F.count("*").alias("matched"), F.round(F.avg("error"), 1).alias("mean_error"), F.round(F.max("error"), 1).alias("max_error"))
+    out = count(found, "f").join(count(truth, "t"), "sheet", "full_outer").join(errors, "sheet", "left").join(count(swaps(pairs), "swapped"), "sheet", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    return out.select("sheet", n("matched").alias("matched"), (n("t") - n("matched")).alias("missed"), (n("f") - n("matched")).alias("spurious"), n("swapped").alias("swapped"), "mean_error", "max_error")
