@@ -149,6 +149,24 @@ def st3_stream(spark, sf):
     return spark.read.schema("detail_id long, outcome string, doc_count long").parquet(f"{root}/out")
 
 
+_OUTCOME = "CASE WHEN settled > 0 THEN 'PARSED_DOCS' WHEN settled = 0 THEN 'PARSED_ZERO_DOCS' WHEN most IS NULL THEN CASE WHEN raised THEN 'PARSE_ERROR' ELSE 'FETCH_FAILED' END WHEN kinds > 1 THEN 'UNSTABLE' WHEN most > 0 THEN 'PARSED_DOCS' WHEN grid THEN 'PARSED_ZERO_DOCS' ELSE 'GRID_ABSENT' END"
+_FIRST = _AGREE.replace("WITH o AS", "WITH every AS").replace(", p AS", ", o AS (SELECT * FROM every WHERE attempt <= 3), p AS")
+
+
+@query("st3_outcomes_stream", f"{_FIRST}, e AS (SELECT id, max(n) FILTER (kind = 'ok') AS most, count(DISTINCT n) FILTER (kind = 'ok') AS kinds, bool_or(kind = 'ok' AND grid) AS grid, bool_or(kind = 'exception') AS raised FROM o GROUP BY 1) SELECT id AS detail_id, {_OUTCOME} AS outcome, coalesce(settled, most, 0) AS doc_count FROM e LEFT JOIN s USING (id)")
+def st3_outcomes(spark, sf):
+    """The attempts of a key lie in files by chance, so they come late and in any order; a last file lets event time pass, which ends the keys with fewer than three."""
+    root = files.scratch(spark, "outcomes")
+    own = observations(spark, sf).withColumns({"attempt": C("attempt").cast("int"), "doc_count": C("doc_count").cast("long"), "at": F.timestamp_seconds(1_700_000_000 + 60 * C("attempt"))})
+    own.repartition(8, F.xxhash64("detail_id", "attempt")).write.parquet(f"{root}/in")
+    run = lambda: incremental.append_new(incremental.outcome_stream(incremental.stream_of(spark, f"{root}/in", own.schema)), f"{root}/out", f"{root}/checkpoint")
+    run()
+    end = [C(c) if c == "at" else F.lit(None).cast(own.schema[c].dataType).alias(c) for c in own.columns]
+    own.agg((F.max("at") + F.expr("INTERVAL 1 DAY")).alias("at")).select(*end).write.mode("append").parquet(f"{root}/in")
+    run()
+    return spark.read.schema("detail_id long, outcome string, doc_count long").parquet(f"{root}/out")
+
+
 @query("st1_incremental_append", "SELECT event_id, user_id, event_type FROM events")
 def st1(spark, sf):
     root = files.scratch(spark, "append")

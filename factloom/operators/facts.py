@@ -108,11 +108,13 @@ def selection_stats(rows: DataFrame, key: str, ord_col: str, status: str, status
     return rows.agg(F.count("*").alias("total"), F.count_if(F.lower(F.trim(status)).isin([s.lower() for s in statuses])).alias("matched")).crossJoin(kept)
 
 
-def agreement(obs: DataFrame) -> DataFrame:
+def agreement(obs: DataFrame, attempts: int | None = None) -> DataFrame:
     """Outcome of repeated observations: two equal counts in a row settle it.
 
-    ``obs(detail_id, attempt, kind, doc_count, grid_present)``. A failed fetch forgets the count before it, an exception keeps it.
+    ``obs(detail_id, attempt, kind, doc_count, grid_present)``. A failed fetch forgets the count before it, an exception keeps it. Only attempts 1 to ``attempts`` count, where that is given.
     """
+    if attempts is not None:
+        obs = obs.where(F.col("attempt").between(1, attempts))
     kept = obs.where("kind <> 'exception'")
     w = Window.partitionBy("detail_id").orderBy("attempt")
     pairs = kept.withColumns({"prev_kind": F.lag("kind").over(w), "prev": F.lag("doc_count").over(w)})

@@ -39,6 +39,77 @@ def agreement_stream(stream: DataFrame) -> DataFrame:
     return stream.groupBy("detail_id").applyInPandasWithState(step, "detail_id long, outcome string, doc_count long", "last long, settled boolean", "append", "NoTimeout")
 
 
+def decided(seen: dict[int, tuple[str, int, bool]], attempts: int, final: bool) -> tuple[str, int] | None:
+    """Outcome and count of the attempts seen by number, or None while it can still change.
+
+    Unless ``final``, only attempts without a gap before them count, so what arrives later can't change what was told.
+    """
+    numbers = sorted(seen)
+    if not final:
+        numbers = [n for i, n in enumerate(numbers) if n == i + 1]
+    last, counts = None, []
+    for n in numbers:
+        kind, count, _ = seen[n]
+        if kind == "ok":
+            if last == count:
+                return ("PARSED_DOCS" if count else "PARSED_ZERO_DOCS"), count
+            counts.append(count)
+            last = count
+        elif kind != "exception":
+            last = None
+    if not final and len(numbers) < attempts:
+        return None
+    if not counts:
+        return ("PARSE_ERROR" if any(seen[n][0] == "exception" for n in numbers) else "FETCH_FAILED"), 0
+    if len(set(counts)) > 1:
+        return "UNSTABLE", max(counts)
+    if counts[0]:
+        return "PARSED_DOCS", counts[0]
+    grid = any(seen[n][0] == "ok" and seen[n][2] for n in numbers)
+    return ("PARSED_ZERO_DOCS" if grid else "GRID_ABSENT"), 0
+
+
+def outcome_stream(stream: DataFrame, attempts: int = 3, late: str = "10 minutes", silence_ms: int = 600_000) -> DataFrame:
+    """``detail_id, outcome, doc_count`` of a stream of ``detail_id, attempt, kind, doc_count, grid_present, at``, once each: the stream's form of ``facts.agreement``.
+
+    Attempts may come in any order and in any micro-batch; they wait in a key's state until those before them are there. A key is told when two counts agree, when all
+    ``attempts`` are in, or when event time has passed its last attempt by ``silence_ms``; then what has come by then decides. State holds at most ``attempts`` entries and goes when
+    that time is over, also for keys that were told, which ignore what follows until then. Rows behind the watermark (``late``) are dropped by Spark.
+    Of rows that repeat an attempt before its key is told, the least (by kind, count and grid) counts. Rows without an id, a kind or a number from 1 to ``attempts`` only move event time on; a count or grid of null is 0 or no.
+    """
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        seen, told, until = {}, False, 0
+        if state.exists:
+            numbers, kinds, counts, grids, told, until = state.get
+            seen = dict(zip(numbers, zip(kinds, counts, grids, strict=True), strict=True))
+        out = None
+        if state.hasTimedOut:
+            state.remove()
+            out = None if told else decided(seen, attempts, True)
+        else:
+            for r in (r for frame in frames for r in frame.itertuples()):
+                if pd.isna(r.detail_id) or pd.isna(r.attempt) or r.kind is None or not 1 <= r.attempt <= attempts:
+                    continue
+                until = max(until, int(r.at.timestamp() * 1000))
+                own = (r.kind, 0 if pd.isna(r.doc_count) else int(r.doc_count), not pd.isna(r.grid_present) and bool(r.grid_present))
+                seen[int(r.attempt)] = min(seen.get(int(r.attempt), own), own)
+            if not seen and not told:
+                return
+            if not told:
+                out = decided(seen, attempts, False)
+            told = told or out is not None
+            kept = [] if told else sorted(seen)
+            state.update((kept, *[[seen[n][i] for n in kept] for i in range(3)], told, until))
+            state.setTimeoutTimestamp(max(until + silence_ms, state.getCurrentWatermarkMs() + 1))
+        if out is not None:
+            yield pd.DataFrame([(key[0], *out)], columns=["detail_id", "outcome", "doc_count"])
+
+    own = stream.withWatermark("at", late).select("detail_id", "attempt", "kind", "doc_count", "grid_present", "at")
+    state = "numbers array<int>, kinds array<string>, counts array<long>, grids array<boolean>, told boolean, until long"
+    return own.groupBy("detail_id").applyInPandasWithState(step, "detail_id long, outcome string, doc_count long", state, "append", "EventTimeTimeout")
+
+
 def embed_resumable(stream: DataFrame, key: str, text: str, backend: str, root: str) -> None:
     """Embed what is new, in micro-batches; the backend is part of the paths, so vectors of two backends never mix."""
     from factloom.operators.nearest import hash_embed
