@@ -271,6 +271,14 @@ def c8(spark, sf):
     return nearest.top_cosine(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 3, backend="label").withColumn("score", F.round("score", 6))
 
 
+@query("c8_search_report", "WITH q AS (SELECT vec_id AS q, embedding AS x, CASE WHEN vec_id % 3 = 0 THEN 'other' ELSE CAST(label AS STRING) END AS backend FROM embeddings WHERE vec_id % 50 = 0), i AS (SELECT vec_id, embedding, CAST(label AS STRING) AS backend FROM embeddings), s AS (SELECT q, vec_id, list_cosine_similarity(CAST(x AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS s FROM q JOIN i USING (backend)), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS rank FROM s), f AS (SELECT q, max(rank) AS found, max(vec_id) FILTER (rank = 1) AS best FROM r WHERE rank <= 3 AND s > 0 GROUP BY 1) SELECT q, backend, (SELECT count(*) FROM i) AS index_size, backend NOT IN (SELECT backend FROM i) OR backend = '0' AS degraded, coalesce(found, 0) AS found, best FROM q LEFT JOIN f USING (q)")
+def c8_report(spark, sf):
+    e = read(spark, sf, "embeddings").select("vec_id", "embedding", C("label").cast("string").alias("backend"))
+    asked = e.where("vec_id % 50 = 0").withColumn("backend", F.when(C("vec_id") % 3 == 0, "other").otherwise(C("backend")))
+    r = nearest.search_report(asked, e, "vec_id", "embedding", 3, "backend", fallback="0")
+    return r.select("q", "backend", "index_size", "degraded", F.size("precedents").alias("found"), F.get("precedents", F.lit(0))["vec_id"].alias("best"))
+
+
 def _doc_score_sql() -> str:
     return "(" + " + ".join([*(f"CASE WHEN contains(low, '{p}') THEN {w} ELSE 0 END" for p, w in pages.PHRASES.items())]) + ")"
 

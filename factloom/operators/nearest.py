@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.geo import to_segment
-from factloom.functions.vectors import cosine, hash_slot
+from factloom.functions.vectors import hash_slot, norm
 from factloom.sources.files import checkpoint_dir
 
 #: Cells of a level in a row and column of one cell of the next; layers told apart at most.
@@ -90,26 +94,163 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: Query vectors that meet the index at once.
-BLOCK = 2000
+#: Centroids and rings of an inverted file, the sample that centroids are fitted on, and rows of a block of vectors or queries.
+CENTROIDS, RINGS, SAMPLE, BLOCK = 64, 16, 4096, 4096
+#: Cells told apart at most; what bounds and scores may be off by.
+CELLS, SLACK = 500_000, 1e-9
+
+
+def _centroids(vectors: DataFrame, key: str) -> dict[int, np.ndarray]:
+    """Unit centroids by dimension, fitted on the SAMPLE vectors with the least hash of their key. They only decide how much is skipped, never what is found."""
+    sample = vectors.orderBy(F.xxhash64(key), key).limit(SAMPLE).select("_v").collect()
+    out = {}
+    for size in {len(r._v) for r in sample}:
+        x = np.array([r._v for r in sample if len(r._v) == size])
+        c = x[:: max(1, -(-len(x) // CENTROIDS))].copy()
+        for _ in range(4):
+            nearest = np.argmax(x @ c.T, axis=1)
+            sums = np.zeros_like(c)
+            np.add.at(sums, nearest, x)
+            norms = np.linalg.norm(sums, axis=1)
+            c[norms > 0] = sums[norms > 0] / norms[norms > 0, None]
+        out[size] = c
+    return out
+
+
+def _angles(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ c.T, -1.0, 1.0))
+
+
+def _units(df: DataFrame, key: str, vector: str, backend: str | None) -> DataFrame:
+    """``_b, _size, <key>, _v``: unit vectors of what has a direction; the backend's null and vectors with nulls are left out."""
+    x = F.col(vector).cast("array<double>")
+    length = norm(x)
+    own = df.select((F.col(backend).cast("string") if backend else F.lit("")).alias("_b"), F.col(key), x.alias("_x"), length.alias("_length"))
+    own = own.where((F.col("_length") > 0) & (F.col("_length") < float("inf")) & F.col("_b").isNotNull())
+    return own.select("_b", F.size("_x").alias("_size"), key, F.transform("_x", lambda v: v / F.col("_length")).alias("_v"))
+
+
+def inverted_file(index: DataFrame, key: str, vector: str, backend: str | None = None) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """The index's unit vectors with their nearest centroid ``_list`` and angle to it (``_angle``, and ``_ring``), written once; and the centroids."""
+    units = _units(index, key, vector, backend)
+    centroids = _centroids(units, key)
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f = f.assign(_list=-1, _angle=0.0)
+            for size, rows in f.groupby("_size"):
+                if size in centroids and len(rows):
+                    angles = _angles(np.stack(rows["_v"].to_numpy()), centroids[size])
+                    best = np.argmin(angles, axis=1)
+                    f.loc[rows.index, "_list"] = best
+                    f.loc[rows.index, "_angle"] = angles[np.arange(len(best)), best]
+            yield f
+
+    schema = f"_b string, _size int, `{key}` {index.schema[key].dataType.simpleString()}, _v array<double>, _list int, _angle double"
+    placed = units.mapInPandas(place, schema)
+    return _cut(placed.withColumn("_ring", F.floor(F.col("_angle") / (np.pi / RINGS)).cast("int"))), centroids
 
 
 def top_cosine(queries: DataFrame, index: DataFrame, key: str, vector: str, k: int, backend: str | None = None) -> DataFrame:
-    """``q, key, rank, score``: the k best of all vectors for each query, then those above zero; ties by key.
+    """``q, key, rank, score``: the k best of all vectors for each query, then those above zero; ties by key. Keys of queries are unique.
 
-    Queries go in blocks of BLOCK to every task; each keeps its own k best before anything is shuffled (window group limit).
-    Vectors of another backend are never compared.
+    Exact, by an inverted file. Vectors lie in cells: a centroid's list, cut into rings of the angle to it. A query at angle f of a centroid can't score more than the cosine of the
+    gap between f and a ring's angles. Its k best among the most promising cells that hold k vectors give a bound from below; of the other cells only those are looked at whose
+    bound reaches it. Cells and queries meet in blocks of BLOCK rows, where each query keeps k, so neither a hot cell nor many queries make a large task, and the plan is
+    the same for any number of queries. Where the data leave nothing to skip (directions that all differ), every pair is scored.
+    Vectors of another backend or size are never compared; those with nulls or without a direction score nothing.
     """
-    q = queries.select(F.col(key).alias("q"), F.col(vector).alias("_x"), *([F.col(backend).alias("_b")] if backend else []))
-    n = max(1, -(-q.count() // BLOCK))
-    out = None
-    for b in range(n):
-        own = F.broadcast(q.where(F.pmod(F.xxhash64("q"), F.lit(n)) == b))
-        both = index.join(own, F.col(backend) == F.col("_b")) if backend else index.crossJoin(own)
-        scored = both.select("q", key, cosine(F.col("_x"), F.col(vector)).alias("score"))
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
-        out = ranked if out is None else out.unionByName(ranked)
-    return out.where("score > 0").select("q", key, "rank", "score")
+    spark = index.sparkSession
+    placed, centroids = inverted_file(index, key, vector, backend)
+    cell = ["_b", "_size", "_list", "_ring"]
+    cells = placed.groupBy(*cell).agg(F.count("*").alias("n"), F.min("_angle").alias("low"), F.max("_angle").alias("high"))
+    known = cells.limit(CELLS + 1).collect()
+    if len(known) > CELLS:
+        raise ValueError(f"more than {CELLS} cells: too many backends")
+    table: dict = {}
+    for r in sorted(known, key=lambda r: (r._list, r._ring)):
+        table.setdefault((r._b, r._size), []).append((r._list, r._ring, r.n, r.low, r.high))
+    shared = spark.sparkContext.broadcast((table, centroids))
+    kind = index.schema[key].dataType.simpleString()
+
+    def wanted(first: bool):
+        def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            all_cells, centers = shared.value
+            for f in frames:
+                parts = []
+                for (b, size), rows in f.groupby(["_b", "_size"]):
+                    if (b, size) not in all_cells:
+                        continue
+                    lists, rings, n, low, high = (np.array(c) for c in zip(*all_cells[b, size], strict=True))
+                    x = np.stack(rows["_v"].to_numpy())
+                    bound = np.ones((len(x), len(lists)))
+                    if size in centers:
+                        at = _angles(x, centers[size])[:, np.maximum(lists, 0)]
+                        gap = np.maximum(np.maximum(at - high, low - at), 0.0)
+                        bound = np.where(lists >= 0, np.cos(gap), 1.0)
+                    order = np.argsort(-bound, axis=1, kind="stable")
+                    before = np.cumsum(n[order], axis=1) - n[order]
+                    head = np.zeros(bound.shape, dtype=bool)
+                    np.put_along_axis(head, order, before < k, axis=1)
+                    take = head if first else ~head & (bound >= rows["_floor"].to_numpy()[:, None] - SLACK)
+                    i, j = np.nonzero(take)
+                    parts.append(pd.DataFrame({"q": rows["q"].to_numpy()[i], "_b": b, "_size": size, "_list": lists[j], "_ring": rings[j]}))
+                if parts:
+                    yield pd.concat(parts)
+
+        return choose
+
+    asked = _cut(_units(queries, key, vector, backend).withColumnRenamed(key, "q"))
+    blocks = F.broadcast(cells.select(*cell, F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks")))  # CELLS rows at most
+    stored = placed.join(blocks, cell).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+    many = max(1, -(-asked.count() // BLOCK))
+
+    def score(_, a: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(v):
+            v = v.sort_values(key, kind="stable")
+            x, keys = np.stack(v["_v"].to_numpy()), v[key].to_numpy()
+            for q, y in zip(a["q"], a["_v"], strict=True):
+                s = (x * y).sum(axis=1)  # row by row, so that equal vectors have equal scores
+                if len(s) > k:
+                    least = np.partition(s, -k)[-k]
+                    some = np.flatnonzero(s >= least)
+                else:
+                    some = np.arange(len(s))
+                best = some[np.argsort(-s[some], kind="stable")[:k]]
+                out.append(pd.DataFrame({"q": q, key: keys[best], "score": s[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], key: [], "score": []})
+
+    def meet(first: bool, rows: DataFrame) -> DataFrame:
+        pairs = rows.mapInPandas(wanted(first), f"q {kind}, _b string, _size int, _list int, _ring int").join(blocks, cell)
+        pairs = pairs.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_part", F.pmod(F.xxhash64("q"), F.lit(many)).cast("int"))
+        pairs = _cut(pairs.select("q", *cell, "_block", "_part"))
+        met = stored.join(pairs.select(*cell, "_block", "_part").distinct(), [*cell, "_block"])
+        by = [*cell, "_block", "_part"]
+        other = met.select(*[F.col(c).alias(f"_m{c}") for c in by], key, "_v")  # both sides come from one table, so names of its own
+        sides = pairs.join(asked.select("q", "_v"), "q").groupBy(*by), other.groupBy(*[f"_m{c}" for c in by])
+        scored = sides[0].cogroup(sides[1]).applyInPandas(score, f"q {kind}, `{key}` {kind}, score double")
+        return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), key))).where(F.col("rank") <= k).drop("rank")
+
+    head = _cut(meet(True, asked))
+    floor = head.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("_kth"))
+    rest = meet(False, asked.join(floor, "q").withColumn("_floor", F.greatest(F.col("_kth"), F.lit(0.0))))
+    ranked = head.unionByName(rest).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), key)))
+    return ranked.where((F.col("rank") <= k) & (F.col("score") > 0)).select("q", key, "rank", "score")
+
+
+def search_report(queries: DataFrame, index: DataFrame, key: str, vector: str, k: int, backend: str, fallback: str | None = None) -> DataFrame:
+    """``q, backend, index_size, degraded, precedents``: one row for each query, also where nothing is found.
+
+    A query is compared with vectors of its own backend only. Where an index holds none of those, the result is empty and degraded; so is what the fallback backend finds degraded.
+    """
+    found = top_cosine(queries, index, key, vector, k, backend).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(key), "score"))).alias("precedents"))  # k at most
+    sizes = F.broadcast(index.groupBy(F.col(backend).alias("_own")).agg(F.count("*").alias("_n")).where("_own is not null").limit(CELLS))
+    total = F.broadcast(index.agg(F.count("*").alias("index_size")))  # one row
+    asked = queries.select(F.col(key).alias("q"), F.col(backend).alias("backend")).crossJoin(total).join(sizes, F.col("backend") == F.col("_own"), "left")
+    out = asked.join(found, "q", "left")
+    degraded = (F.col("_n").isNull() & (F.col("index_size") > 0)) | (F.coalesce(F.col("backend") == fallback, F.lit(False)) if fallback else F.lit(False))
+    return out.select("q", "backend", "index_size", degraded.alias("degraded"), F.coalesce("precedents", F.array().cast(found.schema["precedents"].dataType)).alias("precedents"))
 
 
 def hash_embed(rows: DataFrame, key: str, text: str) -> DataFrame:
