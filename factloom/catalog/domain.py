@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from factloom.operators import facts as X
 from factloom.operators import graph as G
 from factloom.operators import relational as R
 from factloom.operators import rules as RU
-from factloom.operators import scan
+from factloom.operators import polygons, scan
 from factloom.registry import Source, on, pick, query, read
 from factloom.sources import files
 from factloom.streaming import incremental
@@ -407,6 +409,27 @@ def s10(spark, sf):
     return files.geojson_segments(spark, path).select("feature", "part", "seg", "lon1")
 
 
+@query("s10_geojson_shapes", "SELECT n_nationkey AS feature, CASE WHEN n_nationkey % 4 < 2 THEN 'polygon' ELSE 'line' END AS kind, CASE n_nationkey % 4 WHEN 1 THEN 2 ELSE 1 END AS parts, CASE n_nationkey % 4 WHEN 0 THEN 8 WHEN 1 THEN 8 WHEN 2 THEN 2 ELSE 3 END AS edges, CAST(CASE n_nationkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 0 END AS DOUBLE) AS area FROM nation")
+def s10_shapes(spark, sf):
+    """All four types: a square with an open hole, two squares that run with the clock, a line and two lines."""
+    path = files.scratch(spark, "geojson")
+    corners = lambda x, side: [(x, 38), (x, 38 + side), (x + side, 38 + side), (x + side, 38), (x, 38)]
+    text = lambda points: "[" + ",".join(f"[{{x}}+{a},{b}]" for a, b in points) + "]"
+    forms = [("Polygon", f"[{text(corners(0, 2))},{text([(a + 0.5, b + 0.5) for a, b in corners(0, 1)[:4]])}]"), ("MultiPolygon", f"[[{text(corners(0, 1))}],[{text(corners(3, 1))}]]"), ("LineString", text([(0, 38), (1, 39), (2, 38)])), ("MultiLineString", f"[{text([(0, 38), (1, 39), (2, 38)])},{text([(0, 40), (1, 40)])}]")]
+    shape = F.lit(None).cast("string")
+    for i, (kind, form) in enumerate(forms):
+        pieces = re.split(r"\{x\}\+([0-9.]+)", form)
+        whole = F.concat(*[F.lit(p) if j % 2 == 0 else (C("n_nationkey") * 10 + float(p)).cast("string") for j, p in enumerate(pieces)])
+        shape = F.when(C("n_nationkey") % 4 == i, F.concat(F.lit(f'{{"type":"Feature","properties":{{}},"geometry":{{"type":"{kind}","coordinates":'), whole, F.lit("}}"))).otherwise(shape)
+    whole = read(spark, sf, "nation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", shape.alias("f")))), lambda x: x["f"]), ",").alias("f"))
+    whole.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}"))).coalesce(1).write.text(path)
+    shapes = files.geojson_shapes(spark, path)
+    area = F.aggregate(F.transform("rings", polygons.ring_area), F.lit(0.0), lambda s, a: s + a)
+    sides = F.aggregate(F.transform("rings", lambda r: F.size(r) - 1), F.lit(0), lambda s, n: s + n)
+    got = shapes.select("feature", "kind", sides.alias("sides"), F.when(C("kind") == "polygon", area).otherwise(0.0).alias("area"))
+    return got.groupBy("feature", "kind").agg(F.count("*").alias("parts"), F.sum("sides").alias("edges"), F.round(F.sum("area"), 6).alias("area"))
+
+
 @on("s11_feature_label", Source("nation", k="n_nationkey", a=pick("n_nationkey", ["", "null", None, " A "]), b="n_name", kind=pick("n_nationkey", ["river", None])), "SELECT k, coalesce(CASE WHEN trim(a) <> '' AND lower(trim(a)) <> 'null' THEN trim(a) END, CASE WHEN k % 3 = 0 THEN b END, kind, 'feature') AS label FROM src")
 def s11(d):
     return d.select("k", files.feature_label([C("a"), F.when(C("k") % 3 == 0, C("b"))], C("kind"), "feature").alias("label"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import geo as G
 from factloom.functions import vectors as V
-from factloom.operators import drawing, nearest, pages, rtree, scan
+from factloom.operators import drawing, nearest, pages, polygons, rtree, scan
 from factloom.operators import relational as R
 from factloom.registry import Source, on, query, read
 
@@ -175,6 +175,18 @@ def c7(spark, sf):
     return n.groupBy("subject").agg(F.min_by("layer", "feet").alias("layer"), F.min("feet").alias("feet")).select("subject", "layer", F.round("feet", 1).alias("feet"), (C("feet") <= 200).alias("flagged"))
 
 
+@query("c7_screen_polygons", f"{_NEAR[: _NEAR.index(chr(10) + 'd AS')]} d AS (SELECT k, layer, f, abs(p.east - s.east) AS dx, abs(p.north - s.north) AS dy, 1000 + f * 37 % 900 AS half FROM p CROSS JOIN s), e AS (SELECT k, layer, f, CASE WHEN dx > half OR dy > half THEN sqrt(power(greatest(dx - half, 0), 2) + power(greatest(dy - half, 0), 2)) WHEN dx < half / 2 AND dy < half / 2 THEN least(half / 2 - dx, half / 2 - dy) ELSE 0 END AS metres FROM d), n AS (SELECT *, row_number() OVER (PARTITION BY k, layer ORDER BY metres, f) AS r FROM e) SELECT k AS subject, layer, f AS feature, round(metres * 3.280839895, 1) AS feet, metres = 0 AS inside FROM n WHERE r = 1")
+def c7_polygons(spark, sf):
+    """Each site is a square with a square hole."""
+    p, s = _places(spark, sf)
+    half = (1000 + C("feature") * 37 % 900).cast("double")
+    ring = lambda r: F.array(*[F.struct((C("x1") + r * a).alias("x"), (C("y1") + r * b).alias("y")) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
+    rings = F.transform(F.array(ring(half), ring(half / 2)), polygons.clean_ring)
+    lines = polygons.edges(s.select("layer", "feature", F.lit("polygon").alias("kind"), rings.alias("rings")), "layer", "feature")
+    near = polygons.nearest_shapes(p, lines, cell=12_000.0)
+    return near.select("subject", "layer", "feature", F.round(C("metres") * G.FEET, 1).alias("feet"), (C("metres") == 0).alias("inside"))
+
+
 @query("c17_distance_distribution", f"{_NEAR} SELECT layer, count(*) AS n, round(median(feet), 2) AS med, count(*) FILTER (feet <= 20000) AS near FROM n WHERE r = 1 GROUP BY 1")
 def c17(spark, sf):
     n = _near(spark, sf).withColumn("feet", C("metres") * G.FEET)

@@ -106,7 +106,7 @@ def _centroids(vectors: DataFrame, key: str) -> dict[int, np.ndarray]:
     out = {}
     for size in {len(r._v) for r in sample}:
         x = np.array([r._v for r in sample if len(r._v) == size])
-        c = x[:: max(1, -(-len(x) // CENTROIDS))].copy()
+        c = x[:: -(-len(x) // max(1, min(CENTROIDS, len(x) // 64)))].copy()  # 64 vectors of the sample for each at least
         for _ in range(4):
             nearest = np.argmax(x @ c.T, axis=1)
             sums = np.zeros_like(c)
@@ -200,26 +200,26 @@ def top_cosine(queries: DataFrame, index: DataFrame, key: str, vector: str, k: i
 
         return choose
 
-    asked = _cut(_units(queries, key, vector, backend).withColumnRenamed(key, "q"))
+    asked = _units(queries, key, vector, backend).withColumnRenamed(key, "q")
     blocks = F.broadcast(cells.select(*cell, F.ceil(F.col("n") / BLOCK).cast("int").alias("_blocks")))  # CELLS rows at most
     stored = placed.join(blocks, cell).withColumn("_block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
     many = max(1, -(-asked.count() // BLOCK))
 
     def score(_, a: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        kept, rows, scores = [], [], []
         if len(v):
             v = v.sort_values(key, kind="stable")
-            x, keys = np.stack(v["_v"].to_numpy()), v[key].to_numpy()
-            for q, y in zip(a["q"], a["_v"], strict=True):
+            x = np.stack(v["_v"].to_numpy())
+            for y in a["_v"]:
                 s = (x * y).sum(axis=1)  # row by row, so that equal vectors have equal scores
-                if len(s) > k:
-                    least = np.partition(s, -k)[-k]
-                    some = np.flatnonzero(s >= least)
-                else:
-                    some = np.arange(len(s))
+                some = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
                 best = some[np.argsort(-s[some], kind="stable")[:k]]
-                out.append(pd.DataFrame({"q": q, key: keys[best], "score": s[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], key: [], "score": []})
+                rows.append(best)
+                scores.append(s[best])
+            kept = [len(r) for r in rows]
+        if not kept:
+            return pd.DataFrame({"q": [], key: [], "score": []})
+        return pd.DataFrame({"q": np.repeat(a["q"].to_numpy(), kept), key: v[key].to_numpy()[np.concatenate(rows)], "score": np.concatenate(scores)})
 
     def meet(first: bool, rows: DataFrame) -> DataFrame:
         pairs = rows.mapInPandas(wanted(first), f"q {kind}, _b string, _size int, _list int, _ring int").join(blocks, cell)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,6 +76,46 @@ def geojson_segments(spark: SparkSession, path: str) -> DataFrame:
     return out.select("feature", "part", F.col("s.seg").alias("seg"), *[F.get(f"s.{p}", F.lit(i)).alias(n) for p, i, n in (("a", 0, "lon1"), ("a", 1, "lat1"), ("b", 0, "lon2"), ("b", 1, "lat2"))], "properties")
 
 
+#: GeoJSON's nesting of coordinates by type, as an array of shapes, each of rings or lines of points.
+_NESTING = {"LineString": ("array<array<double>>", 2), "MultiLineString": ("array<array<array<double>>>", 1), "Polygon": ("array<array<array<double>>>", 1), "MultiPolygon": ("array<array<array<array<double>>>>", 0)}
+
+
+def geojson_shapes(spark: SparkSession, path: str, project: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Lines and polygons of GeoJSON: ``feature, part, kind, rings, properties``, ``rings`` of points ``x, y``; a MultiLineString is one part.
+
+    ``project`` makes a struct of two fields of longitude and latitude. Rings are closed, without repeated points, the outer one against the clock and holes with it; rings of fewer than three points,
+    lines of fewer than two and points with a null are left out, and so are shapes of which nothing remains, other types and empty geometries. Rings that touch or cross
+    themselves stay as they are: inside is where a ray crosses an odd number of edges.
+    """
+    from factloom.operators.polygons import clean_ring, oriented
+
+    schema = "type string, features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
+    f = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("feature", "f"))
+    f = f.select("feature", F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("_type"), F.col("f.geometry.coordinates").alias("_c"))
+    shapes = F.lit(None).cast("array<array<array<array<double>>>>")
+    for kind, (nesting, wraps) in _NESTING.items():
+        one = F.from_json("_c", nesting)
+        for _ in range(wraps):
+            one = F.array(one)
+        shapes = F.when(F.col("_type") == kind, one).otherwise(shapes)
+
+    def point(p: Column) -> Column:
+        x, y = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+        if project is None:
+            return F.struct(x.alias("x"), y.alias("y"))
+        return project(x, y).cast("struct<x: double, y: double>")
+
+    parts = f.select("feature", "properties", F.when(F.endswith("_type", F.lit("Polygon")), "polygon").otherwise("line").alias("kind"), F.posexplode(shapes).alias("part", "_s"))
+    lines = F.transform("_s", lambda r: F.transform(r, point))
+    whole = lambda r: F.filter(r, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    drawn = F.filter(F.transform(lines, whole), lambda r: F.size(r) >= 2)
+    closed = F.transform(lines, clean_ring)
+    # a polygon whose outer ring is gone has no holes either
+    closed = F.when(F.get(closed, F.lit(0)).isNotNull(), oriented(F.filter(closed, lambda r: r.isNotNull())))
+    out = parts.withColumn("rings", F.when(F.col("kind") == "polygon", closed).otherwise(drawn))
+    return out.where("size(rings) > 0").select("feature", "part", "kind", "rings", "properties")
+
+
 def cache_key(content: Column) -> Column:
     return F.left(F.sha2(content.cast("binary"), 256), F.lit(32))
 
