@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import geo as G
 from factloom.functions import vectors as V
-from factloom.operators import drawing, nearest, pages, polygons, rtree, scan
+from factloom.operators import drawing, nearest, pages, polygons, raster, rtree, scan
 from factloom.operators import relational as R
 from factloom.registry import Source, on, query, read
 
@@ -332,3 +332,31 @@ def g10(spark, sf):
     g = v.withColumn("grp", C("col") - F.row_number().over(Window.partitionBy("img").orderBy("col")))
     r = g.groupBy("img", "grp").agg(F.min("col").alias("start"), F.count("*").alias("length"))
     return R.first_by(r, ["img"], F.desc("length"), "start").select("img", "start", "length")
+
+
+#: A page of each customer, 128 x 64: a bar of two bands, filled in turns, and a stamp at its height; and the box where the bar is said to be.
+_BAR = {"k": "c_custkey", "l": "CAST(CASE WHEN c_custkey % 11 = 0 THEN 0 ELSE 10 + c_custkey % 12 END AS INT)", "t": "CAST(20 + c_custkey % 10 AS INT)", "q": "CAST(10 + c_custkey % 8 AS INT)", "blank": "c_custkey % 17 = 0", "wide": "c_custkey % 13 = 0"}
+
+
+def bar_pages(d):
+    """Pages drawn as runs of bytes: bands of a bar of four parts, each ``q`` wide and three rows high."""
+    paper = lambda n: F.repeat(F.lit("ff"), n)
+    ink = lambda n: F.when(C("blank"), F.repeat(F.lit("ff"), n)).otherwise(F.repeat(F.lit("20"), n))
+    q, rest = C("q"), 128 - C("l") - 4 * C("q") - 6
+    row = lambda *parts: F.concat(paper(C("l")), *parts, paper(rest), ink(F.lit(4)), paper(F.lit(2)))
+    upper, lower = row(ink(q), paper(q), ink(q), paper(q)), row(paper(q), ink(q), paper(q), ink(q))
+    pixels = F.unhex(F.concat(paper(128 * C("t")), F.repeat(upper, F.lit(3)), F.repeat(lower, F.lit(3)), paper(128 * (58 - C("t")))))
+    told = F.when(C("wide"), 12 * q).otherwise(4 * q + C("k").cast("int") % 7 - 3)
+    return d.select("k", F.lit(128).alias("width"), F.lit(64).alias("height"), pixels.alias("pixels"), (C("l") + C("k").cast("int") % 5 - 2).alias("bar_left"), (C("t") + C("k").cast("int") % 3 - 1).alias("bar_top"), told.alias("bar_width"), F.lit(6).alias("bar_height"))
+
+
+@on("g10_scale_bars", Source("customer", **_BAR), "SELECT k, CASE WHEN fine THEN l END AS lft, CASE WHEN fine THEN 4 * q - 1 END AS length, CASE WHEN fine THEN t END AS top, CASE WHEN fine THEN 6 END AS band, CASE WHEN fine THEN l = 0 END AS clipped, CASE WHEN blank THEN 'no ink' WHEN wide THEN 'not the bar' END AS refused FROM (SELECT *, NOT blank AND NOT wide AS fine FROM src)")
+def g10_bars(d):
+    return raster.measure_bars(bar_pages(d), "k").select("k", C("left").alias("lft"), "length", "top", "band", "clipped", "refused")
+
+
+@on("st7_refined_symbols", Source("customer", **_BAR), "SELECT k, CASE WHEN blank THEN 64 ELSE l END AS lft, CASE WHEN blank THEN 30 ELSE t END AS top, CASE WHEN blank THEN 5 ELSE 4 * q END AS w, CASE WHEN blank THEN 'lost' WHEN greatest(56, floor(4 * q * CAST(1.7 AS DOUBLE)), 2 * floor(0.15 * one) + 4 * q) >= one THEN 'same window' ELSE 'settled' END AS ended FROM (SELECT *, greatest(56, floor(4 * q * CAST(1.7 AS DOUBLE)), 38 + 4 * q) AS one FROM src)")
+def st7(d):
+    """The bar, first told a few pixels off, is found again by its ink; a blank page has nothing to find."""
+    told = d.select("k", F.when(C("blank"), 64).otherwise(C("l") + 3).alias("left"), F.when(C("blank"), 30).otherwise(C("t") + 2).alias("top"), F.when(C("blank"), 5).otherwise(4 * C("q")).alias("width"), F.lit(6).alias("height"), F.lit(128).alias("page_width"), F.lit(64).alias("page_height"))
+    return raster.refine(told, raster.ink_box(bar_pages(d), "k", ["k"]), ["k"]).select("k", C("left").alias("lft"), "top", C("width").alias("w"), "ended")
