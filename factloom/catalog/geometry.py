@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from factloom.catalog import domain
 from factloom.functions import geo as G
 from factloom.functions import vectors as V
 from factloom.operators import drawing, nearest, pages, polygons, raster, rtree, scan
+from factloom.operators import facts as X
 from factloom.operators import relational as R
 from factloom.registry import Source, on, query, read
 
@@ -187,6 +191,25 @@ def c7_polygons(spark, sf):
     return near.select("subject", "layer", "feature", F.round(C("metres") * G.FEET, 1).alias("feet"), (C("metres") == 0).alias("inside"))
 
 
+_STATED = Source("orders", subject="o_custkey", page="o_orderkey", txt="CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN 'Latitude: 38.' || CAST(600 + o_orderkey % 300 AS STRING) || ' Longitude: -75.' || CAST(200 + o_orderkey % 700 AS STRING) WHEN 1 THEN 'LATITUDE 38,' || CAST(500 + o_orderkey % 400 AS STRING) WHEN 2 THEN 'Latitude: 38.5, longitude unknown' ELSE o_orderpriority END")
+
+
+@query("c27_screened_locations", rf"""WITH src AS ({domain.PLACES.sql}), {domain._POINT[5:]}, t AS ({_STATED.sql}),
+x AS (SELECT *, nullif(regexp_extract(txt, '(?i)latitude\s*:?\s*(-?\d{{1,3}}[.,]\d{{3,}})', 1), '') AS la, nullif(regexp_extract(txt, '(?i)longitude\s*:?\s*(-?\d{{1,3}}[.,]\d{{3,}})', 1), '') AS lo FROM t),
+d AS (SELECT subject AS k, TRY_CAST(replace(arg_max(la, page) FILTER (la IS NOT NULL), ',', '.') AS DOUBLE) AS dy, TRY_CAST(replace(arg_max(lo, page) FILTER (lo IS NOT NULL), ',', '.') AS DOUBLE) AS dx FROM x GROUP BY 1),
+l AS (SELECT k, CASE WHEN error IS NULL THEN y WHEN inbox THEN dy END AS lat, CASE WHEN error IS NULL THEN x WHEN inbox THEN dx END AS lon, CASE WHEN error IS NULL THEN 'record' WHEN inbox THEN 'document' END AS origin, error FROM (SELECT *, dx BETWEEN -75.80 AND -74.98 AND dy BETWEEN 38.44 AND 39.85 AS inbox FROM p LEFT JOIN d USING (k))),
+u AS (SELECT k, origin, error, {utm_sql('lat', 'lon')} FROM l), s AS (SELECT s_suppkey AS f, {utm_sql('CAST(38.45 + (s_suppkey * 37 % 1399) / 1000.0 AS DOUBLE)', 'CAST(-75.79 + (s_suppkey * 53 % 811) / 1000.0 AS DOUBLE)')} FROM supplier),
+n AS (SELECT u.*, f, sqrt(power(u.east - s.east, 2) + power(u.north - s.north, 2)) * 3.280839895 AS feet, row_number() OVER (PARTITION BY k ORDER BY sqrt(power(u.east - s.east, 2) + power(u.north - s.north, 2)), f) AS r FROM u CROSS JOIN s)
+SELECT k AS subject, origin, CASE WHEN origin IS NULL THEN error END AS error, CASE WHEN origin IS NOT NULL THEN f END AS feature, CASE WHEN origin IS NOT NULL THEN round(feet, 1) END AS feet FROM n WHERE r = 1""")
+def c27_screened(spark, sf):
+    """Records with a location of their own, else the one that their documents state, and the nearest site to it."""
+    records = domain.PLACES.frame(spark, sf).withColumnRenamed("k", "subject")
+    at = X.located(records, _STATED.frame(spark, sf), domain.BOX).join(records.select("subject"), "subject", "left_semi")
+    sites = _places(spark, sf)[1].withColumn("layer", F.lit("site"))
+    near = nearest.nearest(at.select("subject", G.utm(C("lat"), C("lon")).alias("u")).select("subject", C("u.east").alias("x"), C("u.north").alias("y")), sites, cell=12_000.0)
+    return at.join(near, "subject", "left").select("subject", "origin", "error", "feature", F.round(C("metres") * G.FEET, 1).alias("feet"))
+
+
 @query("c17_distance_distribution", f"{_NEAR} SELECT layer, count(*) AS n, round(median(feet), 2) AS med, count(*) FILTER (feet <= 20000) AS near FROM n WHERE r = 1 GROUP BY 1")
 def c17(spark, sf):
     n = _near(spark, sf).withColumn("feet", C("metres") * G.FEET)

@@ -56,6 +56,31 @@ def stated_location(c: Column) -> Column:
     return F.struct(last(r"(?i)\blat(?:itude)?[:\s]+(-?\d+\.\d+)").alias("lat"), last(r"(?i)\blon(?:g|gitude)?[:\s]+(-?\d+\.\d+)").alias("lon"))
 
 
+def packet_coordinates(pages: DataFrame) -> DataFrame:
+    """``subject, lat, lon`` that the pages of a document state, the last of each in the order of pages; subjects that don't state both have no row.
+
+    ``pages(subject, page, txt)``. A number has three decimals at least, after a point or a comma; repeated pages are taken by their text's order.
+    """
+    last = lambda label: F.try_element_at(F.regexp_extract_all("txt", F.lit(rf"(?i){label}\s*:?\s*(-?\d{{1,3}}[.,]\d{{3,}})"), 1), F.lit(-1))
+    stated = pages.where(F.lower("txt").contains("itude")).select("subject", F.struct("page", "txt").alias("_at"), last("latitude").alias("lat"), last("longitude").alias("lon"))
+    newest = lambda c: F.replace(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))), F.lit(","), F.lit(".")).try_cast("double").alias(c)
+    return stated.groupBy("subject").agg(newest("lat"), newest("lon")).dropna()
+
+
+def located(records: DataFrame, pages: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """``subject, lat, lon, origin, error``: where each record is, by its own columns (``record``), else by what its document states (``document``), else nowhere, with the record's error.
+
+    ``records(subject, lat, lon, geo)`` as ``point`` reads them, ``pages`` as ``packet_coordinates`` does; documents without a record have a row as well. What is stated outside of the box counts as not stated.
+    """
+    own = records.select("subject", point(F.col("lat"), F.col("lon"), F.col("geo"), box).alias("_p"))
+    inside = F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3])
+    stated = packet_coordinates(pages).where(inside).select("subject", F.struct("lat", "lon").alias("_s"))
+    both = own.join(stated, "subject", "full_outer")
+    mine = F.col("_p.lat").isNotNull()
+    origin = F.when(mine, "record").when(F.col("_s").isNotNull(), "document")
+    return both.select("subject", *[F.when(mine, F.col(f"_p.{c}")).otherwise(F.col(f"_s.{c}")).alias(c) for c in ("lat", "lon")], origin.alias("origin"), F.when(origin.isNull(), F.col("_p.error")).alias("error"))
+
+
 #: Fixed value: a line that begins a section.
 SECTION = r"^\s*(\d{1,2}(?:\.\d{1,3}){0,4})\s+(?=[A-Z(\"'])"
 
