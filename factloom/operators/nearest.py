@@ -100,9 +100,9 @@ CENTROIDS, RINGS, SAMPLE, BLOCK = 64, 16, 4096, 4096
 CELLS, SLACK = 500_000, 1e-9
 
 
-def _centroids(vectors: DataFrame, key: str) -> dict[int, np.ndarray]:
-    """Unit centroids by dimension, fitted on the SAMPLE vectors with the least hash of their key. They only decide how much is skipped, never what is found."""
-    sample = vectors.orderBy(F.xxhash64(key), key).limit(SAMPLE).select("_v").collect()
+def _centroids(index: DataFrame, key: str, vector: str, backend: str | None) -> dict[int, np.ndarray]:
+    """Unit centroids by dimension, fitted on the SAMPLE rows with the least hash of their key. They only decide how much is skipped, never what is found."""
+    sample = _units(index.orderBy(F.xxhash64(key), key).limit(SAMPLE), key, vector, backend).select("_v").collect()
     out = {}
     for size in {len(r._v) for r in sample}:
         x = np.array([r._v for r in sample if len(r._v) == size])
@@ -133,7 +133,7 @@ def _units(df: DataFrame, key: str, vector: str, backend: str | None) -> DataFra
 def inverted_file(index: DataFrame, key: str, vector: str, backend: str | None = None) -> tuple[DataFrame, dict[int, np.ndarray]]:
     """The index's unit vectors with their nearest centroid ``_list`` and angle to it (``_angle``, and ``_ring``), written once; and the centroids."""
     units = _units(index, key, vector, backend)
-    centroids = _centroids(units, key)
+    centroids = _centroids(index, key, vector, backend)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
