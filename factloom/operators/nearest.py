@@ -15,6 +15,8 @@ from factloom.sources.files import checkpoint_dir
 
 #: Cells of a level in a row and column of one cell of the next; layers told apart at most.
 FAN, LAYERS = 8, 1000
+#: Segments of a layer in an occupied cell on average, halvings of a cell and copies of a segment at most.
+FILL, HALVINGS, COPIES = 2, 12, 2
 
 
 def segment_cells(segments: DataFrame, cell: float) -> DataFrame:
@@ -32,6 +34,23 @@ def segment_cells(segments: DataFrame, cell: float) -> DataFrame:
     return columns.withColumn("cy", F.explode(F.sequence(at(F.least(low, high)), at(F.greatest(low, high)))))
 
 
+def fitted_cell(segments: DataFrame, cell: float) -> float:
+    """``cell``, halved until its occupied cells hold FILL segments of a layer on average, or segments would lie in more than COPIES further cells; so pairs grow as points do, not as points times features."""
+    sides = [cell / 2**k for k in range(HALVINGS + 1)]
+    middle = lambda a, b, s: F.floor((F.col(a) + F.col(b)) / 2 / s).cast("long")
+    held = [F.approx_count_distinct(F.struct("layer", middle("x1", "x2", s), middle("y1", "y2", s))).alias(f"k{k}") for k, s in enumerate(sides)]
+    length = F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1"))
+    known = segments.agg(F.count("*").alias("n"), F.sum(length.cast("double")).alias("length"), *held).first()
+    best = cell
+    for k, side in enumerate(sides):
+        if known.n == 0 or (k and known.length / side > COPIES * known.n):
+            break
+        best = side
+        if known.n <= FILL * known[f"k{k}"]:
+            break
+    return best
+
+
 def nearest(points: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
     """``subject, layer, feature, metres``: the nearest feature of each layer, the smaller feature on a tie.
 
@@ -40,10 +59,12 @@ def nearest(points: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
     Occupied cells form a pyramid, FAN x FAN cells of a level to one of the next. At each level the points that are still open meet the nine cells around them, and
     go down from those: of the occupied cells below, only those stay whose near corner isn't farther than the least far corner, which some feature is sure to
     be within. A distance below a cell's side is final, since all outside of the nine cells is farther. At the last level nine cells hold everything. So a
-    point in an empty region meets some cells of each level and the segments of a few smallest ones, never a whole layer.
+    point in an empty region meets some cells of each level and the segments of a few smallest ones, never a whole layer. ``cell`` is the largest side of a smallest cell; see ``fitted_cell``.
     """
     given = ["x1", "y1", "x2", "y2"]
-    placed = _cut(segment_cells(segments.select("layer", "feature", *given).dropna(subset=given), cell))
+    own = segments.select("layer", "feature", *given).dropna(subset=given)
+    cell = fitted_cell(own, cell)
+    placed = _cut(segment_cells(own, cell))
     points = points.select("subject", "x", "y").dropna(subset=["x", "y"])
     layers = [r.layer for r in placed.select("layer").distinct().limit(LAYERS + 1).collect()]
     if len(layers) > LAYERS:

@@ -88,3 +88,12 @@ def test_range_join(spark, page, fanout, n):
     got = rtree.range_join(w, packed, "w", exact, fanout).select("w", "f", "note").collect()
     want = {(k, f, note) for k, *box, note in windows if None not in box for f, *c in shapes if None not in c and meets(*c, *box)}
     assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
+
+
+def test_cells_fit_the_segments(spark):
+    dense = spark.range(4000).selectExpr("'a' as layer", "id as feature", "id * 37 % 1000 * 1.0 as x1", "id * 53 % 997 * 1.0 as y1").selectExpr("*", "x1 as x2", "y1 as y2")
+    side = nearest.fitted_cell(dense, 1000.0)
+    assert dense.count() / nearest.segment_cells(dense, side).select("cx", "cy").distinct().count() <= 2 * nearest.FILL
+    long = dense.limit(400).selectExpr("layer", "feature", "x1", "y1", "x1 + 900 as x2", "y2")
+    assert nearest.fitted_cell(long, 1000.0) >= 450
+    assert nearest.fitted_cell(dense.where("false"), 1000.0) == 1000.0
