@@ -22,19 +22,20 @@ def agreement_stream(stream: DataFrame) -> DataFrame:
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last, settled = state.get if state.exists else (None, False)
-        out = []
-        for r in pd.concat(list(frames)).sort_values("attempt").itertuples():
-            if settled or r.kind == "exception":
+        told = None
+        # plain lists: a key has a few rows, and frames of that size cost more than they hold
+        for _, kind, count in sorted((r for f in frames for r in zip(f["attempt"].tolist(), f["kind"].tolist(), f["doc_count"].tolist(), strict=True)), key=lambda r: (pd.isna(r[0]), r[0])):
+            if settled or kind == "exception":
                 continue
-            if r.kind != "ok":
+            if kind != "ok":
                 last = None
-            elif last is not None and last == r.doc_count:
-                settled = True
-                out.append((key[0], "PARSED_DOCS" if r.doc_count else "PARSED_ZERO_DOCS", r.doc_count))
+            elif last is not None and last == count:
+                settled, told = True, int(count)
             else:
-                last = int(r.doc_count)
+                last = int(count)
         state.update((last, settled))
-        yield pd.DataFrame(out, columns=["detail_id", "outcome", "doc_count"])
+        if told is not None:
+            yield pd.DataFrame({"detail_id": [key[0]], "outcome": ["PARSED_DOCS" if told else "PARSED_ZERO_DOCS"], "doc_count": [told]})
 
     return stream.groupBy("detail_id").applyInPandasWithState(step, "detail_id long, outcome string, doc_count long", "last long, settled boolean", "append", "NoTimeout")
 
@@ -88,12 +89,12 @@ def outcome_stream(stream: DataFrame, attempts: int = 3, late: str = "10 minutes
             state.remove()
             out = None if told else decided(seen, attempts, True)
         else:
-            for r in (r for frame in frames for r in frame.itertuples()):
-                if pd.isna(r.detail_id) or pd.isna(r.attempt) or r.kind is None or not 1 <= r.attempt <= attempts:
+            for attempt, kind, count, grid, at in (r for f in frames for r in zip(*[f[c].tolist() for c in ("attempt", "kind", "doc_count", "grid_present", "at")], strict=True)):
+                if pd.isna(key[0]) or pd.isna(attempt) or kind is None or not 1 <= attempt <= attempts:
                     continue
-                until = max(until, int(r.at.timestamp() * 1000))
-                own = (r.kind, 0 if pd.isna(r.doc_count) else int(r.doc_count), not pd.isna(r.grid_present) and bool(r.grid_present))
-                seen[int(r.attempt)] = min(seen.get(int(r.attempt), own), own)
+                until = max(until, int(at.timestamp() * 1000))
+                own = (kind, 0 if pd.isna(count) else int(count), not pd.isna(grid) and bool(grid))
+                seen[int(attempt)] = min(seen.get(int(attempt), own), own)
             if not seen and not told:
                 return
             if not told:
@@ -103,7 +104,7 @@ def outcome_stream(stream: DataFrame, attempts: int = 3, late: str = "10 minutes
             state.update((kept, *[[seen[n][i] for n in kept] for i in range(3)], told, until))
             state.setTimeoutTimestamp(max(until + silence_ms, state.getCurrentWatermarkMs() + 1))
         if out is not None:
-            yield pd.DataFrame([(key[0], *out)], columns=["detail_id", "outcome", "doc_count"])
+            yield pd.DataFrame({"detail_id": [key[0]], "outcome": [out[0]], "doc_count": [out[1]]})
 
     own = stream.withWatermark("at", late).select("detail_id", "attempt", "kind", "doc_count", "grid_present", "at")
     state = "numbers array<int>, kinds array<string>, counts array<long>, grids array<boolean>, told boolean, until long"
