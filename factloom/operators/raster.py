@@ -138,7 +138,8 @@ def ink_box(pages: DataFrame, page: str, key: list[str]) -> Callable[[DataFrame]
 
     def locate(asked: DataFrame) -> DataFrame:
         own = pages.select(F.col(page).alias("_page"), F.col("width").alias("_w"), "pixels")
-        cut = asked.join(own, asked[page] == F.col("_page")).select(*key, F.col("_w").cast("int").alias("width"), "x0", "y0", "side", "pixels")
+        # pages are large though their files may be small: they must not be broadcast
+        cut = asked.hint("merge").join(own, asked[page] == F.col("_page")).select(*key, F.col("_w").cast("int").alias("width"), "x0", "y0", "side", "pixels")
         cut = cut.select(*key, "width", "x0", "side", _rows_of(F.col("y0"), F.col("y0") + F.col("side")).alias("_bytes"))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

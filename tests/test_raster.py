@@ -107,3 +107,11 @@ def test_symbols_end_as_they_should(spark):
     assert got == {t[0]: loop(*t) for t in told}
     assert {v[5] for v in got.values()} >= {"settled", "lost"} and max(v[4] for v in got.values()) > 1
     assert raster.refine(symbols.limit(0), locate, ["k"]).count() == 0
+
+
+def test_pages_are_not_broadcast(spark):
+    pages = spark.range(8).selectExpr("id as k", "8 as width", "8 as height", "unhex(repeat('20', 64)) as pixels")
+    asked = spark.range(8).selectExpr("id as k", "0 as x0", "0 as y0", "8 as side")
+    seen = raster.ink_box(pages, "k", ["k"])(asked)
+    assert "BroadcastHashJoin" not in seen._jdf.queryExecution().executedPlan().toString()
+    assert {(r.fleft, r.fwidth, r.fheight) for r in seen.collect()} == {(0.0, 8.0, 8.0)}
