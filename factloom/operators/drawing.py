@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.text import once
 from factloom.sources.files import checkpoint_dir
 
 
@@ -43,28 +44,44 @@ def nearest_pair(symbols: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.groupBy("sheet").agg(F.min(F.struct(F.round("gap", 6).alias("gap"), "a_id", "b_id")).alias("m")).select("sheet", "m.a_id", "m.b_id", "m.gap")
 
 
+def _matched(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """``sheet, label, n_found, n_true, pairs``: one shuffle of both tables; each group is matched as two lists, with no frame or Python for it."""
+    real = lambda c: F.col(c).cast("double").alias(c)
+    own = found.select("sheet", "label", F.struct(F.col("id").cast("long").alias("id"), real("x"), real("y")).alias("f"))
+    given = truth.select("sheet", "label", F.struct(F.col("tid").cast("long").alias("tid"), real("tx"), real("ty")).alias("t"))
+    lists = own.unionByName(given, allowMissingColumns=True).groupBy("sheet", "label").agg(F.array_sort(F.collect_list("f")).alias("f"), F.array_sort(F.collect_list("t")).alias("t"))
+    none = F.array().cast("array<struct<id: bigint, x: double, y: double, tid: bigint, tx: double, ty: double, error: double>>")
+
+    def take(state: Column, t: Column) -> Column:
+        def gap(f: Column) -> Column:
+            dx, dy = f["f"]["x"] - t["tx"], f["f"]["y"] - t["ty"]
+            return F.sqrt(dx * dx + dy * dy)
+
+        # symbols without a place come last
+        near = F.array_min(F.transform(state["left"], lambda f: F.struct(F.coalesce(gap(f), F.lit(float("nan"))).alias("order"), f["at"].alias("at"), gap(f).alias("error"), f["f"].alias("f"))))
+
+        def drop(best: Column) -> Column:
+            pair = F.struct(best["f"]["id"].alias("id"), best["f"]["x"].alias("x"), best["f"]["y"].alias("y"), t["tid"].alias("tid"), t["tx"].alias("tx"), t["ty"].alias("ty"), best["error"].alias("error"))
+            return F.struct(F.filter(state["left"], lambda f: f["at"] != best["at"]).alias("left"), F.concat(state["pairs"], F.array(pair)).alias("pairs"))
+
+        return F.when(F.size(state["left"]) > 0, once(near, drop)).otherwise(state)
+
+    numbered = F.transform("f", lambda f, at: F.struct(at.alias("at"), f.alias("f")))
+    pairs = F.aggregate("t", F.struct(numbered.alias("left"), none.alias("pairs")), take, lambda state: state["pairs"])
+    return lists.select("sheet", "label", F.size("f").cast("long").alias("n_found"), F.size("t").cast("long").alias("n_true"), pairs.alias("pairs"))
+
+
+def _opened(matched: DataFrame) -> DataFrame:
+    # an inner explode would match once more in a filter on its size
+    return matched.select("sheet", "label", F.explode_outer("pairs").alias("p")).where("p is not null").select("sheet", "label", "p.*")
+
+
 def match_in_order(found: DataFrame, truth: DataFrame) -> DataFrame:
     """``sheet, label, id, x, y, tid, tx, ty, error``: each true symbol, by ``tid``, takes the nearest one of its label that is left, however far; the smaller ``id`` on a tie.
 
     ``found(sheet, label, id, x, y)``, ``truth(sheet, label, tid, tx, ty)``. Each choice depends on those before it, so a sheet's symbols of one label are one group; a step holds no more than those.
     """
-    columns = ["sheet", "label", "id", "x", "y", "tid", "tx", "ty", "error"]
-
-    def match(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        left, out = a.sort_values("id").reset_index(drop=True), []
-        for t in b.sort_values("tid").itertuples():
-            if left.empty:
-                break
-            gaps = ((left["x"] - t.tx) ** 2 + (left["y"] - t.ty) ** 2) ** 0.5
-            at = gaps.idxmin()
-            f = left.loc[at]
-            out.append((key[0], key[1], int(f["id"]), float(f["x"]), float(f["y"]), int(t.tid), float(t.tx), float(t.ty), float(gaps[at])))
-            left = left.drop(index=at)
-        return pd.DataFrame(out, columns=columns)
-
-    given = truth.select(F.col("sheet").alias("tsheet"), F.col("label").alias("tlabel"), "tid", F.col("tx").cast("double"), F.col("ty").cast("double"))
-    own = found.select("sheet", "label", "id", F.col("x").cast("double"), F.col("y").cast("double"))
-    return own.groupBy("sheet", "label").cogroup(given.groupBy("tsheet", "tlabel")).applyInPandas(match, "sheet long, label string, id long, x double, y double, tid long, tx double, ty double, error double")
+    return _opened(_matched(found, truth))
 
 
 def swaps(pairs: DataFrame, margin: float = 2.0) -> DataFrame:
@@ -81,9 +98,11 @@ def swaps(pairs: DataFrame, margin: float = 2.0) -> DataFrame:
 def scores(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Per sheet: ``matched, missed, spurious, swapped, mean_error, max_error``; a sheet of one side only counts as missed or spurious throughout. ``tid`` is unique in a sheet."""
     checkpoint_dir(found.sparkSession)
-    pairs = match_in_order(found, truth).checkpoint()
-    count = lambda df, name: df.groupBy("sheet").agg(F.count("*").alias(name))
+    matched = _matched(found, truth).checkpoint()
+    pairs = _opened(matched)
+    counts = matched.groupBy("sheet").agg(F.sum("n_found").alias("f"), F.sum("n_true").alias("t"))
     errors = pairs.groupBy("sheet").agg(F.count("*").alias("matched"), F.round(F.avg("error"), 1).alias("mean_error"), F.round(F.max("error"), 1).alias("max_error"))
-    out = count(found, "f").join(count(truth, "t"), "sheet", "full_outer").join(errors, "sheet", "left").join(count(swaps(pairs), "swapped"), "sheet", "left")
+    swapped = swaps(pairs).groupBy("sheet").agg(F.count("*").alias("swapped"))
+    out = counts.join(errors, "sheet", "left").join(swapped, "sheet", "left")
     n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     return out.select("sheet", n("matched").alias("matched"), (n("t") - n("matched")).alias("missed"), (n("f") - n("matched")).alias("spurious"), n("swapped").alias("swapped"), "mean_error", "max_error")

@@ -41,3 +41,13 @@ def test_scores(spark):
         m = want[r.sheet]
         assert (r.matched, r.missed, r.spurious, r.swapped) == m[:4]
         assert (r.mean_error is None) == (m[4] is None) and (m[4] is None or (abs(r.mean_error - m[4]) <= 0.0501 and abs(r.max_error - m[5]) <= 0.0501))
+
+
+def test_groups_without_frames(spark):
+    """A group costs no Python, and each side is read once."""
+    found = spark.createDataFrame([(1, "T", 7, 0.0, 0.0), (1, "T", 8, 0.0, 0.0), (1, "T", 9, None, 1.0)], "sheet long, label string, id long, x double, y double")
+    truth = spark.createDataFrame([(1, "T", 1, 3.0, 4.0), (1, "T", 2, 0.0, 1.0), (1, "T", 3, 0.0, 0.0), (1, "T", 4, 0.0, 0.0)], "sheet long, label string, tid long, tx double, ty double")
+    out = drawing.match_in_order(found, truth)
+    assert [(r.tid, r.id, r.error) for r in out.orderBy("tid").collect()] == [(1, 7, 5.0), (2, 8, 1.0), (3, 9, None)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and plan.count("hashpartitioning") == 1
