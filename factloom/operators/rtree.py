@@ -16,6 +16,8 @@ from factloom.operators import scan
 
 #: Shapes of a page, children of a node, and parts that a node's windows are dealt to, so that a busy region isn't one task's.
 PAGE, FANOUT, SALT = 64, 32, 16
+#: Windows times pages of a task of the last join, where a window touches few of the pages; tasks at most.
+TASK, MOST_TASKS = 8_000_000, 20_000
 BOX = ("xmin", "ymin", "xmax", "ymax")
 
 
@@ -57,7 +59,9 @@ def range_join(windows: DataFrame, packed: DataFrame, window: str, exact: Column
     if not root:
         return windows.join(packed.drop("page"), F.lit(False))
     boxes = F.array(*[F.struct(F.lit(r.node).alias("node"), *[F.lit(float(r[c])).alias(c) for c in BOX]) for r in root])
-    at = windows.dropna(subset=[f"w{c}" for c in BOX])
+    # bytes tell little of a join's work, so its tasks are counted by windows and pages; windows are dealt out before the descent, a page's windows to parts after it
+    parts = int(min(MOST_TASKS, max(packed.sparkSession.sparkContext.defaultParallelism, windows.count() * tree[0].count() // TASK)))
+    at = windows.dropna(subset=[f"w{c}" for c in BOX]).repartition(parts, window)
     front = at.select(window, *[f"w{c}" for c in BOX], F.explode(F.filter(boxes, lambda n: touches({c: n[c] for c in BOX}, own))["node"]).alias("node"))
     salt = F.pmod(F.xxhash64(window), F.lit(SALT)).cast("int")
     for level in reversed(tree[:-1]):
@@ -65,7 +69,9 @@ def range_join(windows: DataFrame, packed: DataFrame, window: str, exact: Column
         child = child.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         met = front.withColumn("_salt", salt).join(child, ["node", "_salt"])
         front = met.select(window, *[f"w{c}" for c in BOX], F.explode(F.filter("_children", lambda n: touches({c: n[c] for c in BOX}, own))["node"]).alias("node"))
-    pairs = front.select(window, *[f"w{c}" for c in BOX], F.col("node").alias("page")).join(packed, "page").where(touches({c: F.col(c) for c in BOX}, own)).drop("page")
+    dealt = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))).repartition(parts, "page", "_salt")
+    met = front.select(window, *[f"w{c}" for c in BOX], F.col("node").alias("page"), salt.alias("_salt")).repartition(parts, "page", "_salt")
+    pairs = met.join(dealt, ["page", "_salt"]).drop("_salt").where(touches({c: F.col(c) for c in BOX}, own)).drop("page")
     rest = [c for c in windows.columns if c != window and c not in {f"w{b}" for b in BOX}]
     if rest:
         pairs = pairs.join(windows.select(window, *rest), window)

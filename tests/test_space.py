@@ -97,3 +97,15 @@ def test_cells_fit_the_segments(spark):
     long = dense.limit(400).selectExpr("layer", "feature", "x1", "y1", "x1 + 900 as x2", "y2")
     assert nearest.fitted_cell(long, 1000.0) >= 450
     assert nearest.fitted_cell(dense.where("false"), 1000.0) == 1000.0
+
+
+def test_tasks_of_a_range_join_grow_with_its_work(spark, tmp_path, monkeypatch):
+    """Windows and pages count, not bytes, which are few where many pairs come of them."""
+    monkeypatch.setattr(rtree, "TASK", 100)
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    box = lambda p: ", ".join(f"cast(id as double) + {d} as {p}{c}" for c, d in zip(rtree.BOX, (0, 0, 3, 3), strict=True))
+    s = spark.range(200).selectExpr("id as f", *box("").split(", "))
+    w = spark.range(100).selectExpr("id as w", *box("w").split(", "))
+    out = rtree.range_join(w, rtree.pack(s, ["f"], 8), "w")
+    assert out.count() == sum(abs(a - b) <= 3 for a in range(200) for b in range(100))
+    assert out.rdd.getNumPartitions() >= 25
