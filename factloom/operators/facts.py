@@ -14,9 +14,9 @@ def key_values(blocks: DataFrame) -> DataFrame:
 
     ``blocks(doc_id, id, kind, entity, txt, confidence, page, relations array<struct<type, ids>>)``.
     """
-    refs = blocks.select("doc_id", "id", F.explode("relations").alias("r")).select("doc_id", "id", F.col("r.type").alias("type"), F.posexplode("r.ids").alias("pos", "ref"))
+    refs = blocks.select("doc_id", "id", F.posexplode("relations").alias("rel", "r")).select("doc_id", "id", "rel", F.col("r.type").alias("type"), F.posexplode("r.ids").alias("pos", "ref"))
     words = blocks.where("kind in ('WORD', 'SELECTION_ELEMENT')").select("doc_id", F.col("id").alias("ref"), F.when(F.col("kind") == "WORD", F.col("txt")).when(F.col("txt") == "SELECTED", "[X]").otherwise("").alias("w"))
-    texts = refs.where("type = 'CHILD'").join(words, ["doc_id", "ref"]).groupBy("doc_id", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]), " ").alias("t"))
+    texts = refs.where("type = 'CHILD'").join(words, ["doc_id", "ref"]).groupBy("doc_id", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rel", "pos", "w"))), lambda x: x["w"]), " ").alias("t"))
     sets = blocks.where("kind = 'KEY_VALUE_SET'").select("doc_id", "id", "entity", "confidence", "page")
     keys = sets.where("entity = 'KEY'").join(texts, ["doc_id", "id"], "left").select("doc_id", "id", F.col("t").alias("key"), F.col("confidence").alias("kc"), "page")
     values = sets.where("entity = 'VALUE'").join(texts, ["doc_id", "id"], "left").select("doc_id", F.col("id").alias("ref"), F.col("t").alias("value"), F.col("confidence").alias("vc"))
@@ -24,6 +24,23 @@ def key_values(blocks: DataFrame) -> DataFrame:
     return keys.join(link, ["doc_id", "id"], "left").join(values, ["doc_id", "ref"], "left").select("doc_id", "key", F.coalesce("value", F.lit("")).alias("value"), F.least("kc", "vc").alias("confidence"), "page")
 
 
+def row_key_values(documents: DataFrame) -> DataFrame:
+    """``key_values`` of ``documents(doc_id, blocks array<struct<id, kind, entity, txt, confidence, page, relations>>)``, a row for each document, as OCR gives it.
+
+    References are followed in the row, so nothing is shuffled. Ids are unique in a document. A reference looks through the document's words, so one of hundreds of thousands of blocks is better taken flat, to ``key_values``.
+    """
+    word = lambda b: F.when(b["kind"] == "WORD", b["txt"]).when(b["txt"] == "SELECTED", "[X]").otherwise("")
+    words = F.transform(F.filter("blocks", lambda b: b["kind"].isin("WORD", "SELECTION_ELEMENT")), lambda b: F.named_struct(F.lit("id"), b["id"], F.lit("w"), word(b)))
+    sets = lambda entity: F.filter("blocks", lambda b: (b["kind"] == "KEY_VALUE_SET") & (b["entity"] == entity))
+    refs = lambda s, kind: F.flatten(F.filter(s["relations"], lambda r: (r["type"] == kind) & r["ids"].isNotNull())["ids"])
+    keys = documents.select("doc_id", words.alias("words"), sets("VALUE").alias("values"), F.explode(sets("KEY")).alias("k"))
+    links = keys.select("doc_id", "k", F.col("words.id").alias("ids"), F.col("words.w").alias("w"), "values", F.explode_outer(refs(F.col("k"), "VALUE")).alias("link"))
+    pairs = links.select("doc_id", "k", "ids", "w", F.get("values", F.array_position("values.id", F.col("link")) - 1).alias("v"))
+    told = lambda c: F.array_join(F.transform(c, lambda ref: F.get("w", F.array_position("ids", ref) - 1)), " ")
+    text = lambda s: F.when(F.arrays_overlap(refs(s, "CHILD"), "ids"), told(refs(s, "CHILD")))
+    return pairs.select("doc_id", text(F.col("k")).alias("key"), F.coalesce(text(F.col("v")), F.lit("")).alias("value"), F.least("k.confidence", "v.confidence").alias("confidence"), F.col("k.page").alias("page"))
+
+
 def staged(candidates: DataFrame) -> DataFrame:
     """One value for each document and name from ``doc_id, name, stage, rank, value, refused``.
 
