@@ -58,3 +58,11 @@ def test_equal_lines_are_two_documents_and_nothing_is_shuffled(spark, tmp_path):
     got = domain.j7(spark, str(tmp_path))
     assert sorted((r.key, r.value) for r in got.collect()) == [("Item 5", "[X]"), ("Item 5", "qty 3"), ("Item 5", "qty 3")]
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_counts_of_an_order_are_shuffled(spark, tmp_path):
+    line = "5L AS l_partkey, 7L AS l_suppkey, 1 AS l_linenumber, 3.0D AS l_quantity, 9.0D AS l_extendedprice, timestamp'1995-01-01' AS l_shipdate"
+    spark.sql(f"SELECT 1L AS l_orderkey, {line}, 'N' AS l_returnflag UNION ALL SELECT 1L, {line}, 'N' UNION ALL SELECT 2L, {line}, 'R'").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = domain.c2(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2, 0), (2, 1, 1)]
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
