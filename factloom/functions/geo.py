@@ -52,17 +52,24 @@ def from_utm(east: Column, north: Column) -> Column:
 
 
 def ring_segments(rings: Column) -> Column:
-    """Segments ``a, b`` of rings of points ``x, y``; rings of one point or none have none."""
-    pairs = lambda r: F.when(F.size(r) > 1, F.transform(F.sequence(F.lit(0), F.size(r) - 2), lambda i: F.struct(F.get(r, i).alias("a"), F.get(r, i + 1).alias("b"))))
+    """Segments of rings of points ``x, y``: where they begin (``x, y``), how far they go (``dx, dy``) and the ``y`` where they end (``end``); rings of one point or none have none."""
+    segment = lambda a, b: F.named_struct(F.lit("x"), a["x"], F.lit("y"), a["y"], F.lit("dx"), b["x"] - a["x"], F.lit("dy"), b["y"] - a["y"], F.lit("end"), b["y"])
+    pairs = lambda r: F.when(F.size(r) > 1, F.zip_with(F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1), segment))
     return F.flatten(F.filter(F.transform(rings, pairs), lambda x: x.isNotNull()))
 
 
 def to_polygon(px: Column, py: Column, rings: Column) -> Column:
-    """Distance from a point to a polygon of closed rings (the first outside, the others holes): 0 inside, null without segments."""
-    segments = ring_segments(rings)
-    crosses = lambda s: ((s["a"]["y"] > py) != (s["b"]["y"] > py)) & (px < (s["b"]["x"] - s["a"]["x"]) * (py - s["a"]["y"]) / F.nullif(s["b"]["y"] - s["a"]["y"], F.lit(0.0)) + s["a"]["x"])
-    inside = F.size(F.filter(segments, lambda s: F.coalesce(crosses(s), F.lit(False)))) % 2 == 1
-    return F.when(inside, F.lit(0.0)).otherwise(F.array_min(F.transform(segments, lambda s: to_segment(px, py, s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]))))
+    """Distance from a point to a polygon of closed rings (the first outside, the others holes): 0 inside, null without segments.
+
+    Lambdas are interpreted, node by node: segments, and where on them the nearest point is, are each computed once and bound to a name by a ``transform``.
+    """
+    crosses = lambda s: ((s["y"] > py) != (s["end"] > py)) & (px < s["dx"] * (py - s["y"]) / F.nullif(s["dy"], F.lit(0.0)) + s["x"])
+    length = lambda s: s["dx"] * s["dx"] + s["dy"] * s["dy"]
+    along = lambda s: F.when(length(s) == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - s["x"]) * s["dx"] + (py - s["y"]) * s["dy"]) / length(s))))
+    near = lambda s: F.named_struct(F.lit("s"), s, F.lit("t"), along(s))
+    far = lambda n: F.hypot(px - (n["s"]["x"] + n["t"] * n["s"]["dx"]), py - (n["s"]["y"] + n["t"] * n["s"]["dy"]))
+    distance = lambda s: F.when(F.size(F.filter(s, crosses)) % 2 == 1, F.lit(0.0)).otherwise(F.array_min(F.transform(F.transform(s, near), far)))
+    return F.get(F.transform(F.array(ring_segments(rings)), distance), F.lit(0))
 
 
 def to_segment(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
