@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,30 +16,53 @@ def append_new(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def agreement_stream(stream: DataFrame) -> DataFrame:
+#: States that keys share. Spark pays some milliseconds, a frame and a row of its store for each state in a batch, so a state is a bucket of keys. Fixed while a checkpoint lasts.
+BUCKETS = 2048
+
+
+def _packed(rows: list) -> bytes:
+    return zlib.compress(json.dumps(rows, separators=(",", ":")).encode(), 1)
+
+
+def _unpacked(packed: bytes) -> list:
+    return json.loads(zlib.decompress(bytes(packed)))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("detail_id"), F.lit(buckets)).alias("bucket")
+
+
+def agreement_stream(stream: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Settled observations of a stream of ``detail_id, attempt, kind, doc_count``: two equal counts in a row.
 
-    State of a key: the last count and whether it is settled; a failed fetch forgets, an exception keeps it.
+    What is known of a key: the last count, or that it is settled; a failed fetch forgets, an exception keeps it. A task holds the keys of one of ``buckets`` states.
     """
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, settled = state.get if state.exists else (None, False)
-        told = None
+    def step(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        kept = dict(_unpacked(state.get[0])) if state.exists else {}  # a count, or True where it is settled
+        told = {}
         # plain lists: a key has a few rows, and frames of that size cost more than they hold
-        for _, kind, count in sorted((r for f in frames for r in zip(f["attempt"].tolist(), f["kind"].tolist(), f["doc_count"].tolist(), strict=True)), key=lambda r: (pd.isna(r[0]), r[0])):
-            if settled or kind == "exception":
+        rows = [r for f in frames for r in zip(*[f[c].tolist() for c in ("attempt", "known", "id", "ok", "count")], strict=True)]
+        for _, known, key, ok, count in sorted(rows, key=lambda r: r[0]):
+            key = key if known else None
+            last = kept.get(key)
+            if last is True:
                 continue
-            if kind != "ok":
-                last = None
+            if not ok:
+                kept.pop(key, None)
             elif last is not None and last == count:
-                settled, told = True, int(count)
+                kept[key], told[key] = True, count
             else:
-                last = int(count)
-        state.update((last, settled))
-        if told is not None:
-            yield pd.DataFrame({"detail_id": [key[0]], "outcome": ["PARSED_DOCS" if told else "PARSED_ZERO_DOCS"], "doc_count": [told]})
-
-    return stream.groupBy("detail_id").applyInPandasWithState(step, "detail_id long, outcome string, doc_count long", "last long, settled boolean", "append", "NoTimeout")
+                kept[key] = count
+        state.update((_packed(list(kept.items())),))
+        if told:
+            yield pd.DataFrame({"detail_id": pd.array(list(told), "Int64"), "outcome": ["PARSED_DOCS" if n else "PARSED_ZERO_DOCS" for n in told.values()], "doc_count": list(told.values())})
+
+    # nulls would turn a frame's longs into doubles
+    long = lambda c, default: F.coalesce(F.col(c).cast("long"), F.lit(default))
+    ok = F.coalesce((F.col("kind") == "ok") & F.col("doc_count").isNotNull(), F.lit(False))
+    own = stream.where("kind is null or kind <> 'exception'").select(_bucket(buckets), long("attempt", 2**63 - 1).alias("attempt"), F.col("detail_id").isNotNull().alias("known"), long("detail_id", 0).alias("id"), ok.alias("ok"), long("doc_count", 0).alias("count"))
+    return own.groupBy("bucket").applyInPandasWithState(step, "detail_id long, outcome string, doc_count long", "packed binary", "append", "NoTimeout")
 
 
 def decided(seen: dict[int, tuple[str, int, bool]], attempts: int, final: bool) -> tuple[str, int] | None:
