@@ -95,45 +95,66 @@ def decided(seen: dict[int, tuple[str, int, bool]], attempts: int, final: bool)
     return ("PARSED_ZERO_DOCS" if grid else "GRID_ABSENT"), 0
 
 
-def outcome_stream(stream: DataFrame, attempts: int = 3, late: str = "10 minutes", silence_ms: int = 600_000) -> DataFrame:
+def outcome_stream(stream: DataFrame, attempts: int = 3, late: str = "10 minutes", silence_ms: int = 600_000, buckets: int = BUCKETS) -> DataFrame:
     """``detail_id, outcome, doc_count`` of a stream of ``detail_id, attempt, kind, doc_count, grid_present, at``, once each: the stream's form of ``facts.agreement``.
 
-    Attempts may come in any order and in any micro-batch; they wait in a key's state until those before them are there. A key is told when two counts agree, when all
-    ``attempts`` are in, or when event time has passed its last attempt by ``silence_ms``; then what has come by then decides. State holds at most ``attempts`` entries and goes when
-    that time is over, also for keys that were told, which ignore what follows until then. Rows behind the watermark (``late``) are dropped by Spark.
+    Attempts may come in any order and in any micro-batch; they wait until those before them are there. A key is told when two counts agree, when all
+    ``attempts`` are in, or when event time has passed its last attempt by ``silence_ms``; then what has come by then decides. A key holds at most ``attempts`` entries and goes when
+    that time is over, also if it was told, and ignores what follows until then. Rows behind the watermark (``late``) are dropped by Spark.
     Of rows that repeat an attempt before its key is told, the least (by kind, count and grid) counts. Rows without an id, a kind or a number from 1 to ``attempts`` only move event time on; a count or grid of null is 0 or no.
+    Keys share ``buckets`` states; a state's timer is that of its first key to end.
     """
 
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen, told, until = {}, False, 0
-        if state.exists:
-            numbers, kinds, counts, grids, told, until = state.get
-            seen = dict(zip(numbers, zip(kinds, counts, grids, strict=True), strict=True))
-        out = None
-        if state.hasTimedOut:
-            state.remove()
-            out = None if told else decided(seen, attempts, True)
-        else:
-            for attempt, kind, count, grid, at in (r for f in frames for r in zip(*[f[c].tolist() for c in ("attempt", "kind", "doc_count", "grid_present", "at")], strict=True)):
-                if pd.isna(key[0]) or pd.isna(attempt) or kind is None or not 1 <= attempt <= attempts:
+    def step(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        # of a key: until when it was seen, when it ends, and its attempts, or None if it was told
+        kept = {key: (until, end, None if seen is None else {n: tuple(own) for n, *own in seen}) for key, until, end, seen in (_unpacked(state.get[0]) if state.exists else [])}
+        now, came, out = state.getCurrentWatermarkMs(), {}, {}
+        for known, key, valid, attempt, kind, count, grid, at in (r for f in frames for r in zip(*[f[c].tolist() for c in ("known", "id", "valid", "attempt", "kind", "count", "grid", "ms")], strict=True)):
+            if not known:
+                continue
+            rows = came.setdefault(key, [])
+            if valid:
+                rows.append((attempt, (kind, count, grid), at))
+        for key, rows in came.items():
+            until, _, seen = kept.get(key, (0, 0, {}))
+            for attempt, own, at in rows:
+                until = max(until, at)
+                if seen is not None:
+                    seen[attempt] = min(seen.get(attempt, own), own)
+            if seen is not None:
+                if not seen:
                     continue
-                until = max(until, int(at.timestamp() * 1000))
-                own = (kind, 0 if pd.isna(count) else int(count), not pd.isna(grid) and bool(grid))
-                seen[int(attempt)] = min(seen.get(int(attempt), own), own)
-            if not seen and not told:
-                return
-            if not told:
-                out = decided(seen, attempts, False)
-            told = told or out is not None
-            kept = [] if told else sorted(seen)
-            state.update((kept, *[[seen[n][i] for n in kept] for i in range(3)], told, until))
-            state.setTimeoutTimestamp(max(until + silence_ms, state.getCurrentWatermarkMs() + 1))
-        if out is not None:
-            yield pd.DataFrame({"detail_id": [key[0]], "outcome": [out[0]], "doc_count": [out[1]]})
-
-    own = stream.withWatermark("at", late).select("detail_id", "attempt", "kind", "doc_count", "grid_present", "at")
-    state = "numbers array<int>, kinds array<string>, counts array<long>, grids array<boolean>, told boolean, until long"
-    return own.groupBy("detail_id").applyInPandasWithState(step, "detail_id long, outcome string, doc_count long", state, "append", "EventTimeTimeout")
+                got = decided(seen, attempts, False)
+                if got is not None:
+                    out[key], seen = got, None
+            kept[key] = (until, max(until + silence_ms, now + 1), seen)
+        for key in [key for key, (_, end, _) in kept.items() if end < now]:
+            seen = kept.pop(key)[2]
+            if seen is not None:
+                out[key] = decided(seen, attempts, True)
+        if kept:
+            state.update((_packed([[key, until, end, None if seen is None else [[n, *own] for n, own in seen.items()]] for key, (until, end, seen) in kept.items()]),))
+            state.setTimeoutTimestamp(max(min(end for _, end, _ in kept.values()), now))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame({"detail_id": list(out), "outcome": [x for x, _ in out.values()], "doc_count": [n for _, n in out.values()]})
+
+    # nulls would turn a frame's longs into doubles; rows that don't count stay, for their event time
+    valid = F.col("detail_id").isNotNull() & F.col("kind").isNotNull() & F.coalesce(F.col("attempt").between(1, attempts), F.lit(False))
+    own = stream.withWatermark("at", late).select(
+        _bucket(buckets),
+        F.col("detail_id").isNotNull().alias("known"),
+        valid.alias("valid"),
+        F.coalesce(F.col("detail_id").cast("long"), F.lit(0)).alias("id"),
+        F.coalesce(F.col("attempt").cast("int"), F.lit(0)).alias("attempt"),
+        "kind",
+        F.coalesce(F.col("doc_count").cast("long"), F.lit(0)).alias("count"),
+        F.coalesce("grid_present", F.lit(False)).alias("grid"),
+        F.coalesce(F.unix_millis("at"), F.lit(0)).alias("ms"),
+        "at",
+    )
+    return own.groupBy("bucket").applyInPandasWithState(step, "detail_id long, outcome string, doc_count long", "packed binary", "append", "EventTimeTimeout")
 
 
 def embed_resumable(stream: DataFrame, key: str, text: str, backend: str, root: str) -> None:
