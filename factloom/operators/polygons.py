@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.geo import to_segment
 from factloom.operators import nearest, rtree
 
 #: Edges of a strip that are aimed at, strips of a polygon at most, and parts that a strip's points are dealt to.
 EDGES, STRIPS, SALT = 8, 65_536, 8
+#: Edges of a polygon that goes through the R-tree in one row; what boxes are wider for rounding, as a part of a coordinate.
+HELD, SLACK = 64, 1e-12
 ENDS = ("x1", "y1", "x2", "y2")
 
 
@@ -66,10 +69,48 @@ def inside(points: DataFrame, lines: DataFrame) -> DataFrame:
     return crossed.groupBy("subject", *key).agg((F.count("*") % 2).alias("_odd")).where("_odd = 1").select("subject", *key)
 
 
+def _holds(x: Column, y: Column, edges: Column) -> Column:
+    """Whether a polygon has the point inside, as ``inside`` has it, or on an edge."""
+    at = lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
+    between = lambda v, a, b: (v >= F.least(a, b) - F.abs(v) * SLACK) & (v <= F.greatest(a, b) + F.abs(v) * SLACK)
+    crossed = F.filter(edges, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < at(e)))
+    on = F.exists(edges, lambda e: between(x, e["x1"], e["x2"]) & between(y, e["y1"], e["y2"]) & (to_segment(x, y, *[e[c] for c in ENDS]) == 0))
+    return (F.size(crossed) % 2 == 1) | on
+
+
+def first_holding(points: DataFrame, lines: DataFrame) -> DataFrame:
+    """``subject, layer, feature`` of each point and layer: the smallest polygon that has the point inside or on an edge. Polygons of at most HELD edges.
+
+    A polygon is one row with its edges, so a pair is decided where point and polygon meet, and what is shuffled are points by pages, not points by polygons.
+    """
+    key = ["layer", "feature"]
+    low, high = lambda *c: F.min(F.least(*c)), lambda *c: F.max(F.greatest(*c))
+    wider = lambda c, sign: c + sign * F.abs(c) * SLACK
+    held = lines.select(*key, *ENDS).dropna(subset=list(ENDS)).groupBy(*key).agg(
+        wider(low("x1", "x2"), -1).alias("xmin"), wider(low("y1", "y2"), -1).alias("ymin"), wider(high("x1", "x2"), 1).alias("xmax"), wider(high("y1", "y2"), 1).alias("ymax"), F.collect_list(F.struct(*ENDS)).alias("_edges")
+    )
+    packed = nearest._cut(rtree.pack(held, key))
+    windows = points.select("subject", F.col("x").alias("wxmin"), F.col("y").alias("wymin"), F.col("x").alias("wxmax"), F.col("y").alias("wymax"))
+    met = rtree.range_join(windows, packed, "subject", _holds(F.col("wxmin"), F.col("wymin"), F.col("_edges")))
+    return met.groupBy("subject", "layer").agg(F.min("feature").alias("feature"))
+
+
 def nearest_shapes(points: DataFrame, lines: DataFrame, cell: float) -> DataFrame:
-    """``subject, layer, feature, metres``: the nearest line or polygon of each layer, 0 within a polygon, the smaller feature on a tie. ``lines`` as ``edges`` gives them, with ``layer, feature``."""
-    outline = nearest.nearest(points, lines.select("layer", "feature", *ENDS), cell)
-    within = inside(points, lines.where("polygon")).withColumn("metres", F.lit(0.0))
+    """``subject, layer, feature, metres``: the nearest line or polygon of each layer, 0 within a polygon, the smaller feature on a tie. ``lines`` as ``edges`` gives them, with ``layer, feature``.
+
+    Where all shapes are polygons of at most HELD edges, outlines are only asked about points that some layer's polygons don't hold.
+    """
+    known = lines.select("layer", "feature", "polygon", *ENDS).dropna(subset=list(ENDS))
+    shapes = known.groupBy("layer", "feature").agg(F.bool_and("polygon").alias("polygon"), F.count("*").alias("n"))
     best = F.row_number().over(Window.partitionBy("subject", "layer").orderBy("metres", "feature"))
-    within = within.withColumn("_r", best).where("_r = 1").drop("_r")
+    zero = F.lit(0.0).alias("metres")
+    if shapes.where(f"not polygon or n > {HELD}").take(1):
+        outline = nearest.nearest(points, lines.select("layer", "feature", *ENDS), cell)
+        within = inside(points, lines.where("polygon")).select("subject", "layer", "feature", zero)
+        within = within.withColumn("_r", best).where("_r = 1").drop("_r")
+    else:
+        within = nearest._cut(first_holding(points, known)).select("subject", "layer", "feature", zero)
+        layers = shapes.select("layer").distinct().count()
+        done = within.groupBy("subject").count().where(F.col("count") == layers)
+        outline = nearest.nearest(points.join(done, "subject", "left_anti"), lines.select("layer", "feature", *ENDS), cell)
     return outline.unionByName(within).withColumn("_r", best).where("_r = 1").drop("_r")

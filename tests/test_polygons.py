@@ -71,3 +71,25 @@ def test_shapes_of_geojson(spark, tmp_path):
     assert [(r.feature, r.part, r.kind, r.area, [len(x) for x in r.rings]) for r in rows] == [(0, 0, "polygon", [16.0, -1.0], [5, 5]), (1, 0, "polygon", [16.0], [5]), (1, 2, "polygon", [1.0], [5]), (2, 0, "line", None, [2]), (3, 0, "line", None, [3])]
     moved = files.geojson_shapes(spark, str(path), lambda x, y: F.struct((x + 10).alias("east"), (y * 2).alias("north"))).where("feature = 2").first()
     assert [(p.x, p.y) for p in moved.rings[0]] == [(10.0, 0.0), (11.0, 2.0)]
+
+
+def test_small_polygons_meet_points_in_one_row(spark):
+    """Squares that overlap: the least that holds a point, on an edge too, and outlines only of points that a layer doesn't hold."""
+    square = lambda x, y, r: [(x - r, y - r), (x + r, y - r), (x + r, y + r), (x - r, y + r), (x - r, y - r)]
+    shapes = [(layer, k, square(3.0 * k + layer, 2.0 * (k % 5), 6.0)) for layer in (0, 1) for k in range(40)]
+    lines = spark.createDataFrame([(f"layer{n}", k, True, *a, *b) for n, k, ring in shapes for a, b in zip(ring, ring[1:], strict=False)], "layer string, feature long, polygon boolean, x1 double, y1 double, x2 double, y2 double")
+    at = {i: (x, y) for i, (x, y) in enumerate([(-6.0, 1.0), (-7.5, 0.0), (30.0, 3.0), (30.5, 3.5), (54.0, 14.0), (60.0, 40.0), (3.0, -6.0), (140.0, 4.0)])}
+    points = spark.createDataFrame([(i, *p) for i, p in at.items()], "subject long, x double, y double")
+    want = set()
+    for i, (x, y) in at.items():
+        for layer in (0, 1):
+            away = lambda ring: max(abs(x - (ring[0][0] + ring[2][0]) / 2), abs(y - (ring[0][1] + ring[2][1]) / 2)) <= 6  # noqa: B023, E731
+            far = lambda ring: 0.0 if away(ring) else (max(ring[0][0] - x, x - ring[2][0], 0) ** 2 + max(ring[0][1] - y, y - ring[2][1], 0) ** 2) ** 0.5  # noqa: B023, E731
+            metres, k = min((far(ring), k) for n, k, ring in shapes if n == layer)
+            want.add((i, f"layer{layer}", k, round(metres, 6)))
+    got = [(r.subject, r.layer, r.feature, round(r.metres, 6)) for r in polygons.nearest_shapes(points, lines, 50.0).collect()]
+    assert set(got) == want and len(got) == len(want)
+    held = polygons.first_holding(points, lines)
+    assert {(r.subject, r.layer, r.feature) for r in held.collect()} == {w[:3] for w in want if w[3] == 0}
+    # a row for each point and layer: pairs of points and polygons aren't shuffled one by one
+    assert held.count() == sum(w[3] == 0 for w in want)
